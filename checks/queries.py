@@ -208,7 +208,7 @@ def numeric_coerce(spark, sf):
 
 @query
 def datetime_coerce(spark, sf):
-    return view(spark, sf, "dirty_dates").select("o_orderkey", parse_timestamp(F.col("d")).alias("d"))
+    return view(spark, sf, "dirty_dates").select("o_orderkey", parse_timestamp("d").alias("d"))
 
 
 @query
@@ -346,7 +346,7 @@ def overview(spark, sf):
 @query
 def profile_table(spark, sf):
     events = base(spark, sf, "events")
-    table = profile.profile_table(events, semantic_types=semantic.infer_semantic_types(events), order_by="event_id")
+    table = profile.profile_table(events, semantic_types=semantic.infer_semantic_types(events), order_by="event_id", exact_distinct=True)
     return rounded(table.withColumn("sample_values", F.array_join("sample_values", "|")), 4)
 
 

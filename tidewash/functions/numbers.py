@@ -14,6 +14,7 @@ from .text import strip
 # which are not numbers here, so every cast is guarded by this pattern.
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 INFINITE = r"^[+-]?(?i:inf|infinity)$"
+NUMBER_CHARACTERS = r"(?U)^[\d+\-.,\seEinftyINFTY]+$"
 WHOLE_NUMBER = r"^[+-]?\d+$"
 
 # Number followed by a unit word, from the start of the cell: "512GB SSD" -> 512.
@@ -37,15 +38,22 @@ def finite_or_null(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
-def parse_number(c: Column) -> Column:
+# The parsers strip the cell themselves unless told that it is ``stripped`` already.
+
+
+def _stripped(c: Column, stripped: bool) -> Column:
+    return c if stripped else strip(c)
+
+
+def parse_number(c: Column, stripped: bool = False) -> Column:
     """Text to DOUBLE; anything that is not a plain number becomes null."""
-    s = strip(c)
+    s = _stripped(c, stripped)
     infinity = F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     return F.when(s.rlike(NUMBER), s.try_cast("double")).when(s.rlike(INFINITE), infinity)
 
 
-def parse_whole_number(c: Column) -> Column:
-    s = strip(c)
+def parse_whole_number(c: Column, stripped: bool = False) -> Column:
+    s = _stripped(c, stripped)
     return F.when(s.rlike(WHOLE_NUMBER), s.try_cast("bigint"))
 
 
@@ -54,14 +62,17 @@ def parse_boolean(c: Column) -> Column:
     return F.when(c.isin("True", "TRUE", "true"), True).when(c.isin("False", "FALSE", "false"), False)
 
 
-def to_number(c: Column) -> Column:
+def to_number(c: Column, stripped: bool = False) -> Column:
     """``parse_number`` after deleting thousands commas and blanks."""
-    return parse_number(F.translate(c, ", ", ""))
+    s = _stripped(c, stripped)
+    # Only cells made of characters a number can hold are worth rewriting.
+    return F.when(s.rlike(NUMBER_CHARACTERS), parse_number(F.translate(s, ", ", "")))
 
 
-def number_with_unit(c: Column) -> Column:
+def number_with_unit(c: Column, stripped: bool = False) -> Column:
     """Leading number of a cell like ``8GB``; null without a unit word after it."""
-    return F.nullif(F.regexp_extract(strip(c), NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
+    found = F.regexp_extract(_stripped(c, stripped), NUMBER_WITH_UNIT, 1)
+    return F.nullif(found, F.lit("")).try_cast("double")
 
 
 def number_from_pattern(c: Column, pattern: str | None) -> Column:

@@ -42,6 +42,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def strip_sql(c: str) -> str:
+    """``strip`` as SQL text around the SQL text ``c``."""
+    return f"btrim({c}, '{''.join(f'{chr(92)}u{ord(x):04x}' for x in WHITESPACE)}')"
+
+
 def blank_to_null(c: Column) -> Column:
     """Null for a cell that is empty or only white space; otherwise unchanged."""
     return F.when(strip(c) != "", c)
@@ -52,12 +57,9 @@ def null_tokens(c: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
-def word_count(c: Column) -> Column:
-    """Number of white-space separated words of a cell (0 for blank text)."""
-    stripped = F.btrim(c, F.lit(WHITESPACE))
-    return F.when(stripped == "", F.lit(0)).otherwise(
-        F.size(F.split(stripped, r"(?U)[\s\x1c-\x1f]+"))
-    )
+def word_count(s: Column) -> Column:
+    """Number of white-space separated words of a stripped cell (0 for no text)."""
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"(?U)[\s\x1c-\x1f]+")))
 
 
 def spreadsheet_text(c: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import col, number_from_pattern, number_with_unit, parse_number, parse_timestamp, to_number
+from ..functions import col, number_from_pattern, number_with_unit, parse_number, parse_timestamp, strip, to_number
 from ..functions.dates import DATE_SHAPES, DateShape
 from ..functions.numbers import (
     UNIT_FACTORS,
@@ -58,7 +58,7 @@ class Conversion:
         elif self.action == "to_numeric":
             c = to_number(c)
         elif self.action == "to_datetime":
-            c = parse_timestamp(c, shapes)
+            c = parse_timestamp(self.column, shapes)
         elif self.action == "read_integer":
             c = parse_whole_number(c)
         elif self.action == "read_float":
@@ -112,8 +112,11 @@ def _declared(name: str, spec: FieldSpec, rules: Mapping[str, Mapping]) -> Conve
     return None
 
 
-def _counters(name: str, declared: Conversion | None, read: bool, shapes: Sequence[DateShape]) -> dict[str, Column]:
-    c = col(name)
+def _counters(
+    name: str, stripped: str, declared: Conversion | None, read: bool, shapes: Sequence[DateShape]
+) -> dict[str, Column]:
+    """Aggregates over a text column and its ``stripped`` form."""
+    c, s = col(name), F.col(stripped)
     counters = {"n": F.count(c)}
     if declared is not None:
         value = declared.expression(shapes)
@@ -123,19 +126,24 @@ def _counters(name: str, declared: Conversion | None, read: bool, shapes: Sequen
             counters["known"] = F.count_if(value.isNotNull() & unit.isin(*UNIT_FACTORS[declared.unit]))
         return counters
     counters |= {
-        "unit": F.count(number_with_unit(c)),
-        "number": F.count(to_number(c)),
-        "time": F.count(parse_timestamp(c, shapes)),
+        "unit": F.count(number_with_unit(s, stripped=True)),
+        "number": F.count(to_number(s, stripped=True)),
+        "time": F.count(parse_timestamp(stripped, shapes, stripped=True)),
     }
     if read:
         counters |= {
-            "integer": F.count(parse_whole_number(c)),
-            "float": F.count(parse_number(c)),
+            "integer": F.count(parse_whole_number(s, stripped=True)),
+            "float": F.count(parse_number(s, stripped=True)),
             "boolean": F.count(parse_boolean(c)),
         }
     return counters
 
 
+def _with_stripped(df: DataFrame, batch: Sequence[str], texts: set[str]) -> DataFrame:
+    """The batch's columns, and ``s<i>`` for each text column, stripped once for all tests."""
+    return df.select(*[col(c) for c in batch], *[strip(col(c)).alias(f"s{i}") for i, c in enumerate(batch) if c in texts])
+
+
 def _ladder(name: str, got: dict[str, int], protect_dates: bool) -> Conversion:
     n = got["n"]
     if n == 0:
@@ -188,11 +196,13 @@ def fit_conversions(
     for batch in batches(data_columns(df)):
         declared = {c: _declared(c, spec, rules) for c in batch if c in texts}
         plan = {
-            c: _counters(c, declared[c], read_types, shapes) if c in texts else {"n": F.count(present(df, c))}
-            for c in batch
+            c: _counters(c, f"s{i}", declared[c], read_types, shapes)
+            if c in texts
+            else {"n": F.count(present(df, c))}
+            for i, c in enumerate(batch)
         }
         flat = [a.alias(f"{i}:{k}") for i, counters in enumerate(plan.values()) for k, a in counters.items()]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *flat).first()
+        row = _with_stripped(df, batch, texts).agg(F.count(F.lit(1)).alias("rows"), *flat).first()
         rows = row["rows"]
         for i, (c, counters) in enumerate(plan.items()):
             got = {k: row[f"{i}:{k}"] for k in counters}
@@ -234,10 +244,12 @@ def ladder_counts(df: DataFrame, shapes: Sequence[DateShape] = DATE_SHAPES) -> D
     """The evidence of the ladder, one row per text column, without deciding anything."""
     names = string_columns(df)
     kinds = ("n", "unit", "number", "time")
-    flat = [_counters(c, None, False, shapes)[k].alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds]
+    flat = [
+        _counters(c, f"s{i}", None, False, shapes)[k].alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds
+    ]
     labels = ("non_null", "unit_count", "number_count", "datetime_count")
     entries = [
         F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{k}").alias(label) for k, label in zip(kinds, labels)])
         for i, c in enumerate(names)
     ]
-    return df.agg(*flat).select(F.inline(F.array(*entries)))
+    return _with_stripped(df, names, set(names)).agg(*flat).select(F.inline(F.array(*entries)))

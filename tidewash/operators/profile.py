@@ -14,6 +14,7 @@ from .stats import (
     EXACT_DISTINCT_ROWS,
     NumericStats,
     batches,
+    distinct_counts,
     estimated_distinct_counts,
     first_distinct,
     missing_counts,
@@ -46,7 +47,7 @@ PROFILE_SCHEMA = T.StructType(
 )
 
 
-def _distinct(df: DataFrame, columns: list[str], rows: int) -> dict[str, int]:
+def _distinct(df: DataFrame, columns: list[str], rows: int, estimate: bool) -> dict[str, int]:
     nested = nested_columns(df, columns)
     flat = [c for c in columns if c not in nested]
     counts: dict[str, int] = {}
@@ -54,8 +55,9 @@ def _distinct(df: DataFrame, columns: list[str], rows: int) -> dict[str, int]:
         if not batch:
             continue
         if rows > EXACT_DISTINCT_ROWS:
-            counts.update({r["column"]: min(rows, r["distinct_count"]) for r in estimated_distinct_counts(df, batch).collect()})
-        else:
+            found = estimated_distinct_counts(df, batch) if estimate else distinct_counts(df, batch)
+            counts.update({r["column"]: min(rows, r["distinct_count"]) for r in found.collect()})
+        else:  # few rows: one set per column is small
             row = df.agg(*[F.count_distinct(present(df, c)).alias(c) for c in batch]).first()
             counts.update(row.asDict())
     return {c: counts.get(c, 0) for c in columns}
@@ -66,11 +68,17 @@ def profile_table(
     categorical_threshold: int = CATEGORICAL_THRESHOLD,
     semantic_types: Mapping[str, str] | None = None,
     order_by: str | None = None,
+    exact_distinct: bool = False,
 ) -> DataFrame:
-    """One row per column; the number of jobs does not depend on the number of columns."""
+    """One row per column; the number of jobs does not depend on the number of columns.
+
+    Above 50,000 rows distinct counts are estimates and flagged as such, unless
+    ``exact_distinct`` asks for the shuffle that counts them.
+    """
     columns = data_columns(df)
     rows, missing = missing_counts(df, columns)
-    distinct = _distinct(df, columns, rows)
+    estimated = rows > EXACT_DISTINCT_ROWS and not exact_distinct
+    distinct = _distinct(df, columns, rows, estimated)
     stats = {s.column: s for s in numeric_stats(df, columns)}
     samples = first_distinct(df, columns, order_by=order_by)
     numbers = set(numeric_columns(df)) | set(boolean_columns(df))
@@ -84,7 +92,7 @@ def profile_table(
         table.append(
             (
                 c, dtypes[c], missing[c], round(missing[c] / max(1, rows), 6),
-                distinct[c], rows > EXACT_DISTINCT_ROWS, numeric, date, categorical,
+                distinct[c], estimated, numeric, date, categorical,
                 (semantic_types or {}).get(c, "UNKNOWN"),
                 *[getattr(s, n) if s else None for n in _NUMBERS],
                 s.outlier_count if s else None,

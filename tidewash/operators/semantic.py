@@ -20,20 +20,20 @@ from .quantiles import as_double
 from .stats import batches, distinct_counts
 
 # --- Fixed values -----------------------------------------------------------
-# Text rules in order: type, pattern of the trimmed cell, share of cells to exceed.
-# Dates are tested after EMAIL; (?U) gives \w and \s their Unicode meaning.
+# Patterns of the trimmed cell; (?U) gives \w and \s their Unicode meaning.
 EMAIL = r"(?iU)^[\w.+-]+@[\w-]+\.[a-z]{2,}$"
 PHONE = r"(?U)^\+?[\d\s\-().]{7,15}$"
 URL = r"(?i)^https?://"
-PERCENT = r"%\s*$"
-CURRENCY = r"^[$£€₹¥]"
+PERCENT_SIGN = "%"
+CURRENCY_SIGNS = ("$", "£", "€", "₹", "¥")
+# Text rules in order, each with the share of cells that must exceed it.
 TEXT_RULES = (
-    ("EMAIL", EMAIL, 0.7),
-    ("DATE_STRING", None, 0.7),
-    ("PHONE_NUMBER", PHONE, 0.7),
-    ("URL", URL, 0.7),
-    ("PERCENTAGE", PERCENT, 0.7),
-    ("CURRENCY", CURRENCY, 0.6),
+    ("EMAIL", 0.7),
+    ("DATE_STRING", 0.7),
+    ("PHONE_NUMBER", 0.7),
+    ("URL", 0.7),
+    ("PERCENTAGE", 0.7),
+    ("CURRENCY", 0.6),
 )
 # Free text: so many words on average, or fewer when most values differ.
 FREE_TEXT_WORDS, FREE_TEXT_WORDS_IF_VARIED, VARIED_RATIO = 5.0, 3.0, 0.50
@@ -51,39 +51,56 @@ class TextEvidence:
     mean_words: float
 
 
-def text_aggregates(c: Column) -> list[Column]:
+def _stripped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as ``s0, s1, …``, each stripped once for all tests."""
+    return df.select(*[strip(col(c)).alias(f"s{i}") for i, c in enumerate(columns)])
+
+
+def _text_tests(name: str) -> dict[str, Column]:
+    """The test of each text rule on a stripped column. Cheap tests guard the patterns."""
+    s = F.col(name)
+    return {
+        "EMAIL": s.contains("@") & s.rlike(EMAIL),
+        "DATE_STRING": parse_timestamp(name, stripped=True).isNotNull(),
+        "PHONE_NUMBER": F.length(s).between(7, 16) & s.rlike(PHONE),
+        "URL": s.rlike(URL),
+        "PERCENTAGE": s.endswith(PERCENT_SIGN),
+        "CURRENCY": F.substring(s, 1, 1).isin(*CURRENCY_SIGNS),
+    }
+
+
+def _text_aggregates(i: int) -> list[Column]:
     """Counts behind the text rules: non-null cells, words, then matches per rule."""
-    s = strip(c)
-    tests = [parse_timestamp(c).isNotNull() if pattern is None else s.rlike(pattern) for _, pattern, _ in TEXT_RULES]
-    return [F.count(c), F.avg(word_count(c)), *[F.count_if(t) for t in tests]]
+    s, tests = F.col(f"s{i}"), _text_tests(f"s{i}")
+    counts = [F.count(s), F.avg(word_count(s)), *[F.count_if(tests[kind]) for kind, _ in TEXT_RULES]]
+    return [a.alias(f"a{i}_{j}") for j, a in enumerate(counts)]
 
 
 def text_ratios(df: DataFrame) -> DataFrame:
     """``column, semantic_type, ratio`` of each text rule over each string column."""
     entries, aggregates = [], []
     for i, name in enumerate(string_columns(df)):
-        counts = text_aggregates(col(name))
-        aggregates += [a.alias(f"a{i}_{j}") for j, a in enumerate(counts)]
-        for j, (kind, _, _) in enumerate(TEXT_RULES):
+        aggregates += _text_aggregates(i)
+        for j, (kind, _) in enumerate(TEXT_RULES):
             ratio = F.col(f"a{i}_{j + 2}") / F.greatest(F.col(f"a{i}_0"), F.lit(1))
             entries.append(F.struct(F.lit(name).alias("column"), F.lit(kind).alias("semantic_type"), ratio.alias("ratio")))
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    return _stripped(df, string_columns(df)).agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
 def _text_evidence(df: DataFrame, columns: list[str]) -> dict[str, TextEvidence]:
     width = len(TEXT_RULES) + 2
-    flat = [a.alias(f"a{i}_{j}") for i, c in enumerate(columns) for j, a in enumerate(text_aggregates(col(c)))]
-    row = df.agg(F.count(F.lit(1)), *flat).first()
+    flat = [a for i in range(len(columns)) for a in _text_aggregates(i)]
+    row = _stripped(df, columns).agg(F.count(F.lit(1)), *flat).first()
     evidence = {}
     for i, c in enumerate(columns):
         values, words, *matches = row[1 + i * width : 1 + (i + 1) * width]
-        shares = {kind: m / values if values else 0.0 for (kind, _, _), m in zip(TEXT_RULES, matches)}
+        shares = {kind: m / values if values else 0.0 for (kind, _), m in zip(TEXT_RULES, matches)}
         evidence[c] = TextEvidence(values, shares, words or 0.0)
     return evidence
 
 
 def _by_pattern(e: TextEvidence) -> str | None:
-    for kind, _, share in TEXT_RULES:
+    for kind, share in TEXT_RULES:
         if e.shares[kind] > share:
             return kind
     return "FREE_TEXT" if e.mean_words >= FREE_TEXT_WORDS else None

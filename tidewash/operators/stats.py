@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,11 +85,30 @@ def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _text_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _kinds(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """Columns by the type their values are compared in."""
+    whole = integral_columns(df, columns)
+    numbers = [c for c in numeric_columns(df, columns) if c not in whole]
+    texts = [c for c in columns if c not in whole and c not in numbers]
+    return [(kind, group) for kind, group in (("bigint", whole), ("double", numbers), ("string", texts)) if group]
+
+
+def _typed_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """``slot, value, count`` of same-typed columns; slot is the column's position."""
+    values = df.select(*[present(df, c).cast(kind).alias(str(i)) for i, c in enumerate(columns)])
+    long = values.unpivot([], values.columns, "slot", "value").filter("value IS NOT NULL")
+    return long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact ``column, distinct_count`` (nulls excluded), without one huge set per column."""
     columns = list(columns or data_columns(df))
-    counted = _value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    return _with_all_columns(counted, columns, {"distinct_count": 0})
+    parts = []
+    for kind, group in _kinds(df, columns):
+        counted = _typed_counts(df, group, kind).groupBy("slot").agg(F.count(F.lit(1)).alias("distinct_count"))
+        names = F.element_at(F.array(*[F.lit(c) for c in group]), F.col("slot").cast("int") + 1)
+        parts.append(counted.select(names.alias("column"), "distinct_count"))
+    return _with_all_columns(reduce(DataFrame.unionAll, parts), columns, {"distinct_count": 0})
 
 
 def estimated_distinct_counts(
@@ -127,19 +147,10 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent value of each column (ties: the smallest); absent if all are null."""
     found: dict[str, object] = {}
     order = Window.partitionBy("slot").orderBy(F.desc("count"), F.asc("value"))
-    integral = integral_columns(df, columns)
-    other_numbers = [c for c in numeric_columns(df, columns) if c not in integral]
-    texts = [c for c in columns if c not in integral and c not in other_numbers]
-    for group, kind in ((integral, "bigint"), (other_numbers, "double"), (texts, "string")):
-        if not group:
-            continue
-        slots = {f"c{i}": c for i, c in enumerate(group)}
-        long = df.select(*[present(df, c).cast(kind).alias(s) for s, c in slots.items()]).unpivot(
-            [], list(slots), "slot", "value"
-        )
-        counts = long.filter("value IS NOT NULL").groupBy("slot", "value").agg(F.count(F.lit(1)).alias("count"))
-        first = counts.withColumn("rank", F.row_number().over(order)).filter("rank = 1")
-        found.update({slots[r["slot"]]: r["value"] for r in first.select("slot", "value").collect()})
+    for kind, group in _kinds(df, columns):
+        ranked = _typed_counts(df, group, kind).withColumn("rank", F.row_number().over(order))
+        for r in ranked.filter("rank = 1").select("slot", "value").collect():
+            found[group[int(r["slot"])]] = r["value"]
     return found
 
 
