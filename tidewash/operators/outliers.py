@@ -42,7 +42,7 @@ def _tests(df: DataFrame, limits: Limits) -> dict[str, Column]:
 
 
 def any_outlier(df: DataFrame, limits: Limits) -> Column:
-    """True for a row with an outlier in any of the columns; literals, so it filters at the scan."""
+    """Test for a row with an outlier in any of the columns (null where a value is missing)."""
     return reduce(lambda a, b: a | b, _tests(df, limits).values(), F.lit(False))
 
 
@@ -81,7 +81,7 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop rows outlying in any chosen column; bounds come from the whole table, once."""
     limits = outlier_limits(df, columns, k) if limits is None else limits
-    return df.filter(~any_outlier(df, limits))
+    return df.filter(~F.coalesce(any_outlier(df, limits), F.lit(False)))
 
 
 def removal_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float = IQR_FACTOR, limits: Limits | None = None) -> DataFrame:

@@ -52,7 +52,9 @@ def present(df: DataFrame, name: str) -> Column:
 # --- Missing values ---------------------------------------------------------
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, row_count, missing_count, missing_percent`` (fraction, 6 digits)."""
-    columns = list(columns or data_columns(df))
+    columns = data_columns(df) if columns is None else list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, row_count bigint, missing_count bigint, missing_percent double")
     parts = []
     for batch in batches(columns):
         counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(present(df, c)).alias(f"c{i}") for i, c in enumerate(batch)])
@@ -68,7 +70,7 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, int]]:
     """(rows, nulls per column) on the driver: one number per column."""
     rows = missing_profile(df, columns).collect()
-    return (rows[0]["row_count"] if rows else 0), {r["column"]: r["missing_count"] for r in rows}
+    return (rows[0]["row_count"] if rows else df.count()), {r["column"]: r["missing_count"] for r in rows}
 
 
 # --- Distinct values and value counts ---------------------------------------
@@ -137,7 +139,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5
     counts = _value_counts(df, columns)
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    totals = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    # The test always holds; it keeps "count" in use, so both sides read one shuffle.
+    totals = counts.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("unique_count"))
     return top.join(totals, "column").select(
         "column", F.col("rank").cast("bigint").alias("rank"), "value", "count", "unique_count"
     )
@@ -231,11 +234,18 @@ def _number(x) -> float | None:
 
 
 def outside(df: DataFrame, name: str, low: float | None, high: float | None) -> Column:
-    """True for a value strictly outside the bounds; null and NaN are never outside."""
+    """Test for a value strictly outside the bounds; not true for null and NaN.
+
+    Plain comparisons of the column with literals, so that a filter reaches the scan.
+    """
     if low is None or high is None or math.isnan(low) or math.isnan(high):
         return F.lit(False)
-    v = as_double(df, name)
-    return F.coalesce((v < F.lit(low)) | (v > F.lit(high)), F.lit(False))
+    c = col(name)
+    if integral_columns(df, [name]) and max(abs(low), abs(high)) < 2**62:
+        return (c < F.lit(math.ceil(low)).cast("bigint")) | (c > F.lit(math.floor(high)).cast("bigint"))
+    if floating_columns(df, [name]):  # NaN compares above infinity
+        return (c < F.lit(low)) | ((c > F.lit(high)) & (c <= F.lit(float("inf"))))
+    return (c.cast("double") < F.lit(low)) | (c.cast("double") > F.lit(high))
 
 
 def iqr_bounds(quartiles: Sequence[float | None], k: float = IQR_FACTOR) -> tuple[float | None, float | None]:

@@ -141,7 +141,7 @@ def clean_table(
         outliers = df.agg(F.count_if(test)).first()[0]
         lineage.log("outliers_removed", f"IQR method, threshold {rules.outlier_threshold}", outliers,
                     details={"columns_affected": numeric_columns(df)})
-        df = df.filter(~test)
+        df = df.filter(~F.coalesce(test, F.lit(False)))
     else:
         lineage.log("outliers_removed", "Skipped because remove_outliers was disabled", 0, details={"enabled": False})
 

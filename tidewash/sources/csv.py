@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,16 +57,24 @@ def _inspect(spark: SparkSession, path) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     quotes = F.regexp_count("value", F.lit('"'))
     odd = quotes % 2 == 1
-    opening = F.regexp_count("value", F.lit(r'(?:^|,)"'))
-    closing = F.regexp_count("value", F.lit(r'"(?=,|\r?$)'))
+    opening, closing, alone = (
+        F.sum(F.regexp_count("value", F.lit(p)))
+        for p in (r'(?:^|,)"(?!,|\r?$)', r'(?<!^|,)"(?=,|\r?$)', r'(?:^|,)"(?=,|\r?$)')
+    )
+    # Quotes inside plain text (5" pipe) are no cell boundaries and prove nothing.
+    unclosed = (opening > closing) | ((opening == 0) & (closing == 0) & (alone > 0))
     return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
         F.coalesce(F.bool_or(odd), F.lit(False)).alias("multi_line"),
-        ((F.sum(quotes) % 2 == 1) & (F.sum(opening) > F.sum(closing))).alias("open_quote"),
-        F.max(F.length("value")).alias("longest"),
+        (((opening + closing + alone) % 2 == 1) & unclosed).alias("open_quote"),
     )
 
 
+def _plain_path(uri: str) -> str:
+    """A file's URI as the path that reads exactly this file (glob characters escaped)."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
+
+
 def _header(spark: SparkSession, path, options: dict) -> list[str]:
     first = spark.read.options(**options).option("header", False).csv(path).head()
     names = [] if first is None else list(first)
@@ -115,7 +125,7 @@ def read_csv(
                 reason = "quoted cell never closed" if f["open_quote"] else "invalid bytes"
                 raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {reason}")
             spans = f["multi_line"] if multi_line is None else multi_line
-            groups.setdefault((fitting[0], spans), []).append(f["file"])
+            groups.setdefault((fitting[0], spans), []).append(_plain_path(f["file"]))
 
     parts, columns = [], None
     try:
