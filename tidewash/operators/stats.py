@@ -19,6 +19,7 @@ from .. import ROW_ID
 from ..functions import col
 from .columns import (
     data_columns,
+    first_rows,
     floating_columns,
     integral_columns,
     nested_columns,
@@ -176,7 +177,7 @@ def first_distinct(
     values = df.select(*[t.alias(f"c{i}") for i, t in enumerate(texts.values())], *key)
 
     reach = 20 * k
-    head = (values.limit(reach) if order is None else values.orderBy("_order").limit(reach)).collect()
+    head = first_rows(values, reach, None if order is None else "_order")
     found = {c: list(dict.fromkeys(r[i] for r in head if r[i] is not None))[:k] for i, c in enumerate(columns)}
     # A head shorter than asked for is the whole table.
     unfinished = [c for c in columns if len(found[c]) < k] if len(head) == reach else []

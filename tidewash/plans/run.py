@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from .. import ROW_ID
 from ..operators.columns import FieldSpec, apply_mapping, column_samples, data_columns, mapping_report, numeric_columns, unique_names
 from ..operators.conversion import ConversionPlan, fit_conversions
 from ..operators.missing import Imputation, dedupe_rows, fit_imputation, normalise_missing
@@ -90,7 +91,8 @@ def clean_table(
     spark = df.sparkSession
     rules, lineage = CleaningRules.of(rules, spark), Lineage()
     given = data_columns(df)
-    samples = {"before": column_samples(df, SAMPLE_ROWS)}
+    # Rows come in scan order here, so the first task alone delivers them.
+    samples = {"before": column_samples(df.drop(ROW_ID), SAMPLE_ROWS)}
 
     mapping, renames = None, []
     if spec is not None:

@@ -70,6 +70,18 @@ def _inspect(spark: SparkSession, path) -> DataFrame:
     )
 
 
+CLASS = ("valid_utf8", "multi_line", "open_quote")
+
+
+def _fitting(flags, tried: Sequence[str]) -> str:
+    """The first encoding that fits files with these flags."""
+    fitting = [e for e in tried if flags["valid_utf8"] or e != "utf-8"]
+    if not fitting or flags["open_quote"]:
+        reason = "quoted cell never closed" if flags["open_quote"] else "invalid bytes"
+        raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {reason}")
+    return fitting[0]
+
+
 def _plain_path(uri: str) -> str:
     """A file's URI as the path that reads exactly this file (glob characters escaped)."""
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
@@ -114,18 +126,23 @@ def read_csv(
         groups[tried[0], multi_line] = paths
     else:
         try:
-            files = _inspect(spark, paths).collect()
+            files = _inspect(spark, paths).persist()
+            classes = files.groupBy(*CLASS).count().collect()
         except AnalysisException as e:
             raise LoadError(f"File not found: {path}") from e
-        if not files:
+        if not classes:
             raise LoadError("Uploaded file is empty")
-        for f in files:
-            fitting = [e for e in tried if f["valid_utf8"] or e != "utf-8"]
-            if not fitting or f["open_quote"]:
-                reason = "quoted cell never closed" if f["open_quote"] else "invalid bytes"
-                raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {reason}")
-            spans = f["multi_line"] if multi_line is None else multi_line
-            groups.setdefault((fitting[0], spans), []).append(_plain_path(f["file"]))
+        for c in classes:
+            encoding = _fitting(c, tried)
+            spans = c["multi_line"] if multi_line is None else multi_line
+            groups.setdefault((encoding, spans), [])
+        if len(groups) == 1:
+            groups[next(iter(groups))] = paths
+        else:  # only a mixed folder needs its files by name
+            for f in files.collect():
+                spans = f["multi_line"] if multi_line is None else multi_line
+                groups[_fitting(f, tried), spans].append(_plain_path(f["file"]))
+        files.unpersist()
 
     parts, columns = [], None
     try:
