@@ -31,6 +31,7 @@ def by_sorting(values):
 
 def test_exact_quantiles_against_sorting(spark, monkeypatch):
     """Long tails, hot values, extreme ranges, infinities: all by narrowing, several passes."""
+    monkeypatch.setattr(quantiles, "SMALL_TABLE_VALUES", 0)
     monkeypatch.setattr(quantiles, "SMALL_INTERVAL", 20)
     rng, n = np.random.default_rng(0), 20_000
     normal = rng.normal(0, 1, n)
@@ -52,6 +53,9 @@ def test_exact_quantiles_against_sorting(spark, monkeypatch):
     got = quantiles.exact_quantiles(df, list(data), PROBABILITIES)
     for name in data:
         assert got[name] == by_sorting(data[name].dropna().values), name
+    monkeypatch.setattr(quantiles, "SMALL_TABLE_VALUES", 1_000_000)
+    for name, found in quantiles.exact_quantiles(df, list(data), PROBABILITIES).items():
+        assert found == pytest.approx(got[name], rel=1e-12), name
 
 
 def test_quantiles_of_nothing(spark):

@@ -1,7 +1,8 @@
 """Exact quantiles by narrowing.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer, which
-does not fit once a column holds billions of them. Here each pass counts values per bin
+does not fit once a column holds billions of them, so it serves small tables only. For
+the others each pass counts values per bin
 (at most ``BINS`` groups per interval, combined before the shuffle), finds the bins that
 hold the wanted ranks and narrows to them. A bin carries its own smallest and largest
 value, so a bin full of copies of one value is an answer, however many rows it has.
@@ -15,16 +16,18 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col
-from .columns import floating_columns
+from .columns import floating_columns, integral_columns
 
 BINS = 4096
 # Distance between the bin numbers of two intervals.
 STRIDE = 8192
 TINY = 1e-290
+# Up to this many values in all columns together, one ``percentile`` job does.
+SMALL_TABLE_VALUES = 1_000_000
 # An interval with at most this many rows is resolved by counting its single values.
 SMALL_INTERVAL = 20_000
 # A pass that keeps more than this share of an interval met a long tail.
@@ -87,14 +90,18 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, linearly interpolated; ``None`` for an empty column."""
     bounds = bounds or column_bounds(df, columns)
+    values = sum(bounds[c].rows for c in columns)
+    if 0 < values <= SMALL_TABLE_VALUES:  # the buffers of the built-in are known to be small
+        row = df.agg(*[F.percentile(as_double(df, c), list(probabilities)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        return {c: row[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
     positions = {c: [(bounds[c].rows - 1) * p for p in probabilities] for c in columns if bounds[c].rows}
     wanted = {
         c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in positions.items()
     }
-    values = _order_statistics(df, wanted, bounds)
+    found = _order_statistics(df, wanted, bounds)
 
     def at(c: str, position: float) -> float:
-        below, above = values[c, math.floor(position)], values[c, math.ceil(position)]
+        below, above = found[c, math.floor(position)], found[c, math.ceil(position)]
         return below if below == above else below + (above - below) * (position - math.floor(position))
 
     return {c: [at(c, p) for p in positions[c]] if c in positions else [None] * len(probabilities) for c in columns}
@@ -143,17 +150,26 @@ def _many_magnitudes(low: float, high: float) -> bool:
     return large / BINS > small
 
 
-def _bin(v: Column, interval: _Interval) -> Column:
-    """A whole number below ``STRIDE`` that never decreases as ``v`` grows."""
+def _bin(v: str, interval: _Interval) -> str:
+    """SQL for a whole number below ``STRIDE`` that never decreases as ``v`` grows."""
     if interval.binary:
-        power = F.floor(F.log2(F.abs(v))) + 1100
-        return F.when(v > 0, power).when(v < 0, -power).otherwise(0) + STRIDE // 2
+        power = f"(CAST(floor(log2(abs({v}))) AS BIGINT) + 1100)"
+        return f"(CASE WHEN {v} > 0 THEN {power} WHEN {v} < 0 THEN -{power} ELSE 0 END + {STRIDE // 2})"
     half = interval.high / 2 - interval.low / 2
     if half < TINY:  # scaled up in two factors, as one would overflow
-        place = (v - F.lit(interval.low)) * F.lit(2.0**200) * F.lit(BINS / ((interval.high - interval.low) * 2.0**200))
+        factor = BINS / ((interval.high - interval.low) * 2.0**200)
+        place = f"({v} - {interval.low!r}D) * {2.0**200!r}D * {factor!r}D"
     else:  # halves keep the width finite for a range wider than the largest double
-        place = (v / 2 - F.lit(interval.low / 2)) * F.lit(BINS / half)
-    return F.least(F.floor(place), F.lit(BINS - 1))
+        place = f"({v} / 2 - {interval.low / 2!r}D) * {BINS / half!r}D"
+    return f"least(floor({place}), {BINS - 1})"
+
+
+def _within(df: DataFrame, name: str, interval: _Interval) -> str:
+    """SQL test on the column itself, so that a scan can use it. NaN is in no interval."""
+    column = "`" + name.replace("`", "``") + "`"
+    if integral_columns(df, [name]) and max(abs(interval.low), abs(interval.high)) < 2**53:
+        return f"{column} BETWEEN {math.ceil(interval.low)}L AND {math.floor(interval.high)}L"
+    return f"CAST({column} AS DOUBLE) BETWEEN {interval.low!r}D AND {interval.high!r}D"
 
 
 def _ranked_bins(df: DataFrame, intervals: list[_Interval], by_value: bool, skip_rows: bool) -> DataFrame:
@@ -165,25 +181,29 @@ def _ranked_bins(df: DataFrame, intervals: list[_Interval], by_value: bool, skip
     for i, interval in enumerate(intervals):
         by_column.setdefault(interval.column, []).append((i, interval))
 
-    cells, inside = [], F.lit(False)
+    cells, tests = [], []
     for slot, (name, mine) in enumerate(by_column.items()):
-        v, key = as_double(df, name), F.lit(None).cast("bigint")
+        value = "CAST(`" + name.replace("`", "``") + "` AS DOUBLE)"
+        branches = ""
         for i, x in mine:
-            hit = v.between(F.lit(x.low), F.lit(x.high))
-            place = F.lit(i).cast("bigint") if by_value else F.lit(i * STRIDE).cast("bigint") + _bin(v, x)
-            key, inside = F.when(hit, place).otherwise(key), inside | hit
-        cells += [key.alias(f"k{slot}"), v.alias(f"v{slot}")]
+            key = f"{i}L" if by_value else f"{i * STRIDE}L + {_bin(value, x)}"
+            tests.append(_within(df, name, x))
+            branches += f" WHEN {tests[-1]} THEN {key}"
+        cells += [f"CASE{branches} END AS k{slot}", f"{value} AS v{slot}"]
+    wide = (df.filter(" OR ".join(f"({t})" for t in tests)) if skip_rows else df).selectExpr(*cells)
     pairs = ", ".join(f"(k{slot}, v{slot})" for slot in range(len(by_column)))
-    wide = (df.filter(inside) if skip_rows else df).select(*cells)
-    long = df.sparkSession.sql(f"SELECT k, v FROM {{wide}} UNPIVOT ((k, v) FOR slot IN ({pairs}))", wide=wide)
-    keys = ["k", "v"] if by_value else ["k"]
-    counts = long.filter("k IS NOT NULL").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
+    ranks = ", ".join(f"array({', '.join(f'{r}L' for r in x.ranks)})" for x in intervals)
+    # At most STRIDE (or SMALL_INTERVAL) rows per interval reach the window.
+    return df.sparkSession.sql(
+        f"""
+        WITH counts AS (
+          SELECT CAST({'k' if by_value else f'floor(k / {STRIDE})'} AS INT) AS interval,
+            count(*) AS rows, min(v) AS low, max(v) AS high
+          FROM {{wide}} UNPIVOT ((k, v) FOR slot IN ({pairs})) WHERE k IS NOT NULL
+          GROUP BY k{', v' if by_value else ''}),
+        placed AS (SELECT *, sum(rows) OVER (PARTITION BY interval ORDER BY low) - rows AS before FROM counts)
+        SELECT interval, low, high, rows, before FROM placed
+        WHERE exists(element_at(array({ranks}), interval + 1), r -> r >= before AND r < before + rows)
+        """,
+        wide=wide,
     )
-    bins = counts.select((F.col("k") if by_value else F.floor(F.col("k") / STRIDE)).cast("int").alias("interval"), "low", "high", "rows")
-    # At most STRIDE (or SMALL_INTERVAL) rows per interval reach this window.
-    placed = bins.withColumn("before", F.sum("rows").over(Window.partitionBy("interval").orderBy("low")) - F.col("rows"))
-    wanted = [F.array(*[F.lit(r).cast("bigint") for r in x.ranks]) for x in intervals]
-    ranks = F.element_at(F.array(*wanted), F.col("interval") + 1)
-    hit = F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("rows")))
-    return placed.filter(hit).select("interval", "low", "high", "rows", "before")
