@@ -64,6 +64,15 @@ def test_rejections(spark, tmp_path):
     assert rows(read_csv(spark, put(tmp_path, 'size\n5" pipe\n', "inch.csv"))) == [('5" pipe',)]
 
 
+def test_short_rows_are_filled_and_long_rows_stop(spark, tmp_path):
+    assert rows(read_csv(spark, put(tmp_path, "a,b\n1\n2,3\n", "short.csv"))) == [("1", None), ("2", "3")]
+    with pytest.raises(LoadError, match="more cells"):
+        read_csv(spark, put(tmp_path, "a,b\n1,2,3\n", "long.csv"))
+    late = read_csv(spark, put(tmp_path, "a,b\n" + "1,2\n" * 50 + "1,2,3\n", "late.csv"))
+    with pytest.raises(Exception, match="more cells"):
+        late.df.select("b").collect()
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'q"uote', [1.0]), (2, "new\nline, comma", None), (3, None, None)], "k long, s string, a array<double>")
     write_csv(df, str(tmp_path / "out"))

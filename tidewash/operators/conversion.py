@@ -118,6 +118,12 @@ def _counters(
     """Aggregates over a text column and its ``stripped`` form."""
     c, s = col(name), F.col(stripped)
     counters = {"n": F.count(c)}
+    if read:
+        counters |= {
+            "integer": F.count(parse_whole_number(s, stripped=True)),
+            "float": F.count(parse_number(s, stripped=True)),
+            "boolean": F.count(parse_boolean(c)),
+        }
     if declared is not None:
         value = declared.expression(shapes)
         counters |= {"value": F.count(value), "mean": F.avg(value)}
@@ -125,18 +131,11 @@ def _counters(
             _, unit = unit_parts(c, declared.pattern)
             counters["known"] = F.count_if(value.isNotNull() & unit.isin(*UNIT_FACTORS[declared.unit]))
         return counters
-    counters |= {
+    return counters | {
         "unit": F.count(number_with_unit(s, stripped=True)),
         "number": F.count(to_number(s, stripped=True)),
         "time": F.count(parse_timestamp(stripped, shapes, stripped=True)),
     }
-    if read:
-        counters |= {
-            "integer": F.count(parse_whole_number(s, stripped=True)),
-            "float": F.count(parse_number(s, stripped=True)),
-            "boolean": F.count(parse_boolean(c)),
-        }
-    return counters
 
 
 def _with_stripped(df: DataFrame, batch: Sequence[str], texts: set[str]) -> DataFrame:
@@ -144,17 +143,23 @@ def _with_stripped(df: DataFrame, batch: Sequence[str], texts: set[str]) -> Data
     return df.select(*[col(c) for c in batch], *[strip(col(c)).alias(f"s{i}") for i, c in enumerate(batch) if c in texts])
 
 
-def _ladder(name: str, got: dict[str, int], protect_dates: bool) -> Conversion:
+def _reader_type(name: str, got: dict[str, int]) -> Conversion | None:
+    """The type all cells have, if the reader's types were counted."""
     n = got["n"]
-    if n == 0:
-        return Conversion(name, "string", "string", "none", "empty")
     for kind, action, dtype in (
         ("integer", "read_integer", "bigint"),
         ("float", "read_float", "double"),
         ("boolean", "read_boolean", "boolean"),
     ):
-        if got.get(kind) == n:
-            return Conversion(name, "string", dtype, action, converted=n, values=n)
+        if n and got.get(kind) == n:
+            return Conversion(name, "string", dtype, action, "reader_type", values=n)
+    return None
+
+
+def _ladder(name: str, got: dict[str, int], protect_dates: bool) -> Conversion:
+    n = got["n"]
+    if n == 0:
+        return Conversion(name, "string", "string", "none", "empty")
     rungs = [
         ("unit", "unit_extraction", "double", UNIT_SHARE),
         ("number", "to_numeric", "double", CONVERT_SHARE),
@@ -184,8 +189,9 @@ def fit_conversions(
     half are numbers after deleting commas and blanks, else timestamps if half are dates;
     cells that fail become null. Fields a spec declares numeric (or columns with a rule,
     without a spec) are extracted with their pattern instead, and gaps filled with the
-    mean if ``fill_after_extract``. ``read_types`` first tries the all-or-nothing
-    whole-number, decimal and boolean types of a CSV reader. ``protect_dates`` tries
+    mean if ``fill_after_extract``. ``read_types`` first gives every column
+    (declared ones too) the whole-number, decimal or boolean type all its cells have, as a
+    CSV reader does. ``protect_dates`` tries
     dates before units, which otherwise take "5 January 2024" for 5.
     """
     spec, rules = FieldSpec.parse(spec), rules or {}
@@ -206,7 +212,10 @@ def fit_conversions(
         rows = row["rows"]
         for i, (c, counters) in enumerate(plan.items()):
             got = {k: row[f"{i}:{k}"] for k in counters}
-            if c in texts and declared[c] is not None:
+            read = _reader_type(c, got) if c in texts else None
+            if read is not None:
+                done.append(read)
+            elif c in texts and declared[c] is not None:
                 d = declared[c]
                 fill = got["mean"] if fill_after_extract and got["value"] and got["value"] < rows else None
                 count = got.get("known", got["value"])

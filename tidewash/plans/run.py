@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from ..operators.validate import ISSUE_SCHEMA, ValidationError, find_issues
 from ..sinks import json_safe, spreadsheet_safe, write_csv, write_json, write_parquet
 from ..sources.csv import read_csv
 from ..sources.tables import stage_table
-from .lineage import Lineage
+from .lineage import Lineage, plain
 from .rules import CleaningRules
 
 SAMPLE_ROWS = 10
@@ -64,7 +65,13 @@ class CleaningResult:
             packed(self.profile, "profile"),
             packed(self.lineage.table(spark), "lineage"),
         ]
-        row = self.summary
+        types = {} if self.semantic_types is None else self.semantic_types
+        row = self.summary.withColumns(
+            {
+                "semantic_types": F.from_json(F.lit(json.dumps(types)), "map<string,string>"),
+                "samples": F.lit(json.dumps(plain(self.samples), ensure_ascii=False)),
+            }
+        )
         for part in parts:
             if part is not None:
                 row = row.join(part)  # one row on each side
@@ -162,7 +169,7 @@ def clean_table(
             (
                 rows_before, imputation.rows - outliers, len(given), len(data_columns(df)), duplicates, outliers, dropped,
                 imputation.total, imputation.filled, missing_before, after, conversions.converted_total,
-                {r.before: r.after for r in renames}, encoding, str(rules.as_dict()),
+                {r.before: r.after for r in renames}, encoding, json.dumps(rules.as_dict()),
             )
         ],
         SUMMARY_SCHEMA,

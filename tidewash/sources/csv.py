@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,11 @@ JVM_NAMES = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 # ----------------------------------------------------------------------------
 
 
+# Holds what a row has beyond the header.
+EXTRA = "_extra"
+TOO_LONG = "a row has more cells than the header"
+
+
 class LoadError(ValueError):
     """The input cannot be used as a table."""
 
@@ -155,20 +160,26 @@ def read_csv(
             columns = columns or names
             if sorted(names) != sorted(columns):
                 raise LoadError(f"Files differ in their columns: {columns} and {names}")
-            schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+            schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
             part = spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True).csv(members)
-            parts.append(part.toDF(*names))
+            parts.append(part.toDF(*names, EXTRA))
     except AnalysisException as e:
         raise LoadError(f"File not found: {path}") from e
     if not columns:
         raise LoadError(f"CSV contains no columns: {path}")
 
     df = reduce(lambda a, b: a.unionByName(b), parts)
+    # A row longer than the header stops the read, rather than losing its last cells.
+    fits = F.when(col(EXTRA).isNull(), True).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("boolean"))
+    df = df.filter(fits).drop(EXTRA)
     if row_id:
         df = with_row_id(df)
     cells = [blank_to_null(null_tokens(col(c), na_tokens)).alias(c) for c in columns]
     df = df.select(*[col(c) for c in df.columns if c not in columns], *cells)
-    _reject_unusable(df, path)
+    try:
+        _reject_unusable(df, path)
+    except SparkRuntimeException as e:
+        raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {TOO_LONG}") from e
     return CsvTable(df, tuple(dict.fromkeys(e for e, _ in sorted(groups, key=lambda g: tried.index(g[0])))))
 
 
