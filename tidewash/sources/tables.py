@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +16,13 @@ def read_table(spark: SparkSession, path: str, row_id: bool = False) -> DataFram
     return with_row_id(df) if row_id and ROW_ID not in df.columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A new folder name that every executor reaches.
 
-    On a cluster that setting must name storage every executor reaches; only a local
-    session without it falls back to a temporary folder.
+    It lies under ``base`` if given, else under ``spark.checkpoint.dir``, else under
+    ``spark.sql.warehouse.dir``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="tidewash-")
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tidewash-{uuid.uuid4().hex}"
 
 
