@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .mixing import mix, word_count
+from .simhash import near_duplicates
+from .topk import top_k, whole_numbers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +24,36 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op6_mixing(spark, sf_dir):
+    mixed = mix(table(spark, sf_dir, "documents"), word_count(F.col("text")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op7_topk(spark, sf_dir):
+    vectors = whole_numbers(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.where("id % 100 = 0"), vectors, 10)
+
+
+ORACLES["op7_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     rows = exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
