@@ -43,7 +43,7 @@ def _merged(runs: DataFrame, largest: bool) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
+            rows = pa.table(batch.columns, names=batch.schema.names)  # every column nullable
             rows = pa.concat_tables([held, rows]) if held else rows
             rows = rows.group_by(names, use_threads=False).aggregate([("keep", how), ("copies", "sum")])
             rows = rows.rename_columns([*names, "keep", "copies"]).select(batch.schema.names)
