@@ -34,8 +34,8 @@ def parts_for(rows: int, per_part: int) -> int:
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``most_bytes``, or one row."""
-    sizes, start, held = batch.column(column), 0, 0
-    lengths = pc.binary_length(sizes).fill_null(0).to_pylist()
+    start, held = 0, 0
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + n > most_bytes:
             yield batch.slice(start, i - start)

@@ -5,14 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup, toxicity, urls
 from .common import table
 from .exact_dedup import exact_duplicates
 from .mixing import mix, word_count
+from .packing import pack_documents
+from .secrets import find_secrets, listed
 from .simhash import near_duplicates
 from .topk import top_k, whole_numbers
+from .warc import read_archives, resolved, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +29,31 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_packing(spark, sf_dir):
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    path = write_archives(table(spark, sf_dir, "pages"))
+    rows = resolved(read_archives(spark, path))
+    return rows.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
+@query
+def op5_secrets(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_mixing(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents"), word_count(F.col("text")))
@@ -61,8 +91,41 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# DuckDB's sha1 takes text, which is the payload here; base32 goes by five bits of 40-bit groups.
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id,
+    list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, 1 + 10 * CAST(floor(i / 8) AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d"""
+
 ORACLES["op10_exact_dedup"] = f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)"""
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 0)
+    scored = toxicity.score(docs, model).select("doc.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.dropped_lines(docs)
+    rows = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"), F.monotonically_increasing_id().alias("row"))
+    return rows.join(gone, "row", "left").select("doc_id", "lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    judged = urls.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumnRenamed("id", "page_id")
