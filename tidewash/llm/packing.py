@@ -27,7 +27,7 @@ WORDS = 1_000_000
 LETTERS, NUMERALS, BLANKS = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ‐-‧‰-⁞]*")
 UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMERALS}]|[^{LETTERS}{NUMERALS}{BLANKS}]+")
-GAP = re.compile(r"\s")
+GAP = re.compile("[\t-\r ]")
 
 
 class WordIds:
@@ -78,7 +78,7 @@ class WordIds:
         until = np.cumsum(counts)
         where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
         ids = np.frombuffer(self.ids, np.uint32)[where] if len(where) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], until])[np.cumsum([len(s) for s in split])]
+        ends = np.concatenate([[0], until])[np.cumsum([len(s) for s in split], dtype=np.int64)]
         if len(self.place) > WORDS:
             self.clear()
         return np.split(ids, ends[:-1])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, toxicity, urls
-from .common import table
+from .common import numbered, table
 from .exact_dedup import exact_duplicates
 from .mixing import mix, word_count
 from .packing import pack_documents
@@ -119,10 +119,11 @@ def op9_toxicity(spark, sf_dir):
 
 @query
 def op3_line_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = numbered(table(spark, sf_dir, "documents"))
     gone = line_dedup.dropped_lines(docs)
-    rows = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"), F.monotonically_increasing_id().alias("row"))
-    return rows.join(gone, "row", "left").select("doc_id", "lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+    rows = docs.select("doc.doc_id", F.size(F.split(F.coalesce("doc.text", F.lit("")), "\n")).alias("lines"), "file", "row")
+    rows = rows.join(gone, ["file", "row"], "left")
+    return rows.select("doc_id", "lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
 
 
 @query

@@ -99,22 +99,22 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Inverted index of ``row, text``: a row for each of ``trigrams`` that a text holds, in any
-    case, as ``row, trigram``."""
+    """Inverted index of ``h, g, text``: a row for each of ``trigrams`` that a text holds, in any
+    case, as ``h, g, trigram``."""
     low = F.lower("text")
     present = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]), lambda x: x.isNotNull())
-    return docs.select("row", F.explode(present).alias("trigram"))
+    return docs.select("h", "g", F.explode(present).alias("trigram"))
 
 
 def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, Query]) -> DataFrame:
-    """``row, kinds`` of the rules whose query a row's postings meet: per alternative, the postings
-    of its trigrams are intersected. Each row has few postings at most, one per trigram."""
+    """``h, g, kinds`` of the rules whose query a text's postings meet: per alternative, the postings
+    of its trigrams are intersected. Equal texts share theirs, merged before the shuffle."""
     place = {t: i for i, t in enumerate(trigrams)}
     has = [F.max(F.col("trigram") == i) for i in range(len(trigrams))]
-    rows = index.groupBy("row").agg(*[h.alias(f"t{i}") for i, h in enumerate(has)])
+    rows = index.groupBy("h", "g").agg(*[h.alias(f"t{i}") for i, h in enumerate(has)])
     met = [F.when(_any([_all([F.col(f"t{place[t]}") for t in alternative]) for alternative in q]), F.lit(kind)) for kind, q in queries.items()]
     kinds = F.filter(F.array(*met), lambda x: x.isNotNull())
-    return rows.select("row", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return rows.select("h", "g", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
 def _any(parts: list[Column]) -> Column:
@@ -158,15 +158,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: st
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ALWAYS}
     trigrams = sorted({t for q in indexed.values() for a in q for t in a})
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text"))  # name the text
     found = staged(candidates(postings(rows, trigrams), trigrams, indexed)) if indexed else None
     full = [(i, r) for i, r in enumerate(rules) if r.kind not in indexed]
     empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     # A scan of every text is one test for most of them; only those that match are split.
     scanned = [F.when(F.regexp_like("text", F.lit(_tight(r))), spans_of(F.col("text"), r, i)).otherwise(empty) for i, r in full]
-    base = rows.select("row", "id", "text", F.concat(empty, *scanned).alias("scanned"))
+    base = rows.select("h", "g", "id", "text", F.concat(empty, *scanned).alias("scanned"))
     if found is not None:
-        base = base.join(found, "row", "left")
+        base = base.join(found, ["h", "g"], "left")
         verified = [F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r, i)).otherwise(empty) for i, r in enumerate(rules) if r.kind in indexed]
         base = base.withColumn("scanned", F.concat("scanned", *verified))
     spans = F.array_sort("scanned")

@@ -37,15 +37,15 @@ RULES = (
 @dataclass(frozen=True)
 class Tree:
     """How templates are learned. A place in a path whose values make up more than ``fan_share`` of
-    its rows, being over ``fan`` values, is variable. Branches merge while their labels and
-    next segments differ less than chance would (``chi2`` per degree of freedom). A template
-    is rejected from ``purity`` blocked on; ``prior`` labels of the common share smooth it.
+    its rows, being over ``fan`` values, is variable. Branches merge unless their labels or
+    next segments differ by more than chance would (chi-squared, over its mean by this many
+    standard deviations). A template is rejected from ``purity`` blocked on; ``prior`` labels of the common share smooth it.
     """
 
     depth: int = 6
     fan: int = 20
     fan_share: float = 0.05
-    chi2: float = 3.84
+    deviations: float = 2.0
     purity: float = 0.8
     prior: float = 4.0
 
@@ -86,7 +86,7 @@ def templates(paths: DataFrame, tree: Tree = Tree()) -> DataFrame:
     The tree of a host grows one level at a time. At each, the values of the next segment under a
     template are counted. Are they many for their rows, they all become one wildcard. Otherwise
     the labelled values whose labels and following segments are distributed like those of all
-    labelled values together (a chi-squared test) merge into one branch ``{*}``. Values
+    labelled values together (chi-squared tests) merge into one branch ``{*}``. Values
     without labels keep a branch of their own, so what is known of one never rejects another.
     """
     rows, deepest = paths.withColumn("template", F.lit("")), paths.agg(F.max(F.size("segments"))).first()[0] or 0
@@ -96,24 +96,28 @@ def templates(paths: DataFrame, tree: Tree = Tree()) -> DataFrame:
         # Categories of a branch: label and following segment.
         kinds = here.groupBy("host", "template", "_value", "_next").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
         values = kinds.groupBy("host", "template", "_value").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
-        fans = values.groupBy("host", "template").agg(F.count("*").alias("_fan"), F.sum("n").alias("_n"), F.sum("allow").alias("_allow"), F.sum("block").alias("_block"))
-        # Expected counts of a branch if labels and following segments are as in all labelled branches.
-        labelled = kinds.where("allow + block > 0").select(
-            "host", "template", "_value",
-            F.explode(F.array(F.struct(F.concat(F.lit("a"), "_next").alias("kind"), F.col("allow").alias("seen")), F.struct(F.concat(F.lit("b"), "_next").alias("kind"), F.col("block").alias("seen")))).alias("x"),
-        ).select("host", "template", "_value", "x.kind", "x.seen").where("seen > 0")
-        pooled = labelled.groupBy("host", "template", "kind").agg(F.sum("seen").alias("_pool"))
-        whole = fans.select("host", "template", (F.col("_allow") + F.col("_block")).alias("_labels"))
-        sizes = values.select("host", "template", "_value", (F.col("allow") + F.col("block")).alias("_size")).where("_size > 0")
-        cells = labelled.join(pooled, ["host", "template", "kind"]).join(sizes, ["host", "template", "_value"]).join(whole, ["host", "template"])
+        fans = values.groupBy("host", "template").agg(F.count("*").alias("_fan"), F.sum("n").alias("_n"))
+        # Two tests of each labelled branch against all of them together: its labels, its following segments.
+        labels = F.col("allow") + F.col("block")
+        seen = F.array(
+            F.struct(F.lit("label").alias("test"), F.lit("allow").alias("kind"), F.col("allow").alias("seen")),
+            F.struct(F.lit("label").alias("test"), F.lit("block").alias("kind"), F.col("block").alias("seen")),
+            F.struct(F.lit("next").alias("test"), F.col("_next").alias("kind"), labels.alias("seen")),
+        )
+        cells = kinds.where(labels > 0).select("host", "template", "_value", F.explode(seen).alias("x")).select("host", "template", "_value", "x.*")
+        cells = cells.groupBy("host", "template", "_value", "test", "kind").agg(F.sum("seen").alias("seen")).where("seen > 0")
+        pooled = cells.groupBy("host", "template", "test", "kind").agg(F.sum("seen").alias("_pool"))
+        whole = pooled.groupBy("host", "template", "test").agg(F.sum("_pool").alias("_labels"), F.count("*").alias("_kinds"))
+        sizes = values.select("host", "template", "_value", labels.alias("_size")).where("_size > 0")
+        joined = cells.join(pooled, ["host", "template", "test", "kind"]).join(sizes, ["host", "template", "_value"]).join(whole, ["host", "template", "test"])
         expected = F.col("_size") * F.col("_pool") / F.col("_labels")
-        # Cells that a branch lacks add their expected count, so the sum needs only the cells it has.
-        chi = F.sum((F.col("seen") - expected) ** 2 / expected - expected) + F.max("_size")
-        tested = cells.groupBy("host", "template", "_value").agg(chi.alias("_chi"), F.count("*").alias("_cells"))
+        # Kinds that a branch lacks add their expected count, so the sum needs only the kinds it has.
+        chi, free = F.sum((F.col("seen") - expected) ** 2 / expected - expected) + F.max("_size"), F.greatest(F.max("_kinds") - 1, F.lit(1))
+        passed = chi <= free + tree.deviations * F.sqrt(2 * free)
+        tested = joined.groupBy("host", "template", "_value", "test").agg(passed.alias("_passed")).groupBy("host", "template", "_value").agg(F.bool_and("_passed").alias("_alike"))
         variable = (F.col("_fan") > tree.fan) & (F.col("_fan") > tree.fan_share * F.col("_n"))
-        alike = F.col("_chi") <= tree.chi2 * F.greatest(F.col("_cells") - 1, F.lit(1))
-        named = F.when(variable, "{var}").when(alike & (F.col("_fan") > 1), "{*}").otherwise(F.col("_value"))
-        branches = values.join(fans.select("host", "template", "_fan", "_n"), ["host", "template"]).join(tested, ["host", "template", "_value"], "left")
+        named = F.when(variable, "{var}").when(F.col("_alike") & (F.col("_fan") > 1), "{*}").otherwise(F.col("_value"))
+        branches = values.join(fans, ["host", "template"]).join(tested, ["host", "template", "_value"], "left")
         branches = branches.select("host", "template", "_value", F.concat("template", F.lit("/"), named).alias("_branch"))
         rows = staged(
             rows.join(branches, ["host", "template", "_value"], "left").withColumn("template", F.coalesce("_branch", "template")).drop("_branch", "_value", "_next")

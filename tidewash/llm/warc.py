@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
-from .common import staged
+from .common import numbered, staged
 
 #: Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,7 +41,7 @@ def originals(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def _record_id(order: Column) -> Column:
-    name = F.md5(F.concat_ws(" ", order["none"].cast("string"), F.coalesce(order["key"].cast("string"), F.lit("")), order["row"].cast("string")))
+    name = F.md5(F.concat_ws(" ", order["none"].cast("string"), F.coalesce(order["key"].cast("string"), F.lit("")), order["file"].cast("string"), order["row"].cast("string")))
     parts = [F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -57,14 +57,13 @@ def write_archives(pages: DataFrame, path: str | None = None, key_column: str =
 
     Of records with equal payloads (null counts as empty, text is UTF-8) the one with the
     smallest key is a response, the others revisit it without a body; null keys come last, and
-    among rows with one key the earlier in the input comes first. Every record gets fresh
-    headers. Files are gzip-compressed, hold about ``file_bytes`` of payload, and each stands
-    alone. The order of the input must be stable, as that of files is.
+    among rows with one key their place in the input decides. Every record gets fresh headers.
+    Files are gzip-compressed, hold about ``file_bytes`` of payload, and each stands alone.
     """
-    payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b"").cast("binary"))
-    records = pages.select(
-        F.struct(F.col(key_column).isNull().alias("none"), F.col(key_column).alias("key"), F.monotonically_increasing_id().alias("row")).alias("order"),
-        F.col(uri_column).alias("uri"), payload.alias("payload"),
+    page = F.col("doc")
+    payload = F.coalesce(page[payload_column].cast("binary"), F.lit(b"").cast("binary"))
+    records = numbered(pages).select(
+        F.struct(page[key_column].isNull().alias("none"), page[key_column].alias("key"), "file", "row").alias("order"), page[uri_column].alias("uri"), payload.alias("payload"),
     ).withColumn("digest", payload_digest(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     headers = staged(originals(records.select("order", "digest", "bytes"), min_bytes))
     # Hashed, not sorted: payloads are streamed past the headers.
