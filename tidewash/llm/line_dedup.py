@@ -44,8 +44,9 @@ def _half_keys(text: Column, length: Column) -> Column:
 
 def _shared(keyed: DataFrame, key: str) -> DataFrame:
     """Rows whose key another line has too. Keys are counted after partial aggregation, so a key
-    of a third of all lines is one row per task; rows are only streamed past the keys found."""
-    found = keyed.groupBy(key).agg(F.min("h").alias("_a"), F.max("h").alias("_b")).where("_a <> _b").select(key)
+    of a third of all lines is one row per task; rows are only streamed past the keys found,
+    in a join that can be split."""
+    found = staged(keyed.groupBy(key).agg(F.min("h").alias("_a"), F.max("h").alias("_b")).where("_a <> _b").select(key))
     return keyed.join(found, key, "left_semi")
 
 
@@ -87,7 +88,7 @@ def _links(variants: DataFrame) -> DataFrame:
     member meets at most the earliest line of either role."""
     me = F.struct("first", "h", "g")
     earliest = variants.groupBy("a", "b").agg(F.min(F.when(F.col("shorter"), me)).alias("s"), F.min(F.when(~F.col("shorter"), me)).alias("l"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = variants.join(earliest, ["a", "b"])
+    met = variants.join(staged(earliest), ["a", "b"])
     partner = F.when(F.col("replaced") | ~F.col("shorter"), F.col("s")).otherwise(F.col("l"))
     met = met.withColumn("p", partner).where(F.col("p").isNotNull() & (F.col("p.first") < F.col("first")))
     return met.select("h", "g", F.col("p.h").alias("eh"), F.col("p.g").alias("eg")).distinct()
@@ -106,7 +107,8 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     lines = _lines(docs, id_column, text_column).where(F.length("norm") >= min_chars)
     keys = _half_keys(F.col("norm"), F.length("norm"))
-    texts = staged(lines.select("h", "g", _order().alias("first"), keys.alias("keys")).groupBy("h", "g").agg(F.min("first").alias("first"), F.first("keys").alias("keys")))
+    found = lines.select("h", "g", _order().alias("first"), keys.alias("keys")).groupBy("h", "g")
+    texts = staged(found.agg(F.min("first").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
     wanted = staged(_shared(texts.select("h", "g", F.explode("keys").alias("key")), "key").select("h", "g").distinct())
     candidates = _passing(lines, wanted).groupBy("h", "g").agg(F.min(_order()).alias("first"), F.first("norm").alias("norm")).join(wanted, ["h", "g"], "left_semi")
     candidates = staged(candidates)
@@ -117,7 +119,8 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .join(candidates.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("norm").alias("earlier")), ["eh", "eg"])
         .where(F.levenshtein("norm", "earlier", 1) >= 0).select("h", "g").distinct().withColumn("near", F.lit(True))
     )
-    decided = texts.select("h", "g", "first").join(near, ["h", "g"], "left")
+    # Only lines with copies or a near neighbour lose any; a line of a third of all documents is one row here.
+    decided = staged(texts.select("h", "g", "first", "copies").join(near, ["h", "g"], "left").where("near OR copies > 1").drop("copies"))
     places = lines.select("h", "g", "file", "row", "pos").join(decided, ["h", "g"])
     gone = places.where(F.col("near") | (F.col("first.file") != F.col("file")) | (F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
     # A document's own lines, so no longer than the document.

@@ -14,7 +14,7 @@ from .common import numbered, table
 from .exact_dedup import exact_duplicates
 from .mixing import mix, word_count
 from .packing import pack_documents
-from .secrets import find_secrets, listed
+from .secrets import RULES, find_secrets, listed, tight
 from .simhash import near_duplicates
 from .topk import top_k, whole_numbers
 from .warc import read_archives, resolved, write_archives
@@ -117,6 +117,26 @@ def op9_toxicity(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _secrets_sql() -> str:
+    """Matches and the gaps between them, as lists; a match starts where all before it ends."""
+    lists, spans = [], []
+    for place, r in enumerate(RULES):
+        pattern = tight(r).replace("'", "''")
+        lists.append(f"regexp_split_to_array(t, '{pattern}') AS g{place}, regexp_extract_all(t, '{pattern}', 0) AS m{place}, regexp_extract_all(t, '{pattern}', {r.group}) AS v{place}")
+        start = f"CAST(list_sum([length(x) FOR x IN g{place}[1:i]]) + coalesce(list_sum([length(x) FOR x IN m{place}[1:i - 1]]), 0) AS BIGINT)"
+        span = f"{{'s': {start}, 'p': {place}, 'k': '{r.kind}', 'e': {start} + length(m{place}[i])}}"
+        spans.append(f"[{span} FOR i IN range(1, len(m{place}) + 1) IF length(v{place}[i]) >= {r.least}]")
+    base = [x for x, r in zip(spans, RULES) if r.base]
+    listed = "coalesce(array_to_string([x.k || ':' || x.s || ':' || x.e FOR x IN list_sort({})], ','), '')"
+    counts = ", ".join(f"CAST(len([x FOR x IN b IF x.k = '{r.kind}']) AS BIGINT) AS n_{r.kind}" for r in RULES if r.base)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), l AS (SELECT doc_id, {', '.join(lists)} FROM d),
+f AS (SELECT doc_id, {' || '.join(base)} AS b, {' || '.join(spans)} AS a FROM l)
+SELECT doc_id, {counts}, sha256({listed.format('b')}) AS base_sha256, {listed.format('a')} AS spans FROM f"""
+
+
+ORACLES["op5_secrets"] = _secrets_sql()
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     docs = numbered(table(spark, sf_dir, "documents"))

@@ -129,7 +129,7 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """Array of ``start, place, kind, end`` (code points, end exclusive) of a rule's matches, leftmost
     and without overlap: the text is split at the matches, so lengths of gaps and matches add
     up to positions."""
-    pattern = _tight(rule)
+    pattern = tight(rule)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     parts = F.arrays_zip(gaps.alias("g"), matches.alias("m"), values.alias("v"))
@@ -164,7 +164,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: st
     full = [(i, r) for i, r in enumerate(rules) if r.kind not in indexed]
     empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     # A scan of every text is one test for most of them; only those that match are split.
-    scanned = [F.when(F.regexp_like("text", F.lit(_tight(r))), spans_of(F.col("text"), r, i)).otherwise(empty) for i, r in full]
+    scanned = [F.when(F.regexp_like("text", F.lit(tight(r))), spans_of(F.col("text"), r, i)).otherwise(empty) for i, r in full]
     base = rows.select("h", "g", "id", "text", F.concat(empty, *scanned).alias("scanned"))
     if found is not None:
         base = base.join(found, ["h", "g"], "left")
@@ -175,7 +175,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: st
     return base.select("id", spans.alias("spans")).withColumn("base", F.filter("spans", lambda s: s["kind"].isin(names)))
 
 
-def _tight(rule: Rule) -> str:
+def tight(rule: Rule) -> str:
     """The rule's pattern; one class repeated asks for its least repeat at once, as runs are whole."""
     return re.sub(r"^(\[[^\]]+\])\+$", rf"\1{{{rule.least},}}", rule.pattern)
 
