@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_passes:
 
 
 def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), most_passes: int = 3, seed: int = 7) -> DataFrame:
-    """One row per document: ``id, source, size, source_size, target, taken``.
+        weights: tuple[int, ...] = (1, 2, 3), most_passes: int = 3, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``id, source, size, source_size, target, taken`` and the ``carry`` columns.
 
     Every source queues its documents in a shuffled order, pass after pass (up to
     ``most_passes``, only as many as its target needs). A queued copy finishes at the virtual
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column:
     0. Documents of size 0 and sources without tokens take nothing. No rows give no rows.
     """
     rows = docs.select(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+        F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.struct(F.lit(0), *carry).alias("_carry"),
     ).withColumn("_row", F.monotonically_increasing_id())
     rows = staged(rows)
     count = rows.count()
@@ -85,5 +85,5 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column:
     taken = served.where(F.col("_total") - F.col("size") / 2 < F.lit(total)).groupBy("_row").agg(F.sum("size").alias("taken"))
     return (
         queue.join(taken, "_row", "left")
-        .select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col("_carry")[c].alias(c) for c in carry])
     )

@@ -94,14 +94,15 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, shard: int = SHAR
 
     Ties go to the smaller identifier; a query's own identifier is no candidate, other rows with
     an equal vector are. Rows that repeat an identifier are candidates of their own, and repeated
-    queries are answered once. Vectors of other lengths than the query's are no candidates.
+    queries are answered once, by
+    the least of their vectors. Vectors of other lengths than the query's are no candidates.
     Fewer than k candidates give a shorter list, none give no rows. Scores outside 64 bits fail.
     """
     session = queries.sparkSession
     count = vectors.count()
     n_shards = parts_for(count, shard)
     shards = staged(_blocks(vectors.repartition(n_shards, F.xxhash64("id")), shard).withColumn("shard", F.row_number().over(Window.orderBy("block")) - 1))
-    asked = queries.dropDuplicates(["id"])
+    asked = queries.groupBy("id").agg(F.min("vector").alias("vector"))
     tiles = staged(_blocks(asked.repartition(parts_for(asked.count(), tile), F.xxhash64("id")), tile).select(
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dims"), F.col("values").alias("q_values")))
     # Every tile goes to every group of shards once; a group is what one task reads.
