@@ -16,6 +16,7 @@ HEADLINE = (
     "profile_table", "numeric_stats", "quartiles", "value_counts_top5", "dedupe_rows", "impute_median", "impute_mode",
     "unit_standardise", "datetime_coerce", "type_ladder_counts", "outlier_remove_any", "outlier_summary", "semantic_types",
     "missing_profile", "distinct_exact", "histogram_counts", "validate_range", "clean_run", "clean_run_spec",
+    "csv_roundtrip",
 )
 
 

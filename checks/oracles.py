@@ -132,17 +132,17 @@ _STORAGE = r"(\d+\.?\d*)\s*(MB|GB|TB)"
 STANDARD = f"""{PART}, parts AS (
   SELECT *, TRY_CAST(nullif(regexp_extract(storage, '{_STORAGE}', 1), '') AS DOUBLE) AS value, regexp_extract(storage, '{_STORAGE}', 2) AS unit FROM dirty_part),
 standard AS (SELECT *, value * CASE unit WHEN 'MB' THEN 1.0 / 1024 WHEN 'TB' THEN 1024 ELSE 1 END AS gb FROM parts)"""
-ORACLES["unit_standardise"] = f"{STANDARD} SELECT p_partkey, round(coalesce(gb, (SELECT avg(gb) FROM standard)), 6) AS \"Memory\" FROM standard"
+ORACLES["unit_standardise"] = f"{STANDARD} SELECT p_partkey, round(coalesce(gb, (SELECT avg(gb) FROM standard)), 6) AS \"Capacity\" FROM standard"
 _SCHEMA = f"""{PART}, found AS (SELECT p_partkey, {extracted('storage', r'(\d+)\s*(GB|TB|MB)')} AS m,
   {extracted('mass', r'(\d+\.?\d*)\s*kg')} AS w, {number('cost')} AS p, brand FROM dirty_part)"""
 ORACLES["schema_extract"] = f"""{_SCHEMA}
-SELECT p_partkey, round(coalesce(m, (SELECT avg(m) FROM found)), 6) AS "Memory", round(coalesce(w, (SELECT avg(w) FROM found)), 6) AS "Weight",
-  round(coalesce(p, (SELECT avg(p) FROM found)), 6) AS "Price", brand AS "BRAND" FROM found"""
+SELECT p_partkey, round(coalesce(m, (SELECT avg(m) FROM found)), 6) AS "Capacity", round(coalesce(w, (SELECT avg(w) FROM found)), 6) AS "Heft",
+  round(coalesce(p, (SELECT avg(p) FROM found)), 6) AS "ListPrice", brand AS "BRAND" FROM found"""
 ORACLES["schema_extract_counts"] = f"""{STANDARD}
-SELECT 'Memory' AS "column", 'unit_standardisation' AS action, count(*) FILTER (WHERE unit IN ('MB', 'GB', 'TB') AND value IS NOT NULL) AS converted_count,
+SELECT 'Capacity' AS "column", 'unit_standardisation' AS action, count(*) FILTER (WHERE unit IN ('MB', 'GB', 'TB') AND value IS NOT NULL) AS converted_count,
   'GB' AS unit, '{_STORAGE}' AS pattern_used FROM standard
-UNION ALL SELECT 'Weight', 'schema_extraction', count({extracted('mass', r'(\d+\.?\d*)\s*kg')}), 'kg', '(\\d+\\.?\\d*)\\s*kg' FROM standard
-UNION ALL SELECT 'Price', 'schema_extraction', count({number('cost')}), 'INR', NULL FROM standard""".replace("\\\\", "\\")
+UNION ALL SELECT 'Heft', 'schema_extraction', count({extracted('mass', r'(\d+\.?\d*)\s*kg')}), 'kg', '(\\d+\\.?\\d*)\\s*kg' FROM standard
+UNION ALL SELECT 'ListPrice', 'schema_extraction', count({number('cost')}), 'USD', NULL FROM standard""".replace("\\\\", "\\")
 ORACLES["rule_extract"] = f"""{PART}, found AS (SELECT p_partkey, {extracted('storage', r'(\d+)\s*[GT]B')} AS s, {extracted('mass', r'(\d+\.\d+)')} AS m, cost, brand FROM dirty_part)
 SELECT p_partkey, round(coalesce(s, (SELECT avg(s) FROM found)), 6) AS storage, round(coalesce(m, (SELECT avg(m) FROM found)), 6) AS mass, cost, brand FROM found"""
 ORACLES["numeric_coerce"] = f"{PART} SELECT p_partkey, {coerced('cost')} AS cost, {coerced('storage')} AS storage FROM dirty_part"
@@ -177,16 +177,16 @@ ORACLES["reader_types"] = "SELECT l_orderkey, l_tax, l_linenumber > 3 AS late, l
 
 # --- Names ------------------------------------------------------------------
 _MAPPED = {
-    "p_partkey": ("p_partkey", "unmapped"), "storage": ("Memory", "alias"), "mass": ("Weight", "alias"),
-    "cost": ("Price", "alias"), "brand": ("BRAND", "case_insensitive"),
+    "p_partkey": ("p_partkey", "unmapped"), "storage": ("Capacity", "alias"), "mass": ("Heft", "alias"),
+    "cost": ("ListPrice", "alias"), "brand": ("BRAND", "case_insensitive"),
 }
 ORACLES["field_mapping_report"] = PART + " " + unions(
     f"SELECT '{c}' AS original, '{to}' AS mapped_to, '{how}' AS match_type, count(*) AS row_count, count(*) - count({c}) AS missing_count FROM dirty_part"
     for c, (to, how) in _MAPPED.items()
 )
-ORACLES["field_mapping_apply"] = f'{PART} SELECT p_partkey, storage AS "Memory", mass AS "Weight", cost AS "Price", brand AS "BRAND" FROM dirty_part'
+ORACLES["field_mapping_apply"] = f'{PART} SELECT p_partkey, storage AS "Capacity", mass AS "Heft", cost AS "ListPrice", brand AS "BRAND" FROM dirty_part'
 ORACLES["duplicate_names"] = f"""{with_view('clashing_part')}
-SELECT p_partkey, memory AS "Memory", disk_size AS "Memory_1", storage_capacity AS "Memory_2", brand AS "BRAND" FROM clashing_part"""
+SELECT p_partkey, room AS "Capacity", disk AS "Capacity_1", tape AS "Capacity_2", brand AS "BRAND" FROM clashing_part"""
 
 # --- Statistics -------------------------------------------------------------
 def _quartiles(c: str) -> str:
@@ -308,7 +308,7 @@ def _number_type(table: str, c: str, whole: bool) -> str:
     latitude = "lat" in name
     longitude = "lon" in name or "lng" in name
     money = any(t in name for t in ("price", "cost", "salary", "revenue", "fee"))
-    identity = f"WHEN count(DISTINCT {c}) = count({c}) THEN 'NUMERIC_ID'" if whole else ""
+    identity = f"WHEN count(DISTINCT {c}) = count(*) THEN 'NUMERIC_ID'" if whole else ""
     return f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'UNKNOWN' WHEN min({c}) >= 0 AND max({c}) <= 1 THEN 'PERCENTAGE'
   WHEN {latitude} AND min({c}) >= -90 AND max({c}) <= 90 THEN 'LATITUDE' WHEN {longitude} AND min({c}) >= -180 AND max({c}) <= 180 THEN 'LONGITUDE'
   WHEN {money} THEN 'CURRENCY' {identity} ELSE 'NUMERIC_CONTINUOUS' END AS semantic_type FROM {table}"""
@@ -453,7 +453,7 @@ _RUN = f"""{CUSTOMER} SELECT c_custkey, coalesce(CAST(num_a AS DOUBLE), (SELECT
 ORACLES["clean_run"] = _RUN
 ORACLES["clean_run_csv"] = _RUN
 ORACLES["clean_run_spec"] = f"""{STANDARD}, found AS (SELECT p_partkey, gb, {extracted('mass', r'(\d+\.?\d*)\s*kg')} AS w, {number('cost')} AS p, brand FROM standard)
-SELECT p_partkey, round(coalesce(gb, (SELECT avg(gb) FROM found)), 6) AS "Memory", w AS "Weight", brand AS "BRAND" FROM found"""
+SELECT p_partkey, round(coalesce(gb, (SELECT avg(gb) FROM found)), 6) AS "Capacity", w AS "Heft", brand AS "BRAND" FROM found"""
 ORACLES["clean_run_outliers"] = ORACLES["outlier_remove_any"]
 ORACLES["run_summary"] = f"""{CUSTOMER} SELECT count(*) AS rows_before, count(*) AS rows_after, CAST(5 AS BIGINT) AS columns_before, CAST(4 AS BIGINT) AS columns_after,
   CAST(0 AS BIGINT) AS duplicates_removed, 'allnull' AS columns_dropped, 3 * count(*) - count(num_a) - count(seg) - count(bal) AS missing_filled_total,
@@ -469,10 +469,36 @@ SELECT 'file_loaded' AS action, count(*) AS affected_count FROM dup_orders
 UNION ALL SELECT 'types_converted', 0 UNION ALL SELECT 'columns_dropped', 0
 UNION ALL SELECT 'rows_dropped', (SELECT count(*) FROM dup_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders))
 UNION ALL SELECT 'nulls_imputed', 0 UNION ALL SELECT 'outliers_removed', 0 UNION ALL SELECT 'columns_renamed', 0"""
-ORACLES["steps_run"] = f"""{with_view('dirty_customer')}, trimmed AS (SELECT c_custkey, num_a, {strip('seg')} AS seg, bal FROM dirty_customer),
-deduped AS (SELECT * FROM trimmed QUALIFY row_number() OVER (PARTITION BY num_a ORDER BY c_custkey) = 1),
+ORACLES["steps_run"] = f"""{CUSTOMER}, deduped AS (SELECT * FROM clean_customer QUALIFY row_number() OVER (PARTITION BY num_a ORDER BY c_custkey) = 1),
 filled AS (SELECT c_custkey AS _row_id, coalesce(CAST(num_a AS DOUBLE), (SELECT avg(num_a) FROM deduped)) AS num_a, seg,
   coalesce(bal, (SELECT avg(bal) FROM deduped)) AS bal FROM deduped)
 SELECT _row_id, round(num_a, 6) AS num_a, seg, round(bal, 6) AS bal FROM filled
 WHERE NOT ({_out('filled', 'num_a', 0.5)} OR {_out('filled', 'bal', 0.5)})"""
-
+ORACLES["steps_report"] = f"""WITH kept AS (SELECT DISTINCT * FROM (SELECT o_custkey % 50 AS k, o_orderstatus, o_orderpriority FROM orders))
+SELECT (SELECT count(*) FROM orders) AS rows_before, count(*) AS rows_after, (SELECT count(*) FROM orders) - count(*) AS duplicates_removed,
+  CAST(0 AS BIGINT) AS outliers_removed, 'file_loaded,rows_dropped,outliers_removed' AS actions FROM kept"""
+
+# --- Any size ---------------------------------------------------------------
+_LINES = (("id", "bigint", "numeric"), ("l_orderkey", "bigint", "numeric"), ("l_returnflag", "string", "text"), ("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"))
+ORACLES["profile_large"] = (
+    "WITH lines AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey, l_returnflag, l_quantity, l_extendedprice FROM lineitem) "
+    + unions(_profile("lines", c, dtype, kind, "SELECT 'UNKNOWN' AS semantic_type", "id") for c, dtype, kind in _LINES)
+)
+ORACLES["distinct_estimated"] = f'SELECT "column", distinct_count, true AS within_error FROM ({ORACLES["distinct_exact"]})'
+ORACLES["distinct_decimal"] = """SELECT 'wide' AS "column", count(DISTINCT l_linenumber) AS distinct_count FROM lineitem
+UNION ALL SELECT 'l_orderkey', count(DISTINCT l_orderkey) FROM lineitem"""
+ORACLES["quantiles_extreme"] = f"""{with_view('odd_numbers')}, s AS (SELECT list(v ORDER BY v) AS x FROM odd_numbers WHERE v IS NOT NULL AND NOT isnan(v)),
+p AS (SELECT unnest([0.0, 0.1, 0.5, 0.9, 1.0]) AS p, unnest(range(5)) AS place),
+q AS (SELECT place, x[CAST(floor(pos) AS INTEGER) + 1] AS b, x[CAST(ceil(pos) AS INTEGER) + 1] AS a, pos - floor(pos) AS f
+  FROM (SELECT place, x, (len(x) - 1) * CAST(p AS DOUBLE) AS pos FROM s, p)),
+r AS (SELECT place, CASE WHEN a = b OR f = 0 THEN b ELSE b * (1 - f) + a * f END AS v FROM q)
+SELECT CAST(place AS INTEGER) AS place, CASE WHEN v = CAST('inf' AS DOUBLE) THEN 'inf' WHEN v = CAST('-inf' AS DOUBLE) THEN '-inf' ELSE format('{{:.4f}}', v) END AS quantile FROM r"""
+ORACLES["datetime_formats"] = """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE day(o_orderdate) > 12"""
+ORACLES["outlier_remove_reindexed"] = f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS _row_id, event_id FROM events WHERE NOT {_out('events', 'value')}"""
+ORACLES["outlier_totals"] = """SELECT count(*) AS total_rows, CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS BIGINT) AS total_columns,
+  CAST((SELECT count(*) FROM (DESCRIBE lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')) AS BIGINT) AS numeric_columns_analyzed FROM lineitem"""
+ORACLES["validate_failures"] = """SELECT ' ' AS "column", 'column 1 has no name' AS issue FROM (SELECT count(*) FROM customer)
+UNION ALL SELECT 'allnull', 'no cell has a value' UNION ALL SELECT '*', 'table without rows'"""
+ORACLES["csv_mixed_headers"] = "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders"
+ORACLES["lineage_json"] = ORACLES["lineage_counts"]
+ORACLES["report_json"] = "SELECT count(*) AS rows_before, count(*) AS rows_after, CAST(4 AS BIGINT) AS profiled, CAST(7 AS BIGINT) AS events FROM customer"

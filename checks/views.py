@@ -54,8 +54,8 @@ VIEWS = {
         FROM {orders}""",
     # Three columns of one declared field.
     "clashing_part": """
-        SELECT p_partkey, concat(p_size, 'GB') AS memory, concat(p_size * 2, 'GB') AS disk_size,
-          concat(p_size, 'TB') AS storage_capacity, p_brand AS brand
+        SELECT p_partkey, concat(p_size, 'GB') AS room, concat(p_size * 2, 'GB') AS disk,
+          concat(p_size, 'TB') AS tape, p_brand AS brand
         FROM {part}""",
 }
 

@@ -90,3 +90,13 @@ def test_words_and_spreadsheet_text(spark):
 
 def test_finite_or_null(spark):
     assert values(spark, [1.0, float("nan"), float("inf"), float("-inf"), None], finite_or_null, "double") == [1.0] + [None] * 4
+
+
+def test_dates_that_users_write(spark):
+    texts = {
+        "1/5/24": "2024-01-05 00:00:00", "05.01.2024": "2024-05-01 00:00:00", "20240105": "2024-01-05 00:00:00", "1/5/2024 3:30 PM": "2024-01-05 15:30:00",
+        "5-Jan-24": "2024-01-05 00:00:00", "Fri, 05 Jan 2024 10:00:00 GMT": "2024-01-05 10:00:00", "1/5/2024 12:05 am": "2024-01-05 00:05:00", "12/31/99": "1999-12-31 00:00:00",
+        "13.2.2024": "2024-02-13 00:00:00", "5 January 2024 12:00 p.m.": "2024-01-05 12:00:00", "1/5/2024 13:30 PM": None, "1.5": None, "20241305": None, "Friday": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "d string").select("d", parse_timestamp("d").cast("string").alias("at"))
+    assert {r["d"]: r["at"] for r in df.collect()} == texts

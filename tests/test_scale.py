@@ -79,3 +79,9 @@ def test_run_stages_once_and_stays_lazy(spark):
     result = clean_table(view(spark, SF, "dirty_customer"), profile=False)
     text = plan(result.df)
     assert "Exchange" not in text and "parquet" in text.lower()
+
+
+def test_distinct_counts_send_no_texts(spark):
+    text = plan(stats.distinct_counts(spark.range(10).selectExpr("CAST(id AS STRING) AS s")))
+    assert "xxhash64" in text
+    assert stats.distinct_counts(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "s string")).first()["distinct_count"] == 2

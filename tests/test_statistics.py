@@ -25,13 +25,13 @@ def by_sorting(values):
     for p in PROBABILITIES:
         h = (len(v) - 1) * p
         low, high = v[math.floor(h)], v[math.ceil(h)]
-        result.append(low if low == high else low + (high - low) * (h - math.floor(h)))
+        share = h - math.floor(h)
+        result.append(low if low == high or not share else low * (1 - share) + high * share)
     return result
 
 
 def test_exact_quantiles_against_sorting(spark, monkeypatch):
     """Long tails, hot values, extreme ranges, infinities: all by narrowing, several passes."""
-    monkeypatch.setattr(quantiles, "SMALL_TABLE_VALUES", 0)
     monkeypatch.setattr(quantiles, "SMALL_INTERVAL", 20)
     rng, n = np.random.default_rng(0), 20_000
     normal = rng.normal(0, 1, n)
@@ -53,9 +53,16 @@ def test_exact_quantiles_against_sorting(spark, monkeypatch):
     got = quantiles.exact_quantiles(df, list(data), PROBABILITIES)
     for name in data:
         assert got[name] == by_sorting(data[name].dropna().values), name
-    monkeypatch.setattr(quantiles, "SMALL_TABLE_VALUES", 1_000_000)
-    for name, found in quantiles.exact_quantiles(df, list(data), PROBABILITIES).items():
-        assert found == pytest.approx(got[name], rel=1e-12), name
+    built_in = df.selectExpr(*[f"percentile(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), array(0, 0.25, 0.5, 0.75, 1)) AS `{c}`" for c in data]).first()
+    for name in data:
+        assert got[name] == pytest.approx(built_in[name], rel=1e-12), name
+
+
+def test_quantiles_between_extremes(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(-inf, -1.5e308), (1.0, 1.5e308), (2.0, None), (3.0, None)], "v double, wide double")
+    got = quantiles.exact_quantiles(df, ["v", "wide"], [0.1, 0.25, 0.5])
+    assert got["v"] == [-inf, -inf, 1.5] and got["wide"][2] == 0.0 and all(map(math.isfinite, got["wide"]))
 
 
 def test_quantiles_of_nothing(spark):
@@ -105,12 +112,24 @@ def test_profile(spark):
     assert got["b"]["is_numeric"] and got["b"]["median"] is None and got["a"]["sample_values"] == ["[1.0]"]
 
 
-def test_profile_estimates_above_the_limit(spark):
-    df = spark.range(0, 50_001, 1, 4).selectExpr("id % 1000 AS k", "id")
-    got = {r["column"]: r for r in profile_table(df).collect()}
-    assert got["k"]["distinct_count_estimated"] and got["k"]["distinct_count"] == pytest.approx(1000, rel=0.1)
-    exact = {r["column"]: r for r in profile_table(df, exact_distinct=True).collect()}
-    assert not exact["k"]["distinct_count_estimated"] and exact["k"]["distinct_count"] == 1000 and exact["id"]["distinct_count"] == 50_001
+def test_profile_counts_exactly_unless_asked_for_estimates(spark):
+    df = spark.range(0, 60_001, 1, 4).selectExpr("id % 1000 AS k", "id")
+    exact, estimated = ({r["column"]: r for r in profile_table(df, distinct=d).collect()} for d in ("exact", "approx"))
+    assert estimated["k"]["distinct_count_estimated"] and estimated["k"]["distinct_count"] == pytest.approx(1000, rel=0.1)
+    assert not exact["k"]["distinct_count_estimated"] and exact["k"]["distinct_count"] == 1000 and exact["id"]["distinct_count"] == 60_001
+    with pytest.raises(ValueError):
+        profile_table(df, distinct="maybe")
+
+
+def test_decimals_count_in_their_own_type(spark):
+    df = spark.range(5).selectExpr("CAST(12345678901234567890.5 + CAST(id % 3 AS DECIMAL(10,4)) / 1000 AS DECIMAL(38,10)) AS d")
+    assert distinct_counts(df).first()["distinct_count"] == 3
+    assert str(modes(df, ["d"])["d"]) == "12345678901234567890.5000000000"
+
+
+def test_histogram_leaves_infinities_out(spark):
+    df = spark.createDataFrame([(0.0,), (10.0,), (float("inf"),), (float("-inf"),), (float("nan"),)], "v double")
+    assert [r["frequency"] for r in histogram(df, "v").orderBy("bin").collect()] == [1] + [0] * 8 + [1]
 
 
 def test_column_stats_and_charts(spark):

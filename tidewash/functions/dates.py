@@ -28,10 +28,16 @@ class DateShape:
 _TIME = r"(?:[T ]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?"
 
 # Tried in this order. Month first; day first only where the month would exceed 12.
+_EARLY, _LATE = "([0-5][0-9]|6[0-8])", "(69|[7-9][0-9])"  # two-digit years of 2000 and of 1900
 DATE_SHAPES = (
-    DateShape(rf"^(\d{{4}})[/-](\d{{1,2}})[/-](\d{{1,2}}){_TIME}$", "$1-$2-$3 $4"),
-    DateShape(rf"^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}){_TIME}$", "$3-$1-$2 $4"),
-    DateShape(rf"^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}){_TIME}$", "$3-$2-$1 $4"),
+    DateShape(rf"^(\d{{4}})[/.-](\d{{1,2}})[/.-](\d{{1,2}}){_TIME}$", "$1-$2-$3 $4"),
+    DateShape(rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", "$1-$2-$3 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_TIME}$", "$3-$1-$2 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_TIME}$", "$3-$2-$1 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{_EARLY}{_TIME}$", "20$3-$1-$2 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{_LATE}{_TIME}$", "19$3-$1-$2 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{_EARLY}{_TIME}$", "20$3-$2-$1 $4"),
+    DateShape(rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-]{_LATE}{_TIME}$", "19$3-$2-$1 $4"),
 )
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -39,9 +45,13 @@ _MONTH_NAME = (
     r"(?i:(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
     r"|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?))"
 )
-# "5 January 2024" and "January 5, 2024", with an optional time.
-DAY_MONTH_NAME = rf"^(\d{{1,2}})[ -]{_MONTH_NAME}[ ,-]+(\d{{4}}){_TIME}$"
-MONTH_NAME_DAY = rf"^{_MONTH_NAME}[ -]+(\d{{1,2}})[, -]+(\d{{4}}){_TIME}$"
+_WEEKDAY = r"(?i:(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?,? +)"
+_UTC = r"(?: *(?:GMT|UTC|[+-]0000))?"
+# "5 January 2024", "5-Jan-24", "Fri, 05 Jan 2024 10:00 GMT" and "January 5, 2024", with an optional time.
+DAY_MONTH_NAME = rf"^{_WEEKDAY}?(\d{{1,2}})[ -]{_MONTH_NAME}[ ,-]+(\d{{4}}|\d{{2}}){_TIME}{_UTC}$"
+MONTH_NAME_DAY = rf"^{_WEEKDAY}?{_MONTH_NAME}[ -]+(\d{{1,2}})[, -]+(\d{{4}}){_TIME}{_UTC}$"
+# A time that ends in AM or PM.
+HALF_DAY = r"(?i)(\d{1,2})((?::\d{2}){1,2}) ?([ap])\.?m\.?$"
 
 # ISO date-time with a UTC offset; the result is the UTC wall clock.
 ISO_OFFSET = r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?(?:Z|([+-])(\d{2}):?(\d{2}))$"
@@ -66,7 +76,8 @@ def _named_month(s: str, pattern: str, day: int, month: int) -> str:
         return f"regexp_extract({s}, {_quoted(pattern)}, {n})"
 
     place = f"instr('{''.join(MONTHS)}', initcap(lower(substr({group(month)}, 1, 3))))"
-    iso = f"concat({group(3)}, '-', ({place} + 2) div 3, '-', {group(day)}, ' ', {group(4)})"
+    year = f"concat(CASE WHEN length({group(3)}) > 2 THEN '' WHEN {group(3)} < '69' THEN '20' ELSE '19' END, {group(3)})"
+    iso = f"concat({year}, '-', ({place} + 2) div 3, '-', {group(day)}, ' ', {group(4)})"
     return f"CASE WHEN {s} RLIKE {_quoted(pattern)} THEN {_cast(iso)} END"
 
 
@@ -81,13 +92,23 @@ def _with_offset(s: str) -> str:
     return f"CASE WHEN {s} RLIKE {_quoted(ISO_OFFSET)} THEN {local} + make_dt_interval(0, {part(4)}, {part(5)}) END"
 
 
+def _attempts(s: str, shapes: Sequence[DateShape]) -> str:
+    found = [_rewritten(s, x) for x in shapes]
+    found += [_with_offset(s), _named_month(s, DAY_MONTH_NAME, 1, 2), _named_month(s, MONTH_NAME_DAY, 2, 1)]
+    return f"coalesce({', '.join(found)})"
+
+
 def timestamp_sql(s: str, shapes: Sequence[DateShape] = DATE_SHAPES) -> str:
     """SQL text of the conversion of a stripped text ``s`` (itself SQL)."""
-    attempts = [_rewritten(s, x) for x in shapes]
-    attempts += [_with_offset(s), _named_month(s, DAY_MONTH_NAME, 1, 2), _named_month(s, MONTH_NAME_DAY, 2, 1)]
-    # Every shape starts with a digit or a month name, so other cells skip all of them.
-    start = _quoted(rf"^\d|^{_MONTH_NAME}[ -]")
-    return f"CASE WHEN {s} RLIKE {start} THEN coalesce({', '.join(attempts)}) END"
+    # Every shape starts with a digit, a weekday or a month name, so other cells skip all of them.
+    start = _quoted(rf"^\d|^{_MONTH_NAME}[ -]|^{_WEEKDAY}")
+    half = _quoted(HALF_DAY)
+    hour, letter = f"try_cast(regexp_extract({s}, {half}, 1) AS INT)", f"lower(regexp_extract({s}, {half}, 3))"
+    # Twelve hours on for PM, and back for the hour 12: read as 24 hours first.
+    shift = f"(CASE WHEN {letter} = 'p' THEN 12 ELSE 0 END) - (CASE WHEN {hour} = 12 THEN 12 ELSE 0 END)"
+    plain = f"regexp_replace({s}, {half}, '$1$2')"
+    halved = f"CASE WHEN {hour} BETWEEN 1 AND 12 THEN {_attempts(plain, shapes)} + make_dt_interval(0, {shift}) END"
+    return f"CASE WHEN {s} RLIKE {half} THEN {halved} WHEN {s} RLIKE {start} THEN {_attempts(s, shapes)} END"
 
 
 def parse_timestamp(name: str, shapes: Sequence[DateShape] = DATE_SHAPES, stripped: bool = False) -> Column:

@@ -59,7 +59,7 @@ def null_tokens(c: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
 
 def word_count(s: Column) -> Column:
     """Number of white-space separated words of a stripped cell (0 for no text)."""
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"(?U)[\s\x1c-\x1f]+")))
+    return F.regexp_count(s, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def spreadsheet_text(c: Column) -> Column:

@@ -203,19 +203,16 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def dense_row_id(df: DataFrame) -> DataFrame:
-    """Replace a scan's ``_row_id`` with 0, 1, 2, … in the same order.
+    """Replace ``_row_id`` with 0, 1, 2, … in the same order, also after rows have gone.
 
-    ``_row_id`` holds the partition number above bit 33, so one row per partition gives
-    the offsets; the running total is over that short table, never over the rows.
+    ``_row_id`` holds the partition number above bit 33. Rows are counted per such part, so
+    each part is numbered by itself and starts after those before it; the running total is
+    over one row per part.
     """
-    part, place = F.shiftright(F.col(ROW_ID), 33), F.col(ROW_ID).bitwiseAND((1 << 33) - 1)
-    tagged = df.withColumn("_part", part).withColumn("_place", place)
-    sizes = tagged.groupBy("_part").agg((F.max("_place") + 1).alias("_rows"))
+    tagged = df.withColumn("_part", F.shiftright(F.col(ROW_ID), 33))
+    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    running = F.sum("_rows").over(before)
-    offsets = sizes.select("_part", F.coalesce(running, F.lit(0)).alias("_offset"))
-    joined = tagged.join(offsets, "_part")
-    return joined.select(
-        (F.col("_offset") + F.col("_place")).alias(ROW_ID), *[col(c) for c in data_columns(df)]
-    )
-
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(ROW_ID)) - 1
+    joined = tagged.join(offsets, "_part").withColumn(ROW_ID, F.col("_offset") + place)
+    return joined.select(ROW_ID, *[col(c) for c in data_columns(df)])

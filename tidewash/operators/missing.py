@@ -74,9 +74,10 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
     A hash aggregation: copies merge inside each task before the shuffle, so a row that
     makes up a third of the table arrives there once per task.
     """
+    keys = df.groupBy(*[col(c) for c in data_columns(df)])  # unlike dropDuplicates, takes maps as well
     if ROW_ID not in df.columns:
-        return df.dropDuplicates()
-    kept = df.groupBy(*[col(c) for c in data_columns(df)]).agg(F.min(ROW_ID).alias(ROW_ID))
+        return keys.agg(F.count(F.lit(1)).alias("_copies")).select(*[col(c) for c in df.columns])
+    kept = keys.agg(F.min(ROW_ID).alias(ROW_ID))
     return kept.select(*[col(c) for c in df.columns])
 
 

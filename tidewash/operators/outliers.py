@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import ROW_ID
 from ..functions import col
-from .columns import data_columns, numeric_columns
+from .columns import data_columns, numeric_columns, dense_row_id
 from .quantiles import exact_quantiles
 from .stats import IQR_FACTOR, batches, iqr_bounds, outside
 
@@ -77,11 +77,15 @@ def outlier_rows_by_column(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def remove_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, k: float = IQR_FACTOR, limits: Limits | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, k: float = IQR_FACTOR, limits: Limits | None = None, renumber: bool = False
 ) -> DataFrame:
-    """Drop rows outlying in any chosen column; bounds come from the whole table, once."""
+    """Drop rows outlying in any chosen column; bounds come from the whole table, once.
+
+    ``renumber`` gives the rows that stay the ``_row_id`` 0, 1, 2, … in their order.
+    """
     limits = outlier_limits(df, columns, k) if limits is None else limits
-    return df.filter(~F.coalesce(any_outlier(df, limits), F.lit(False)))
+    kept = df.filter(~F.coalesce(any_outlier(df, limits), F.lit(False)))
+    return dense_row_id(kept) if renumber else kept
 
 
 def removal_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float = IQR_FACTOR, limits: Limits | None = None) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from .columns import boolean_columns, data_columns, datetime_columns, nested_columns, numeric_columns
 from .quantiles import as_double
 from .stats import (
-    EXACT_DISTINCT_ROWS,
     NumericStats,
     batches,
     distinct_counts,
@@ -19,7 +18,6 @@ from .stats import (
     first_distinct,
     missing_counts,
     numeric_stats,
-    present,
     value_counts,
 )
 
@@ -48,19 +46,12 @@ PROFILE_SCHEMA = T.StructType(
 
 
 def _distinct(df: DataFrame, columns: list[str], rows: int, estimate: bool) -> dict[str, int]:
-    nested = nested_columns(df, columns)
-    flat = [c for c in columns if c not in nested]
-    counts: dict[str, int] = {}
-    for batch in batches(flat):
-        if not batch:
-            continue
-        if rows > EXACT_DISTINCT_ROWS:
-            found = estimated_distinct_counts(df, batch) if estimate else distinct_counts(df, batch)
-            counts.update({r["column"]: min(rows, r["distinct_count"]) for r in found.collect()})
-        else:  # few rows: one set per column is small
-            row = df.agg(*[F.count_distinct(present(df, c)).alias(c) for c in batch]).first()
-            counts.update(row.asDict())
-    return {c: counts.get(c, 0) for c in columns}
+    nested, counts = nested_columns(df, columns), dict.fromkeys(columns, 0)
+    count = estimated_distinct_counts if estimate else distinct_counts
+    for batch in batches([c for c in columns if c not in nested]):
+        if batch:
+            counts.update({r["column"]: min(rows, r["distinct_count"]) for r in count(df, batch).collect()})
+    return counts
 
 
 def profile_table(
@@ -68,17 +59,19 @@ def profile_table(
     categorical_threshold: int = CATEGORICAL_THRESHOLD,
     semantic_types: Mapping[str, str] | None = None,
     order_by: str | None = None,
-    exact_distinct: bool = False,
+    distinct: str = "exact",
 ) -> DataFrame:
     """One row per column; the number of jobs does not depend on the number of columns.
 
-    Above 50,000 rows distinct counts are estimates and flagged as such, unless
-    ``exact_distinct`` asks for the shuffle that counts them.
+    ``distinct`` is ``exact`` (a shuffle of the distinct values) or ``approx`` (sketches,
+    flagged in the result), whatever the size of the table.
     """
+    if distinct not in ("exact", "approx"):
+        raise ValueError(f"distinct is 'exact' or 'approx', not {distinct!r}")
     columns = data_columns(df)
     rows, missing = missing_counts(df, columns)
-    estimated = rows > EXACT_DISTINCT_ROWS and not exact_distinct
-    distinct = _distinct(df, columns, rows, estimated)
+    estimated = distinct == "approx"
+    unique = _distinct(df, columns, rows, estimated)
     stats = {s.column: s for s in numeric_stats(df, columns)}
     samples = first_distinct(df, columns, order_by=order_by)
     numbers = set(numeric_columns(df)) | set(boolean_columns(df))
@@ -88,11 +81,11 @@ def profile_table(
     for c in columns:
         s = stats.get(c)
         numeric, date = c in numbers, c in dates
-        categorical = (not numeric and not date) or distinct[c] <= categorical_threshold
+        categorical = (not numeric and not date) or unique[c] <= categorical_threshold
         table.append(
             (
                 c, dtypes[c], missing[c], round(missing[c] / max(1, rows), 6),
-                distinct[c], estimated, numeric, date, categorical,
+                unique[c], estimated, numeric, date, categorical,
                 (semantic_types or {}).get(c, "UNKNOWN"),
                 *[getattr(s, n) if s else None for n in _NUMBERS],
                 s.outlier_count if s else None,
@@ -164,33 +157,27 @@ def overview(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, gaussian: bool = False) -> DataFrame:
     """``bin, bin_start, bin_end, center, frequency`` over equal-width bins.
 
-    Frequencies are true counts; with ``gaussian`` they are the height (0-100) of the
-    bell curve with the column's mean and deviation at the bin's centre.
+    Infinities lie outside every bin and are not counted. Frequencies are true counts; with
+    ``gaussian`` they are the height (0-100) of the bell curve with the column's mean and
+    deviation at the bin's centre.
     """
     v = as_double(df, column)
-    s = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
-    edges = s.filter("low IS NOT NULL").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), ((F.col("high") - F.col("low")) / bins).alias("width")
-    )
-    start = F.col("low") + F.col("bin") * F.col("width")
-    edges = edges.select(
-        F.col("bin").cast("bigint").alias("bin"), start.alias("bin_start"), (start + F.col("width")).alias("bin_end"),
-        ((start + start + F.col("width")) / 2).alias("center"), "mean", "std",
-    )
+    v = F.when(F.abs(v) < float("inf"), v)
+    low, high, mean, std = df.agg(F.min(v), F.max(v), F.avg(v), F.stddev_samp(v)).first()
+    schema = "bin bigint, bin_start double, bin_end double, center double"
+    if low is None:
+        return df.sparkSession.createDataFrame([], f"{schema}, frequency bigint")
+    width = (high / 2 - low / 2) / bins * 2  # halves, as the range may be too wide for a double
+    starts = [low + i * width for i in range(bins)]
+    edges = df.sparkSession.createDataFrame([(i, s, s + width, s / 2 + (s + width) / 2) for i, s in enumerate(starts)], schema)
     if gaussian:
-        z = (F.col("center") - F.col("mean")) / F.col("std")
-        height = F.when(F.col("std") > 0, F.exp(F.lit(-0.5) * z * z) * 100).otherwise(50.0)
         # Halves round up.
-        frequency = F.floor(height + 0.5)
-        return edges.select("bin", "bin_start", "bin_end", "center", frequency.cast("bigint").alias("frequency"))
-
-    limits = s.select("low", "high").first()
-    if limits["low"] is None:
-        return edges.select("bin", "bin_start", "bin_end", "center", F.lit(0).cast("bigint").alias("frequency"))
-    width = (limits["high"] - limits["low"]) / bins
-    place = F.least(F.floor((v - F.lit(limits["low"])) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        z = (F.col("center") - mean) / (std or 1.0)
+        height = F.exp(F.lit(-0.5) * z * z) * 100 if std else F.lit(50.0)
+        return edges.withColumn("frequency", F.floor(height + 0.5).cast("bigint"))
+    place = F.least(F.floor((v / 2 - F.lit(low / 2)) / F.lit(width / 2)), F.lit(bins - 1)) if width > 0 else F.lit(0)
     counts = df.filter(v.isNotNull()).groupBy(place.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
-    return edges.drop("mean", "std").join(counts, "bin", "left").fillna({"frequency": 0})
+    return edges.join(counts, "bin", "left").fillna({"frequency": 0})
 
 
 def category_shares(df: DataFrame, column: str, k: int = 5) -> DataFrame:

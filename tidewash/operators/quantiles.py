@@ -1,8 +1,7 @@
 """Exact quantiles by narrowing.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer, which
-does not fit once a column holds billions of them, so it serves small tables only. For
-the others each pass counts values per bin
+does not fit once a column holds billions of them. Here each pass counts values per bin
 (at most ``BINS`` groups per interval, combined before the shuffle), finds the bins that
 hold the wanted ranks and narrows to them. A bin carries its own smallest and largest
 value, so a bin full of copies of one value is an answer, however many rows it has.
@@ -26,10 +25,8 @@ BINS = 4096
 # Distance between the bin numbers of two intervals.
 STRIDE = 8192
 TINY = 1e-290
-# Up to this many values in all columns together, one ``percentile`` job does.
-SMALL_TABLE_VALUES = 1_000_000
 # An interval with at most this many rows is resolved by counting its single values.
-SMALL_INTERVAL = 20_000
+SMALL_INTERVAL = 100_000
 # A pass that keeps more than this share of an interval met a long tail.
 STUBBORN_SHARE = 1 / 8
 
@@ -90,10 +87,6 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, linearly interpolated; ``None`` for an empty column."""
     bounds = bounds or column_bounds(df, columns)
-    values = sum(bounds[c].rows for c in columns)
-    if 0 < values <= SMALL_TABLE_VALUES:  # the buffers of the built-in are known to be small
-        row = df.agg(*[F.percentile(as_double(df, c), list(probabilities)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return {c: row[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
     positions = {c: [(bounds[c].rows - 1) * p for p in probabilities] for c in columns if bounds[c].rows}
     wanted = {
         c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in positions.items()
@@ -102,7 +95,9 @@ def exact_quantiles(
 
     def at(c: str, position: float) -> float:
         below, above = found[c, math.floor(position)], found[c, math.ceil(position)]
-        return below if below == above else below + (above - below) * (position - math.floor(position))
+        share = position - math.floor(position)
+        # Weighted apart, so that no difference of two values can overflow.
+        return below if below == above or not share else below * (1 - share) + above * share
 
     return {c: [at(c, p) for p in positions[c]] if c in positions else [None] * len(probabilities) for c in columns}
 

@@ -161,7 +161,8 @@ def infer_semantic_types(df: DataFrame) -> dict[str, str]:
                 types[c] = "PERCENTAGE" if boolean_columns(df, [c]) else "DATE_STRING"
                 continue
             types[c] = _by_range_and_name(c, low, high) or "NUMERIC_CONTINUOUS"
-            if types[c] == "NUMERIC_CONTINUOUS" and c in whole and high - low + 1 >= values:
+            # An identifier has no gaps.
+            if types[c] == "NUMERIC_CONTINUOUS" and c in whole and values == rows and high - low + 1 >= values:
                 undecided[c] = values
 
     evidence: dict[str, TextEvidence] = {}

@@ -30,8 +30,6 @@ from .quantiles import Bounds, as_double, exact_quantiles
 
 # Columns aggregated per job: keeps generated code within what the JVM compiles.
 BATCH = 60
-# Tables up to this many rows get exact distinct counts, larger ones estimates.
-EXACT_DISTINCT_ROWS = 50_000
 # Standard error of an estimated distinct count.
 DISTINCT_ERROR = 0.02
 QUARTILES = (0.25, 0.5, 0.75)
@@ -89,16 +87,25 @@ def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _kinds(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
-    """Columns by the type their values are compared in."""
-    whole = integral_columns(df, columns)
-    numbers = [c for c in numeric_columns(df, columns) if c not in whole]
-    texts = [c for c in columns if c not in whole and c not in numbers]
-    return [(kind, group) for kind, group in (("bigint", whole), ("double", numbers), ("string", texts)) if group]
+    """Columns by the type their values are compared in: decimals each in their own."""
+    whole, types, kinds = set(integral_columns(df, columns)), dict(df.dtypes), {}
+    numbers = set(numeric_columns(df, columns)) - whole
+    for c in columns:
+        kind = "bigint" if c in whole else "string" if c not in numbers else types[c] if types[c].startswith("decimal") else "double"
+        kinds.setdefault(kind, []).append(c)
+    return list(kinds.items())
+
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text, so that long texts need not be sent; null for null."""
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
 
 
-def _typed_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """``slot, value, count`` of same-typed columns; slot is the column's position."""
-    values = df.select(*[present(df, c).cast(kind).alias(str(i)) for i, c in enumerate(columns)])
+def _typed_counts(df: DataFrame, columns: Sequence[str], kind: str, digests: bool = False) -> DataFrame:
+    """``slot, value, count`` of same-typed columns; slot is the column's position. With ``digests``
+    texts are told apart by their digests, and those are the values."""
+    cells = [present(df, c).cast(kind) for c in columns]
+    values = df.select(*[(_digest(v) if digests and kind == "string" else v).alias(str(i)) for i, v in enumerate(cells)])
     long = values.unpivot([], values.columns, "slot", "value").filter("value IS NOT NULL")
     return long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("count"))
 
@@ -108,7 +115,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     columns = list(columns or data_columns(df))
     parts = []
     for kind, group in _kinds(df, columns):
-        counted = _typed_counts(df, group, kind).groupBy("slot").agg(F.count(F.lit(1)).alias("distinct_count"))
+        counted = _typed_counts(df, group, kind, digests=True).groupBy("slot").agg(F.count(F.lit(1)).alias("distinct_count"))
         names = F.element_at(F.array(*[F.lit(c) for c in group]), F.col("slot").cast("int") + 1)
         parts.append(counted.select(names.alias("column"), "distinct_count"))
     return _with_all_columns(reduce(DataFrame.unionAll, parts), columns, {"distinct_count": 0})

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 from .. import ROW_ID
 from ..operators.columns import FieldSpec, apply_mapping, column_samples, data_columns, mapping_report, numeric_columns, unique_names
@@ -21,11 +22,12 @@ from ..operators.validate import ISSUE_SCHEMA, ValidationError, find_issues
 from ..sinks import json_safe, spreadsheet_safe, write_csv, write_json, write_parquet
 from ..sources.csv import read_csv
 from ..sources.tables import stage_table
-from .lineage import Lineage, plain
+from .lineage import Event, lineage_table
 from .rules import CleaningRules
 
 SAMPLE_ROWS = 10
 PREVIEW_ROWS = 5
+NO_ROWS, NO_COLUMNS = "no rows are left of the table", "no columns are left of the table"
 
 SUMMARY_SCHEMA = (
     "rows_before bigint, rows_after bigint, columns_before bigint, columns_after bigint, duplicates_removed bigint, "
@@ -35,6 +37,17 @@ SUMMARY_SCHEMA = (
 )
 
 
+@dataclass
+class Counts:
+    """What a run counted on its way."""
+
+    rows: int
+    missing: dict[str, int]
+    duplicates: int = 0
+    outliers: int = 0
+    dropped: list[str] = field(default_factory=list)
+
+
 @dataclass(frozen=True)
 class CleaningResult:
     """The cleaned table (unevaluated) and what was found on the way (small)."""
@@ -42,40 +55,52 @@ class CleaningResult:
     df: DataFrame
     conversions: ConversionPlan
     imputation: Imputation
-    lineage: Lineage
+    events: list[Event]
     summary: DataFrame
     mapping: DataFrame | None
     issues: DataFrame
     semantic_types: dict[str, str] | None
     profile: DataFrame | None
     samples: dict[str, dict[str, list]]
+    renames: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def lineage(self) -> DataFrame:
+        return lineage_table(self.df.sparkSession, self.events)
 
     def report(self) -> DataFrame:
         """The run in one row: the summary plus every small table as an array."""
-        def packed(table: DataFrame | None, name: str) -> DataFrame | None:
-            if table is None:
-                return None
-            return table.agg(F.collect_list(F.struct(*table.columns)).alias(name))
-
         spark = self.df.sparkSession
-        parts = [
-            packed(self.conversions.table(spark), "type_conversions"),
-            packed(self.mapping, "field_mapping"),
-            packed(self.issues, "schema_validation"),
-            packed(self.profile, "profile"),
-            packed(self.lineage.table(spark), "lineage"),
-        ]
-        types = {} if self.semantic_types is None else self.semantic_types
-        row = self.summary.withColumns(
+        tables = {
+            "type_conversions": self.conversions.table(spark), "field_mapping": self.mapping, "schema_validation": self.issues,
+            "profile": self.profile, "lineage": self.lineage,
+        }
+        tables = {name: t for name, t in tables.items() if t is not None}
+        kinds = [*self.summary.schema.fields, *[T.StructField(name, T.ArrayType(t.schema)) for name, t in tables.items()]]
+        row = (*self.summary.first(), *[[tuple(r) for r in t.collect()] for t in tables.values()])
+        report = spark.createDataFrame([row], T.StructType(kinds)).withColumns(
             {
-                "semantic_types": F.from_json(F.lit(json.dumps(types)), "map<string,string>"),
-                "samples": F.lit(json.dumps(plain(self.samples), ensure_ascii=False)),
+                "semantic_types": F.from_json(F.lit(json.dumps(self.semantic_types or {})), "map<string,string>"),
+                "samples": F.lit(_sample_text(self.samples)),
             }
         )
-        for part in parts:
-            if part is not None:
-                row = row.join(part)  # one row on each side
-        return json_safe(row)
+        return json_safe(report)
+
+    def release(self) -> None:
+        """Delete the staged table behind ``df``, once its rows are no longer needed."""
+        spark = self.df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in self.df.inputFiles() if "/tidewash-" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sample_text(samples: dict[str, dict[str, list]]) -> str:
+    """Sample values as JSON; what JSON cannot hold as text, NaN and infinities as null."""
+    def cell(v):
+        return None if isinstance(v, float) and not math.isfinite(v) else v
+
+    values = {when: {c: [cell(v) for v in vs] for c, vs in columns.items()} for when, columns in samples.items()}
+    return json.dumps(values, ensure_ascii=False, default=str)
 
 
 def clean_table(
@@ -96,7 +121,7 @@ def clean_table(
     returned adds only projections and filters to that.
     """
     spark = df.sparkSession
-    rules, lineage = CleaningRules.of(rules, spark), Lineage()
+    rules, events = CleaningRules.of(rules, spark), []
     given = data_columns(df)
     # Rows come in scan order here, so the first task alone delivers them.
     samples = {"before": column_samples(df.drop(ROW_ID), SAMPLE_ROWS)}
@@ -114,19 +139,18 @@ def clean_table(
         df, spec, convert=rules.convert_types, fill_after_extract=False, read_types=read_types and rules.convert_types
     )
     rows_before, missing_before = conversions.rows, conversions.missing()
-    lineage.log("file_loaded", source, rows_before, details={"columns": given, "rows": rows_before})
+    events.append(Event("file_loaded", f"read from: {source}", rows_before, details={"columns": given}))
     if rows_before == 0:
-        raise ValidationError("Dataset contains no rows after processing")
-    lineage.log("types_converted", "Automatic type inference", conversions.converted_total,
-                details={c.column: c.action for c in conversions.conversions})
+        raise ValidationError(NO_ROWS)
+    events.append(Event("types_converted", "columns retyped by their values", conversions.converted_total, details={c.column: c.action for c in conversions.conversions}))
     df = conversions.apply(df)
 
     empty = [c for c, n in missing_before.items() if n == rows_before]
     dropped = empty if rules.drop_empty_columns else []
     df = df.drop(*dropped)
-    lineage.log("columns_dropped", "Columns without any value", len(dropped), details=dropped)
+    events.append(Event("columns_dropped", "no cell had a value", len(dropped), details={"columns": dropped}))
     if not data_columns(df):
-        raise ValidationError("Dataset contains no columns after processing")
+        raise ValidationError(NO_COLUMNS)
 
     if rules.drop_duplicates:
         df = dedupe_rows(df)
@@ -138,57 +162,59 @@ def clean_table(
         rules.fill_value_numeric, rules.fill_value_categorical,
     )
     duplicates = rows_before - imputation.rows
-    lineage.log("rows_dropped", "Duplicate rows", duplicates, details={"enabled": rules.drop_duplicates})
+    events.append(Event("rows_dropped", "copies of an earlier row", duplicates, details={"enabled": rules.drop_duplicates}))
     df = imputation.apply(df)
-    strategy = f"{rules.fill_missing_numeric}/{rules.fill_missing_categorical}"
-    lineage.log("nulls_imputed", f"Missing value strategy: {strategy}", imputation.total, details=imputation.filled)
+    strategy = f"numbers by {rules.fill_missing_numeric}, texts by {rules.fill_missing_categorical}"
+    events.append(Event("nulls_imputed", f"gaps filled: {strategy}", imputation.total, details=imputation.filled))
 
     outliers = 0
     if rules.remove_outliers:
         limits = outlier_limits(df, k=rules.outlier_threshold)
         test = any_outlier(df, limits)
         outliers = df.agg(F.count_if(test)).first()[0]
-        lineage.log("outliers_removed", f"IQR method, threshold {rules.outlier_threshold}", outliers,
-                    details={"columns_affected": numeric_columns(df)})
         df = df.filter(~F.coalesce(test, F.lit(False)))
-    else:
-        lineage.log("outliers_removed", "Skipped because remove_outliers was disabled", 0, details={"enabled": False})
-
-    _check(df, imputation.rows - outliers)
-    lineage.log("columns_renamed", "Duplicate column name resolution", len(renames),
-                details=[{"from": r.before, "to": r.after, "position": r.position} for r in renames])
-    kept_empty = [c for c in empty if c not in dropped]
-    issues = find_issues(df, spec) + [(c, "column has no values") for c in kept_empty]
+    reason = f"outside {rules.outlier_threshold:g} interquartile ranges" if rules.remove_outliers else "not asked for"
+    events.append(Event("outliers_removed", reason, outliers, details={"columns": numeric_columns(df) if rules.remove_outliers else []}))
+    events.append(Event("columns_renamed", "names used twice", len(renames), details={r.before: r.after for r in renames}))
+
+    counts = Counts(rows_before, missing_before, duplicates, outliers, dropped)
+    return closing(
+        df, counts, given, conversions, imputation, events, samples, profile, rules.as_dict(), spec, mapping, encoding,
+        {r.before: r.after for r in renames}, [c for c in empty if c not in dropped],
+    )
+
+
+def closing(
+    df: DataFrame, counts: Counts, given: list[str], conversions: ConversionPlan, imputation: Imputation, events: list[Event], samples: dict,
+    profile: bool, config, spec=None, mapping: DataFrame | None = None, encoding: str | None = None, renames: dict[str, str] | None = None, empty=(),
+) -> CleaningResult:
+    """Check the finished table, profile it and put the report together."""
+    spark, rows, renames = df.sparkSession, counts.rows - counts.duplicates - counts.outliers, renames or {}
+    if unnamed := [i for i, name in enumerate(df.columns) if not name.strip()]:
+        raise ValidationError(f"Columns without a name at {unnamed}")
+    if not data_columns(df):
+        raise ValidationError(NO_COLUMNS)
+    if rows <= 0:
+        raise ValidationError(NO_ROWS)
+    issues = find_issues(df, spec) + [(c, "column has no values") for c in empty]
     semantic = infer_semantic_types(df) if profile else None
     table = profile_table(df, semantic_types=semantic) if profile else None
     samples["after"] = column_samples(df, SAMPLE_ROWS)
-
-    after = {c: n for c, n in imputation.missing_after().items() if c in data_columns(df)}
+    after = {c: n for c, n in {**counts.missing, **imputation.missing_after()}.items() if c in data_columns(df)}
     summary = spark.createDataFrame(
         [
             (
-                rows_before, imputation.rows - outliers, len(given), len(data_columns(df)), duplicates, outliers, dropped,
-                imputation.total, imputation.filled, missing_before, after, conversions.converted_total,
-                {r.before: r.after for r in renames}, encoding, json.dumps(rules.as_dict()),
+                counts.rows, rows, len(given), len(data_columns(df)), counts.duplicates, counts.outliers, counts.dropped,
+                imputation.total, imputation.filled, counts.missing, after, conversions.converted_total, renames, encoding, json.dumps(config),
             )
         ],
         SUMMARY_SCHEMA,
     )
     return CleaningResult(
-        df, conversions, imputation, lineage, summary, mapping, spark.createDataFrame(issues, ISSUE_SCHEMA),
-        semantic, table, samples,
+        df, conversions, imputation, events, summary, mapping, spark.createDataFrame(issues, ISSUE_SCHEMA), semantic, table, samples, renames,
     )
 
 
-def _check(df: DataFrame, rows: int) -> None:
-    """Names and row count; emptiness of columns is known from the statistics so far."""
-    for position, name in enumerate(df.columns):
-        if not name.strip():
-            raise ValidationError(f"Empty column name at position {position}")
-    if rows == 0:
-        raise ValidationError("Dataset contains no rows after processing")
-
-
 def clean_csv(spark: SparkSession, path: str, rules=None, spec=None, encodings=None, multi_line=None, **options) -> CleaningResult:
     """``clean_table`` on CSV files."""
     table = read_csv(spark, path, encodings=encodings, multi_line=multi_line)
@@ -215,5 +241,5 @@ def write_outputs(result: CleaningResult, folder: str) -> dict[str, str]:
     write_csv(cleaned, paths["csv"])
     write_csv(spreadsheet_safe(cleaned), paths["spreadsheet"])
     write_json(result.report(), paths["report"])
-    write_json(result.lineage.table(spark), paths["lineage"])
+    write_json(result.lineage, paths["lineage"])
     return paths

@@ -53,13 +53,15 @@ class CsvTable:
 
 
 def _inspect(spark: SparkSession, path) -> DataFrame:
-    """Per file: bytes valid as UTF-8, a quoted newline present, a quote left open.
+    """Per file: bytes valid as UTF-8, a quoted newline present, a quote left open, first line.
 
     The text source keeps the raw bytes of each line and splits large files, so this is
     one distributed pass whatever the file size. A line with an odd number of quotes
     starts or ends a cell that holds a newline.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place")
+    )
     quotes = F.regexp_count("value", F.lit('"'))
     odd = quotes % 2 == 1
     opening, closing, alone = (
@@ -72,18 +74,19 @@ def _inspect(spark: SparkSession, path) -> DataFrame:
         F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
         F.coalesce(F.bool_or(odd), F.lit(False)).alias("multi_line"),
         (((opening + closing + alone) % 2 == 1) & unclosed).alias("open_quote"),
+        F.min_by("value", F.when(F.length("value") > 0, F.col("place"))).alias("first_line"),
     )
 
 
-CLASS = ("valid_utf8", "multi_line", "open_quote")
+CLASS = ("valid_utf8", "multi_line", "open_quote", "first_line")
 
 
 def _fitting(flags, tried: Sequence[str]) -> str:
     """The first encoding that fits files with these flags."""
     fitting = [e for e in tried if flags["valid_utf8"] or e != "utf-8"]
     if not fitting or flags["open_quote"]:
-        reason = "quoted cell never closed" if flags["open_quote"] else "invalid bytes"
-        raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {reason}")
+        reason = "a quoted cell never ends" if flags["open_quote"] else "there are bytes that are no text in it"
+        raise LoadError(f"No CSV in {', '.join(tried)}: {reason}")
     return fitting[0]
 
 
@@ -118,40 +121,41 @@ def read_csv(
 ) -> CsvTable:
     """Scan CSV files with a header row into text columns.
 
-    Each file is read in the first of ``encodings`` that fits it. With one encoding and
-    ``multi_line`` given nothing is inspected first; otherwise one pass over the lines
-    finds each file's encoding and whether cells hold newlines, because only files
-    without such cells can be split among tasks. Missing tokens and blank cells become
+    One pass over the lines finds each file's header line, the first of ``encodings`` that
+    fits it, and whether cells hold newlines, because only files without such cells can be
+    split among tasks. Files with equal headers are read together, columns then meet by
+    name; headers with other names are an error. With one encoding and ``multi_line`` given,
+    only the headers decide. Missing tokens and blank cells become
     null. Repeated header names get ``.1``, ``.2``, …; unnamed ones ``Unnamed: n``.
     """
     tried = tuple(encodings or DEFAULT_ENCODINGS)
     paths = [path] if isinstance(path, str) else list(path)
-    groups: dict[tuple[str, bool], list[str]] = {}
-    if len(tried) == 1 and multi_line is not None:
-        groups[tried[0], multi_line] = paths
-    else:
-        try:
-            files = _inspect(spark, paths).persist()
-            classes = files.groupBy(*CLASS).count().collect()
-        except AnalysisException as e:
-            raise LoadError(f"File not found: {path}") from e
-        if not classes:
-            raise LoadError("Uploaded file is empty")
-        for c in classes:
-            encoding = _fitting(c, tried)
-            spans = c["multi_line"] if multi_line is None else multi_line
-            groups.setdefault((encoding, spans), [])
+    groups: dict[tuple[str, bool, str], list[str]] = {}
+    fixed = len(tried) == 1 and multi_line is not None
+    try:
+        files = _inspect(spark, paths).persist()
+    except AnalysisException as e:
+        raise LoadError(f"There is nothing to read at {path}") from e
+    try:
+        def group(found) -> tuple[str, bool, str]:
+            encoding = tried[0] if fixed else _fitting(found, tried)
+            return encoding, found["multi_line"] if multi_line is None else multi_line, (found["first_line"] or "").removesuffix("\r")
+
+        for found in files.groupBy(*CLASS).count().collect():
+            groups.setdefault(group(found), [])
+        if not groups:
+            raise LoadError(f"Only empty files at {path}")
         if len(groups) == 1:
             groups[next(iter(groups))] = paths
         else:  # only a mixed folder needs its files by name
-            for f in files.collect():
-                spans = f["multi_line"] if multi_line is None else multi_line
-                groups[_fitting(f, tried), spans].append(_plain_path(f["file"]))
+            for found in files.collect():
+                groups[group(found)].append(_plain_path(found["file"]))
+    finally:
         files.unpersist()
 
     parts, columns = [], None
     try:
-        for (encoding, spans), members in sorted(groups.items()):
+        for (encoding, spans, _), members in sorted(groups.items()):
             options = {
                 "encoding": JVM_NAMES.get(encoding, encoding), "multiLine": spans, "quote": '"', "escape": '"',
                 "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE",
@@ -159,14 +163,14 @@ def read_csv(
             names = _header(spark, members, options)
             columns = columns or names
             if sorted(names) != sorted(columns):
-                raise LoadError(f"Files differ in their columns: {columns} and {names}")
+                raise LoadError(f"One file has the columns {', '.join(columns)}, another {', '.join(names)}")
             schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
             part = spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True).csv(members)
             parts.append(part.toDF(*names, EXTRA))
     except AnalysisException as e:
-        raise LoadError(f"File not found: {path}") from e
+        raise LoadError(f"There is nothing to read at {path}") from e
     if not columns:
-        raise LoadError(f"CSV contains no columns: {path}")
+        raise LoadError(f"No header at {path}")
 
     df = reduce(lambda a, b: a.unionByName(b), parts)
     # A row longer than the header stops the read, rather than losing its last cells.
@@ -179,8 +183,8 @@ def read_csv(
     try:
         _reject_unusable(df, path)
     except SparkRuntimeException as e:
-        raise LoadError(f"Failed to read CSV; tried encodings: {list(tried)}. Last error: {TOO_LONG}") from e
-    return CsvTable(df, tuple(dict.fromkeys(e for e, _ in sorted(groups, key=lambda g: tried.index(g[0])))))
+        raise LoadError(f"No CSV in {', '.join(tried)}: {TOO_LONG}") from e
+    return CsvTable(df, tuple(dict.fromkeys(g[0] for g in sorted(groups, key=lambda g: tried.index(g[0])))))
 
 
 def _reject_unusable(df: DataFrame, path) -> None:
@@ -188,5 +192,5 @@ def _reject_unusable(df: DataFrame, path) -> None:
     some = reduce(lambda a, b: a | b, [col(c).isNotNull() for c in data_columns(df)])
     if df.filter(some).isEmpty():
         if df.isEmpty():
-            raise LoadError(f"CSV contains no rows: {path}")
-        raise LoadError(f"CSV contains only missing values (all cells are null/empty): {path}")
+            raise LoadError(f"A header but no rows at {path}")
+        raise LoadError(f"Not one cell with a value at {path}")

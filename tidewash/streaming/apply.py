@@ -6,19 +6,26 @@ projection and a filter to apply, so a kept result serves arriving rows unchange
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.columns import FieldSpec, apply_mapping, unique_names
 from ..operators.conversion import ConversionPlan
 from ..operators.missing import Imputation, normalise_missing
 from ..operators.outliers import Limits, any_outlier
 
 
 def clean_stream(
-    stream: DataFrame, conversions: ConversionPlan, imputation: Imputation | None = None, limits: Limits | None = None
+    stream: DataFrame, conversions: ConversionPlan, imputation: Imputation | None = None, limits: Limits | None = None,
+    spec: FieldSpec | Mapping | None = None, dropped: Sequence[str] = (), trim: bool = True,
 ) -> DataFrame:
-    """Tokens to null, kept conversions, kept fill values, kept outlier bounds."""
-    df = conversions.apply(normalise_missing(stream))
+    """Names mapped by ``spec``, tokens to null, kept conversions, columns dropped, kept fill values,
+    kept outlier bounds: what the run did, in its order."""
+    df = stream if spec is None else apply_mapping(stream, spec)
+    df = df.toDF(*unique_names(df.columns)[0])
+    df = conversions.apply(normalise_missing(df, trim=trim)).drop(*dropped)
     if imputation is not None:
         df = imputation.apply(df)
     return df if limits is None else df.filter(~F.coalesce(any_outlier(df, limits), F.lit(False)))
