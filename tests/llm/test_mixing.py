@@ -46,3 +46,8 @@ def test_odd_rows(odd_docs):
 
 def test_no_rows(no_docs):
     assert mix(no_docs, word_count(F.col("text"))).count() == 0
+
+
+def test_carried_columns(odd_docs):
+    rows = mix(odd_docs, F.lit(2), carry=("lang", "key")).collect()
+    assert sorted((str(r.id), str(r.lang)) for r in rows) == sorted((str(r.doc_id), str(r.lang)) for r in odd_docs.collect())

@@ -27,6 +27,18 @@ def test_ids_of_single_texts(text):
     assert WORDS.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_after_words_were_forgotten(monkeypatch):
+    from tidewash.llm import packing
+
+    monkeypatch.setattr(packing, "WORDS", 20)
+    monkeypatch.setattr(packing, "UNITS_KEPT", 10)
+    words = WordIds(VOCABULARY)
+    texts = [" ".join(f"w{i % 7} word{i * k}x, the" for i in range(30)) for k in range(12)]
+    for text in texts + texts[::-1]:
+        assert words.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert len(words.place) <= 20 or len(words.place) <= 10 + 40
+
+
 def check(rows, capacity):
     filled = defaultdict(list)
     for r in rows:

@@ -19,8 +19,8 @@ from .common import parts_for, slices, staged
 LEAF_ITEMS, FAN_IN = 16_384, 8
 #: Bins with no more free tokens than this are done. A part hands on its emptiest bins, this many.
 SLACK, HAND_ON = 16, 1024
-#: Words a worker remembers.
-WORDS = 1_000_000
+#: Words and parts of words a worker remembers.
+WORDS, UNITS_KEPT = 450_000, 300_000
 
 # Scripts whose word boundaries and lower case need no more than the classes below; other texts go
 # through the tokenizer whole. Letters, numerals and white space of these blocks:
@@ -44,8 +44,24 @@ class WordIds:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}
         self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that were looked up most."""
+        words, ids = list(self.place), np.frombuffer(self.ids, np.uint32).copy()
+        starts, counts = np.frombuffer(self.starts, np.int64).copy(), np.frombuffer(self.counts, np.int64).copy()
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: WORDS // 2])
+        starts, counts, uses = starts[kept], counts[kept], self.uses[kept]
+        until = np.cumsum(counts)
+        where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
+        self.clear()
+        self.place = dict(zip([words[i] for i in kept.tolist()], range(len(kept))))
+        self.ids.frombytes(ids[where].tobytes())
+        self.starts.frombytes((until - counts).tobytes())
+        self.counts.frombytes(counts.tobytes())
+        self.uses = uses // 2
 
     def _learn(self, words: set[str]) -> None:
         parts = {w: UNITS.findall(w) for w in words}
@@ -54,13 +70,15 @@ class WordIds:
         for at, line in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(line.ids, np.int64)
             for unit, found in zip(new[at * 500 :], np.split(ids, np.flatnonzero(self.ends[ids]) + 1)):
-                self.units[unit] = found.tolist()
+                self.units[unit] = found.astype(np.uint32).tobytes()
         for w, p in parts.items():
             self.place[w] = len(self.starts)
             self.starts.append(len(self.ids))
             for u in p:
-                self.ids.extend(self.units[u])
+                self.ids.frombytes(self.units[u])
             self.counts.append(len(self.ids) - self.starts[-1])
+        if len(self.units) > UNITS_KEPT:
+            self.units = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -79,8 +97,9 @@ class WordIds:
         where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
         ids = np.frombuffer(self.ids, np.uint32)[where] if len(where) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], until])[np.cumsum([len(s) for s in split], dtype=np.int64)]
+        self.uses = np.append(self.uses, np.zeros(len(self.place) - len(self.uses), np.int64)) + np.bincount(at, minlength=len(self.place))
         if len(self.place) > WORDS:
-            self.clear()
+            self._forget()
         return np.split(ids, ends[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

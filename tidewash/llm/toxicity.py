@@ -20,7 +20,7 @@ ORDER, DISCOUNT, BITS = 5, 0.75, 22
 #: Labelled rows of each class that the fit takes (the first by hash), and those that calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 4_000
 #: Distinct words that one task turns into n-grams.
-WORDS_PER_PART = 200_000
+WORDS_PER_PART = 100_000
 NO_LETTER = re.compile(r"[\W\d_]+")
 CLASSES = ("toxic_0", "toxic_1", "plain_0", "plain_1")
 
@@ -115,7 +115,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for part in slices(batch, 0):
                 for text, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     held.setdefault(-1 if c is None else c, Counter()).update((text or "").lower().split())
-                if sum(map(len, held.values())) > 400_000:
+                if sum(map(len, held.values())) > 200_000:
                     yield rows(held)
                     held = {}
         yield rows(held)
@@ -212,7 +212,7 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, 1):
                 split = [(t or "").lower().split() for t in part.column(1).to_pylist()]
                 new = list({w for s in split for w in s}.difference(place))
-                if len(place) + len(new) > 1_000_000:  # bounded memory of the task
+                if len(place) + len(new) > 300_000:  # bounded memory of the task
                     place, ratio, length = {}, np.zeros(0), np.zeros(0)
                     new = list({w for s in split for w in s})
                 clean = [letters(w) for w in new]
