@@ -34,10 +34,10 @@ class WordIds:
     """Token ids of texts. A word between blanks always gives the same ids, so each is tokenized
     once and looked up afterwards; the result is that of encoding the text as a whole."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, words: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer, self.most = Tokenizer.from_file(vocabulary), words or WORDS
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
         self.clear()
@@ -52,7 +52,7 @@ class WordIds:
         """Keeps the half of the words that were looked up most."""
         words, ids = list(self.place), np.frombuffer(self.ids, np.uint32).copy()
         starts, counts = np.frombuffer(self.starts, np.int64).copy(), np.frombuffer(self.counts, np.int64).copy()
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: WORDS // 2])
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
         starts, counts, uses = starts[kept], counts[kept], self.uses[kept]
         until = np.cumsum(counts)
         where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
@@ -77,7 +77,7 @@ class WordIds:
             for u in p:
                 self.ids.frombytes(self.units[u])
             self.counts.append(len(self.ids) - self.starts[-1])
-        if len(self.units) > UNITS_KEPT:
+        if len(self.units) > min(UNITS_KEPT, self.most):
             self.units = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -98,7 +98,7 @@ class WordIds:
         ids = np.frombuffer(self.ids, np.uint32)[where] if len(where) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], until])[np.cumsum([len(s) for s in split], dtype=np.int64)]
         self.uses = np.append(self.uses, np.zeros(len(self.place) - len(self.uses), np.int64)) + np.bincount(at, minlength=len(self.place))
-        if len(self.place) > WORDS:
+        if len(self.place) > self.most:
             self._forget()
         return np.split(ids, ends[:-1])
 
@@ -123,15 +123,15 @@ class WordIds:
         return [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
 
 
-def _word_ids(vocabulary: str) -> WordIds:
+def _word_ids(vocabulary: str, words: int | None) -> WordIds:
     """The worker's own, kept between its tasks."""
     kept = sys.modules.setdefault("_tidewash_words", types.ModuleType("_tidewash_words"))
-    if getattr(kept, "vocabulary", None) != vocabulary:
-        kept.words, kept.vocabulary = WordIds(vocabulary), vocabulary
+    if getattr(kept, "asked", None) != (vocabulary, words):
+        kept.words, kept.asked = WordIds(vocabulary, words), (vocabulary, words)
     return kept.words
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", words: int | None = None) -> DataFrame:
     """``id, piece, start, length, ids, ids_crc32, item`` of every document, staged.
 
     A document is its token ids and then ``end_id``. Longer ones than ``capacity`` are cut into
@@ -142,11 +142,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     names = ["id", "piece", "start", "length", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(vocabulary)
+        known = _word_ids(vocabulary, words)
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 rows, number, start, length, ids = [], [], [], [], []
-                for row, found in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()])):
+                for row, found in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()])):
                     found = np.append(found, np.uint32(end_id)).astype("<u4")
                     for n, at in enumerate(range(0, len(found), capacity)):
                         some = found[at : at + capacity]
@@ -230,11 +230,11 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     return out.withColumnRenamed("bin", "sequence_id")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", words: int | None = None) -> DataFrame:
     """One row per piece: ``id, piece, start, length, ids, ids_crc32, sequence_id, offset``.
 
-    The token ids of a sequence are its pieces' ``ids`` in order of ``offset``. Repeated rows and
+    The token ids of a sequence are its pieces' ``ids`` in order of ``offset``. A worker remembers ``words`` words. Repeated rows and
     identifiers give pieces of their own; a null identifier is kept. No rows give no rows.
     """
-    cut = pieces(docs, vocabulary, capacity, end_id, id_column, text_column)
+    cut = pieces(docs, vocabulary, capacity, end_id, id_column, text_column, words)
     return cut.join(pack(cut.select("item", "length"), capacity), "item").drop("item")
