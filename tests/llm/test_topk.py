@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidewash.llm import topk
 from tidewash.llm.topk import top_k, whole_numbers
 
 
@@ -33,3 +34,17 @@ def test_large_numbers_are_exact(spark):
     vectors = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = [(r.vec_id, r.score) for r in top_k(vectors.where("id = 0"), vectors, 2).orderBy("rank").collect()]
     assert got == [(2, (2_969_600_000**2) + 3 * 1024 * 1024), (1, (2_969_600_000**2) + 2 * 1024 * 1024)]
+
+
+def test_vectors_go_through_no_single_task(spark, monkeypatch):
+    plans, staged = [], topk.staged
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(topk, "staged", recorded)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(200)]
+    vectors = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert top_k(vectors.where("id < 3"), vectors, 4, shard=10).count() == 12
+    assert len(plans) == 2 and not any("Window" in p for p in plans)

@@ -90,7 +90,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, shard: int = SHAR
     Both sides are ``id, vector`` with whole-number components (:func:`whole_numbers`). Vectors
     are packed into shards and queries into tiles; every tile meets every shard in one matrix
     product (shards are sent once per group of tiles, never single rows), each product gives the
-    k best per query, and lists merge in rounds of ``FAN_IN`` shards until one is left.
+    k best per query, and lists merge in rounds of ``FAN_IN`` shards until one is left. Each task
+    numbers the shards it packs; no row with vectors goes through a window.
 
     Ties go to the smaller identifier; a query's own identifier is no candidate, other rows with
     an equal vector are. Rows that repeat an identifier are candidates of their own, and repeated
@@ -101,7 +102,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, shard: int = SHAR
     session = queries.sparkSession
     count = vectors.count()
     n_shards = parts_for(count, shard)
-    shards = staged(_blocks(vectors.repartition(n_shards, F.xxhash64("id")), shard).withColumn("shard", F.row_number().over(Window.orderBy("block")) - 1))
+    shards = staged(_blocks(vectors.repartition(n_shards, F.xxhash64("id")), shard))
+    # The upper half of a block's number is its part, the lower half counts the part's blocks.
+    place = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    shards = shards.withColumn("shard", F.pmod(place, F.lit(n_shards)))
     asked = queries.groupBy("id").agg(F.min("vector").alias("vector"))
     tiles = staged(_blocks(asked.repartition(parts_for(asked.count(), tile), F.xxhash64("id")), tile).select(
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dims"), F.col("values").alias("q_values")))
