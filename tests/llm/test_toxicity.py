@@ -84,3 +84,20 @@ def test_odd_rows_and_missing_labels(spark, odd_docs, no_docs):
         assert len(rows) == 10 and all(0 <= r.p <= 1 for r in rows)
         assert score(no_docs, model).count() == 0
     assert fit(no_docs, labels, F.lit(True)).weights is not None
+
+
+def test_grams_that_share_leading_hash_bits_stay_apart(spark):
+    rng = np.random.default_rng(1)
+    texts = sorted({"".join(chr(97 + c) for c in x) for x in rng.integers(0, 26, (20_000, 5))})
+    grams = Grams(texts)
+    last = grams.starts + 5
+    assert len(np.unique(grams.at(5, last))) == len(texts)
+    seen, pair = {}, None
+    for text, place in zip(texts, (grams.at(5, last).view(np.uint64) >> np.uint64(42)).tolist()):
+        pair = pair or ((seen[place], text) if place in seen else None)
+        seen[place] = text
+    words = [(pair[0], 9, 6, 0), (pair[1], 8, 0, 5), ("the", 50, 9, 9)]
+    rows = spark.createDataFrame([(w, n, t, 0, p, 0) for w, n, t, p in words], "word string, total long, toxic_0 long, toxic_1 long, plain_0 long, plain_1 long")
+    _, model = models(gram_counts(rows))
+    plain = plain_models(words)
+    assert model.words(list(pair)).tolist() == pytest.approx([plain(w) for w in pair], abs=1e-4)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 
 from .common import parts_for, slices, staged
 
-#: Letters of an n-gram, the discount, and the bits of an n-gram's place in the model: its size is fixed.
-ORDER, DISCOUNT, BITS = 5, 0.75, 22
+#: Letters of an n-gram, and the discount.
+ORDER, DISCOUNT = 5, 0.75
 #: Labelled rows of each class that the fit takes (the first by hash), and those that calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 4_000
 #: Distinct words that one task turns into n-grams.
@@ -50,8 +51,8 @@ class Grams:
             self.ends.append(h ^ (h >> np.uint64(29)))
 
     def at(self, order: int, where: np.ndarray) -> np.ndarray:
-        """Place in the model of the n-grams of ``order`` letters that end at ``where``."""
-        return (self.ends[order - 1][where] >> np.uint64(64 - BITS)).astype(np.int64)
+        """Whole 64-bit hashes of the n-grams of ``order`` letters that end at ``where``."""
+        return self.ends[order - 1][where].view(np.int64)
 
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
         """For each letter and end mark: its longest n-gram and that n-gram's context."""
@@ -65,10 +66,13 @@ class Grams:
 @dataclass(frozen=True)
 class Model:
     """Per n-gram log(P_toxic / P_plain); where neither class has the n-gram, the ratio of the
-    weights that its context leaves to the shared backoff. ``weights`` calibrate the features."""
+    weights that its context leaves to the shared backoff (1 for a context without labels). Keys are
+    sorted hashes of what occurs in the labelled sample. ``weights`` calibrate the features."""
 
-    gram: np.ndarray
-    context: np.ndarray
+    grams: np.ndarray
+    ratios: np.ndarray
+    contexts: np.ndarray
+    rests: np.ndarray
     weights: np.ndarray | None = None
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -77,12 +81,20 @@ class Model:
             return np.zeros(0)
         grams = Grams(words)
         gram, context = grams.longest()
-        value = self.gram[gram].astype(np.float64)
-        value = np.where(np.isnan(value), self.context[context], value)
+        value = found(self.grams, self.ratios, gram, np.nan)
+        value = np.where(np.isnan(value), found(self.contexts, self.rests, context, 0.0), value)
         value[grams.place == 0] = 0
         return np.add.reduceat(value, grams.starts)
 
 
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """Value of each wanted key among the sorted ``keys``."""
+    if not len(keys):
+        return np.full(len(wanted), default)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at].astype(np.float64), default)
+
+
 def features(ratios: np.ndarray, lengths: np.ndarray) -> list[float]:
     """Of a document's words: the log-likelihood ratio per letter, that of its most toxic word and
     its most toxic three (per word and per letter), and the log of its length."""
@@ -153,56 +165,66 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return found.groupBy("k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.max("first").alias("first"), *sums)
 
 
+def _backoffs(grams: DataFrame) -> DataFrame:
+    """``k, suffix, lower``: the shared probability of every n-gram of k-1 letters, as the backoff of
+    those of k that end in it. An n-gram counts by the number of different letters before it (by its
+    occurrences at the start of a word)."""
+    before = grams.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(F.count("*").alias("before"))
+    counted = grams.where(F.col("k") < ORDER).join(before, ["k", "gram"], "left")
+    n = F.when(F.col("first"), F.col("total")).otherwise(F.coalesce("before", F.lit(0)))
+    counted = staged(counted.select("k", "gram", "context", "suffix", n.alias("n")))
+    contexts = counted.groupBy("k", "context").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total"), F.count("*").alias("kinds"))
+    counted = staged(counted.join(contexts, ["k", "context"]))
+    levels = [counted.where("k = 1").select(F.lit(2).alias("k"), F.col("gram").alias("suffix"), (F.col("n") / F.col("total")).alias("lower"))]
+    for k in range(2, ORDER):
+        value = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("total")
+        level = counted.where(F.col("k") == k).drop("k").join(levels[-1].drop("k"), "suffix")
+        levels.append(staged(level.select(F.lit(k + 1).alias("k"), F.col("gram").alias("suffix"), value.alias("lower"))))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def models(grams: DataFrame) -> tuple[Model, Model]:
     """The model of the rows of fold 0, and that of all rows.
 
-    The shared backoff is a Kneser-Ney model of all documents: an n-gram counts by the number of
-    different letters before it (by its occurrences at the start of a word). Each class puts
-    its own discounted counts of the longest n-grams on top. Tables have 2**BITS places, so
-    what reaches the driver is bounded for a corpus of any size.
+    The shared backoff is a Kneser-Ney model of all documents, counted and joined by Spark. Each
+    class puts its own discounted counts of the longest n-grams on top. The driver and the tasks
+    get only n-grams and contexts of the labelled sample, which ``fit`` bounds.
     """
-    size, backoff, parts = 1 << BITS, np.zeros(1), {"gram": [], "context": [], "lower": [], **{c: [] for c in CLASSES}}
-    rows = {k: grams.where(F.col("k") == k).drop("k").toArrow() for k in range(1, ORDER + 1)}
-    columns = {k: {c: rows[k].column(c).to_numpy() for c in rows[k].column_names} for k in rows}
-    for k in range(1, ORDER + 1):
-        x = columns[k]
-        if k == 1:
-            n = np.bincount(columns[2]["suffix"], minlength=size)[x["gram"]].astype(float)
-            value, lower = n / max(1.0, n.sum()), None
-        else:
-            lower = backoff[x["suffix"]]
-            if k < ORDER:
-                before = np.bincount(columns[k + 1]["suffix"], minlength=size)
-                n = np.where(x["first"], x["total"], before[x["gram"]]).astype(float)
-                total, kinds = np.bincount(x["context"], n, size)[x["context"]], np.bincount(x["context"], minlength=size)[x["context"]]
-                value = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(total, 1)
-            longest = x["first"] if k < ORDER else np.ones(len(x["gram"]), bool)
-            for name in ("gram", "context", *CLASSES):
-                parts[name].append(x[name][longest])
-            parts["lower"].append(np.maximum(lower[longest], 1e-12))
-        if k < ORDER:
-            backoff = np.zeros(size)
-            backoff[x["gram"]] = value
-    x = {name: np.concatenate(p) for name, p in parts.items()}
-
-    def model(toxic: np.ndarray, plain: np.ndarray) -> Model:
-        value, rest = [], []
-        for n in (toxic, plain):
-            total, kinds = np.bincount(x["context"], n, size), np.bincount(x["context"], n > 0, size)
-            left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            value.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[x["context"]] + left[x["context"]] * x["lower"]))
-            rest.append(np.log(left))
-        gram = np.full(size, np.nan, np.float32)
-        seen = (toxic > 0) | (plain > 0)
-        gram[x["gram"][seen]] = (value[0] - value[1])[seen]
-        return Model(gram, (rest[0] - rest[1]).astype(np.float32))
-
-    return model(x["toxic_0"], x["plain_0"]), model(x["toxic_0"] + x["toxic_1"], x["plain_0"] + x["plain_1"])
+    labelled = grams.where(reduce(Column.__or__, [F.col(c) > 0 for c in CLASSES])).select("k", "gram", "context", "suffix", *CLASSES)
+    # Class counts are those of longest n-grams. An n-gram of k letters always has its suffix in the corpus.
+    known = labelled.join(_backoffs(grams), ["k", "suffix"]).withColumn("lower", F.greatest("lower", F.lit(1e-12)))
+    sides = {"0": ("toxic_0", "plain_0"), "1": ("toxic_0 + toxic_1", "plain_0 + plain_1")}
+    for m, pair in sides.items():
+        known = known.withColumns({f"n{m}{c}": F.expr(x) for c, x in enumerate(pair)})
+    names = [f"{m}{c}" for m in sides for c in range(2)]
+    known = staged(known.select("k", "gram", "context", "lower", *[f"n{x}" for x in names]))
+    sums = [e for x in names for e in (F.sum(f"n{x}").alias(f"t{x}"), F.count_if(F.col(f"n{x}") > 0).alias(f"d{x}"))]
+    contexts = known.groupBy("k", "context").agg(*sums)
+    left = [F.when(F.col(f"t{x}") > 0, DISCOUNT * F.col(f"d{x}") / F.col(f"t{x}")).otherwise(1.0).alias(f"left{x}") for x in names]
+    contexts = staged(contexts.select("k", "context", *[f"t{x}" for x in names], *left))
+    joined = known.join(contexts, ["k", "context"])
+
+    def model(m: str) -> Model:
+        def share(c: int) -> Column:
+            n, total = F.col(f"n{m}{c}"), F.greatest(F.col(f"t{m}{c}"), F.lit(1))
+            return F.log(F.greatest(n - DISCOUNT, F.lit(0.0)) / total + F.col(f"left{m}{c}") * F.col("lower"))
+
+        seen = (F.col(f"n{m}0") > 0) | (F.col(f"n{m}1") > 0)
+        rest = F.log(F.col(f"left{m}0")) - F.log(F.col(f"left{m}1"))
+        sides = []
+        for rows, value, key in ((joined.where(seen), share(0) - share(1), "gram"), (contexts, rest, "context")):
+            table = rows.select(F.col(key).alias("key"), value.cast("float").alias("value")).toArrow()
+            keys, values = table.column("key").to_numpy(), table.column("value").to_numpy()
+            order = np.argsort(keys)
+            sides += [keys[order], values[order]]
+        return Model(*sides)
+
+    return model("0"), model("1")
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
     """``doc, text`` rows as ``doc`` with ``features``, or with ``score`` if the model is calibrated."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
     calibrated = model.weights is not None
     out = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType()) if calibrated else T.StructField("features", T.ArrayType(T.DoubleType()))])
 
@@ -273,13 +295,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     if len(set(y.tolist())) < 2:
         n, toxic = taken.agg(F.count("*"), F.sum("label")).first()
         share = ((toxic or 0) + 0.5) / (n + 1)
-        return Model(whole.gram, whole.context, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
+        return replace(whole, weights=np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     x = np.array(found.column("features").to_pylist(), float)
     weights = logistic(x, y)
     # Classes were taken in equal numbers at most; the intercept goes back to their true shares.
     n, toxic = known.agg(F.count("*"), F.sum("label")).first()
     weights[0] += np.log(toxic / (n - toxic)) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(whole.gram, whole.context, weights)
+    return replace(whole, weights=weights)
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
