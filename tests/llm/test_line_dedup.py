@@ -70,3 +70,19 @@ def test_odd_and_no_rows(odd_docs, no_docs):
     got = {r.doc_id: r.text for r in dedup_lines(odd_docs).where("doc_id IS NOT NULL").collect()}
     assert got[1] and got[2] == "" and got[3] is None and got[4] == ""
     assert dedup_lines(odd_docs).count() == 10 and dedup_lines(no_docs).count() == 0
+
+
+def test_short_repeats_go_by_equality_alone(spark):
+    docs = [(1, "les.\n\nand ornd.\nthe first document of all"), (2, " LES.\n\nand ornd\nles\nanother line, long enough"), (3, "les.\nand ornd.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in dedup_lines(df, exact_chars=1).collect()}
+    assert got == {1: docs[0][1], 2: "\nand ornd\nles\nanother line, long enough", 3: ""}
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == dict(docs)
+
+
+def test_pipeline_stage_drops_short_repeats(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "les.\nx"), (2, "les.\ny")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert got == {1: "les.\nx", 2: "y"}

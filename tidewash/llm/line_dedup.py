@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered, staged
 
-#: Shorter lines (in characters) are never dropped: brackets, headings, blank lines.
+#: Shorter lines (in characters) have no neighbours by edits: brackets, headings, blank lines.
 MIN_CHARS = 16
 #: Characters of a window in which deletions are tried; longer lines have at most LONG windows.
 WINDOW, LONG = 16, 256
@@ -94,7 +94,7 @@ def _links(variants: DataFrame) -> DataFrame:
     return met.select("h", "g", F.col("p.h").alias("eh"), F.col("p.g").alias("eg")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``file, row, dropped`` (sorted positions) of :func:`~.common.numbered` documents that lose lines.
 
     A line is dropped if an earlier one (by identifier, null last, then place in the input, then
@@ -104,13 +104,16 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     candidates; of these, windows whose surroundings are shared; of these windows all single
     deletions are emitted as hashed keys. Lines that share one are verified by their edit
     distance. Both filters keep every pair within one edit, so nothing is lost to them.
+    Only lines of ``min_chars`` have near neighbours; equal lines are dropped from ``exact_chars``
+    on (``min_chars`` if None).
     """
-    lines = _lines(docs, id_column, text_column).where(F.length("norm") >= min_chars)
-    keys = _half_keys(F.col("norm"), F.length("norm"))
+    near_ones = F.length("norm") >= min_chars
+    lines = _lines(docs, id_column, text_column).where(F.length("norm") >= min(min_chars, min_chars if exact_chars is None else exact_chars))
+    keys = F.when(near_ones, _half_keys(F.col("norm"), F.length("norm"))).otherwise(F.array().cast("array<bigint>"))
     found = lines.select("h", "g", _order().alias("first"), keys.alias("keys")).groupBy("h", "g")
     texts = staged(found.agg(F.min("first").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
     wanted = staged(_shared(texts.select("h", "g", F.explode("keys").alias("key")), "key").select("h", "g").distinct())
-    candidates = _passing(lines, wanted).groupBy("h", "g").agg(F.min(_order()).alias("first"), F.first("norm").alias("norm")).join(wanted, ["h", "g"], "left_semi")
+    candidates = _passing(lines.where(near_ones), wanted).groupBy("h", "g").agg(F.min(_order()).alias("first"), F.first("norm").alias("norm")).join(wanted, ["h", "g"], "left_semi")
     candidates = staged(candidates)
     windows = _shared(_windowed(candidates), "key")
     links = _links(staged(_variants(windows)))
@@ -127,14 +130,14 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return gone.groupBy("file", "row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents without the lines of :func:`dropped_lines`; other columns stay as they are.
 
     A document may lose all lines and keeps an empty text. Null texts stay null. No rows give
-    no rows. Lines shorter than ``min_chars`` stay.
+    no rows. Lines shorter than ``exact_chars`` (``min_chars`` if None) stay.
     """
     rows = numbered(docs)
-    rows = rows.join(dropped_lines(rows, id_column, text_column, min_chars), ["file", "row"], "left")
+    rows = rows.join(dropped_lines(rows, id_column, text_column, min_chars, exact_chars), ["file", "row"], "left")
     text = F.col("doc")[text_column]
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))

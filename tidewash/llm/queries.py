@@ -140,7 +140,7 @@ ORACLES["op5_secrets"] = _secrets_sql()
 @query
 def op3_line_dedup(spark, sf_dir):
     docs = numbered(table(spark, sf_dir, "documents"))
-    gone = line_dedup.dropped_lines(docs)
+    gone = line_dedup.dropped_lines(docs, exact_chars=1)
     rows = docs.select("doc.doc_id", F.size(F.split(F.coalesce("doc.text", F.lit("")), "\n")).alias("lines"), "file", "row")
     rows = rows.join(gone, ["file", "row"], "left")
     return rows.select("doc_id", "lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
