@@ -61,3 +61,14 @@ def test_repeated_and_no_rows(spark):
     rows = spark.createDataFrame([(1, "http://x.net/fr/1"), (1, "http://x.net/fr/1"), (None, None)], "page_id long, url string")
     assert sorted((str(r.id), r.verdict) for r in judge(rows).collect()) == [("1", "block"), ("1", "block"), ("None", "allow")]
     assert judge(rows.limit(0)).count() == 0
+
+
+def test_deep_paths_keep_their_templates(spark):
+    from tidewash.llm.urls import UrlRule
+
+    deep = "/a/b/c/d/e/f/g"
+    rules = (UrlRule("block", "h.org", deep + "/x"), UrlRule("allow", "h.org", deep + "/y"))
+    urls = [f"http://h.org{deep}/{s}/{i}" for s in "xyz" for i in range(30)] + ["http://i.org/q/1/r/s/t/u/v/w"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {(r.template, r.verdict, r.purity is None) for r in judge(rows, rules).collect()}
+    assert got == {(deep + "/x/{n}", "block", False), (deep + "/y/{n}", "allow", False), (deep + "/z/{n}", "allow", True), ("/q/{n}/r/s/t/u/v/w", "allow", True)}

@@ -39,10 +39,10 @@ class Tree:
     """How templates are learned. A place in a path whose values make up more than ``fan_share`` of
     its rows, being over ``fan`` values, is variable. Branches merge unless their labels or
     next segments differ by more than chance would (chi-squared, over its mean by this many
-    standard deviations). A template is rejected from ``purity`` blocked on; ``prior`` labels of the common share smooth it.
+    standard deviations). ``depth`` cuts paths if given. A template is rejected from ``purity`` blocked on; ``prior`` labels of the common share smooth it.
     """
 
-    depth: int = 6
+    depth: int | None = None
     fan: int = 20
     fan_share: float = 0.05
     deviations: float = 2.0
@@ -67,9 +67,9 @@ def matched_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES)
     return text, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
+def segments(path: Column, depth: int | None = None) -> Column:
     """Path segments, those of variable shape as wildcards that keep the shape: numbers, hex strings,
-    identifiers; an ending after a dot stays. Segments beyond ``depth`` are one ``**``."""
+    identifiers; an ending after a dot stays. Segments beyond a ``depth`` are one ``**``."""
     def shape(s: Column) -> Column:
         s = F.regexp_replace(s, r"^[0-9]+(?=$|\.)", "{n}")
         s = F.regexp_replace(s, r"^[0-9A-Fa-f]{8}-?(?:[0-9A-Fa-f]{4}-?){3}[0-9A-Fa-f]{12}(?=$|\.)", "{id}")
@@ -77,6 +77,8 @@ def segments(path: Column, depth: int) -> Column:
         return F.regexp_replace(s, r"[0-9]{2,}", "{n}")
 
     parts = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
+    if depth is None:
+        return parts
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
@@ -89,8 +91,12 @@ def templates(paths: DataFrame, tree: Tree = Tree()) -> DataFrame:
     labelled values together (chi-squared tests) merge into one branch ``{*}``. Values
     without labels keep a branch of their own, so what is known of one never rejects another.
     """
-    rows, deepest = paths.withColumn("template", F.lit("")), paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
+    rows, level = paths.withColumn("template", F.lit("")), 0
+    while True:
+        # A path alone under its template branches no more: its other segments stay as they are.
+        together = rows.groupBy("host", "template").agg(F.count("*").alias("_paths"), F.max(F.size("segments")).alias("_deepest"))
+        if together.where((F.col("_paths") > 1) & (F.col("_deepest") > level)).isEmpty():
+            break
         rows = rows.withColumn("_value", F.get("segments", F.lit(level))).withColumn("_next", F.coalesce(F.get("segments", F.lit(level + 1)), F.lit("")))
         here = rows.where(F.col("_value").isNotNull())
         # Categories of a branch: label and following segment.
@@ -122,7 +128,9 @@ def templates(paths: DataFrame, tree: Tree = Tree()) -> DataFrame:
         rows = staged(
             rows.join(branches, ["host", "template", "_value"], "left").withColumn("template", F.coalesce("_branch", "template")).drop("_branch", "_value", "_next")
         )
-    return rows
+        level += 1
+    rest = F.slice("segments", F.lit(level + 1), F.greatest(F.size("segments") - level, F.lit(0)))
+    return rows.withColumn("template", F.concat("template", F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), s)), "")))
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, tree: Tree = Tree(), id_column: str = "page_id", url_column: str = "url") -> DataFrame:
