@@ -16,7 +16,7 @@ ODD_DOCS = [
     (7, "   \n\t ", "en", "a"),
 ]
 #: Columns named like those the operators make.
-CLASHING = "row long, item long, size long, piece int, features string, score double, key string, doc string, _row long, _dropped int, fp long"
+CLASHING = "row long, item long, size long, piece int, features string, score double, key string, doc string, _row long, _dropped int, fp long, _metadata string"
 
 
 @pytest.fixture(scope="session")

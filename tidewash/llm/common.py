@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +32,13 @@ def numbered(df: DataFrame) -> DataFrame:
     """``doc`` (the whole row) with ``file`` and ``row``, two numbers that stay the same whenever the
     rows are read again: the file's hash and the row's place in it. Rows that don't come
     straight from files are staged first."""
-    steps = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().analyzed().toString(), re.M)
-    if steps[-1:] != ["Relation"] or not set(steps[:-1]) <= {"Project", "Filter", "SubqueryAlias"}:
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
         df = staged(df)
-    place = F.col("_metadata")
-    return df.select(F.struct(*df.columns).alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+    place = df.metadataColumn("_metadata")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
 
 
 def parts_for(rows: int, per_part: int) -> int:

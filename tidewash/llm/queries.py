@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, toxicity, urls
+from . import line_dedup, minhash, toxicity, urls
+from .centroids import cluster_vectors
 from .common import numbered, table
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .mixing import mix, word_count
 from .packing import pack_documents
 from .secrets import RULES, find_secrets, listed, tight
@@ -150,3 +152,73 @@ def op3_line_dedup(spark, sf_dir):
 def op4_url_filter(spark, sf_dir):
     judged = urls.judge(table(spark, sf_dir, "pages"))
     return judged.withColumnRenamed("id", "page_id")
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _centroids_sql() -> str:
+    """Five rounds, each an assignment and new centroids; distances are exact in doubles."""
+    parts = ["""v AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM (SELECT e, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40))"""]
+    for i in range(6):
+        square = " + ".join(f"list_inner_product(CAST({x}.e AS DOUBLE[]), CAST({y}.e AS DOUBLE[])){sign}" for x, y, sign in (("v", "v", ""), ("c", "c", " - 2 * list_inner_product(CAST(v.e AS DOUBLE[]), CAST(c.e AS DOUBLE[]))")))
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, min({{'d': CAST({square} AS BIGINT), 'c': c.c}}) AS m FROM v, c{i} c GROUP BY vec_id)")
+        if i < 5:
+            mean = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (
+  SELECT c, list(x ORDER BY p) AS e FROM (SELECT m.c AS c, p, {mean} AS x FROM (SELECT m, unnest(e) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY m.c, p) GROUP BY c) n ON n.c = c.c)""")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a5 JOIN c5 c ON c.c = m.c"""
+
+
+ORACLES["op11_centroids"] = _centroids_sql()
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    label = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), p AS (
+  SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3"""
+
+
+@query
+def op12_minmax(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op12_minmax"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS x FROM w
+), t AS MATERIALIZED (SELECT doc_id, len(x) AS n, unnest(x) AS y FROM s),
+e AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.y = b.y AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)
+), r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b)
+SELECT doc_id, len(x) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM s JOIN (SELECT a, min(b) AS least_id FROM r GROUP BY a) ON a = doc_id"""
