@@ -442,7 +442,8 @@ ORACLES["spreadsheet_cells"] = f"SELECT doc_id, length(cell) AS length, md5(cell
 ORACLES["spreadsheet_table"] = f"""{with_view('odd_numbers')}
 SELECT o_orderkey, CASE WHEN isfinite(v) THEN v END AS v, concat('{{"k":', o_orderkey, ',"t":"a\\u0001b"}}') AS pair FROM odd_numbers"""
 ORACLES["json_rows"] = f"{with_view('odd_numbers')} SELECT o_orderkey, coalesce(isfinite(v), false) AS has_value, true AS is_plain FROM odd_numbers"
-ORACLES["csv_roundtrip"] = "SELECT doc_id, n_chars, lang, md5(text) AS text_md5 FROM documents"
+ORACLES["csv_roundtrip"] = "SELECT doc_id, n_chars, lang, source, md5(text) AS text_md5 FROM documents"
+ORACLES["csv_row_order"] = """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id, o_orderkey, o_orderpriority || chr(10) || '"x",' AS clerk FROM orders"""
 ORACLES["parquet_roundtrip"] = f"{with_view('dirty_customer')} SELECT * FROM dirty_customer"
 ORACLES["encoding_fallback"] = "SELECT c_custkey, c_name || ' café' AS label, 'latin-1' AS encoding FROM customer"
 ORACLES["load_metadata"] = "SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, 'utf-8' AS encoding FROM orders"

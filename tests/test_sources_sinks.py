@@ -4,9 +4,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewash.operators.columns import dense_row_id, first_rows
 from tidewash.operators.conversion import convert_types
 from tidewash.sinks import iso_timestamps, json_safe, spreadsheet_safe, write_csv, write_json
-from tidewash.sources import LoadError, list_specs, load_spec, parse_specs, read_csv, stage_table
+from tidewash.sources import LoadError, list_specs, load_spec, parse_specs, read_csv, read_table, stage_table
 from tidewash.sources.specs import default_spec
 
 
@@ -132,3 +133,86 @@ def test_odd_file_names(spark, tmp_path):
         folder.mkdir()
         put(folder, "a\n1\n", name)
         assert rows(read_csv(spark, str(folder))) == [("1",)]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of a few lines."""
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_quotes_decide_where_cells_end(spark, tmp_path):
+    text = 'id,text\n1,"say ""hi""\nthere"\n2,"abc\n"\n3,"def\n"\n'
+    assert rows(read_csv(spark, put(tmp_path, text))) == [("1", 'say "hi"\nthere'), ("2", "abc\n"), ("3", "def\n")]
+    text = 'a,b\r\n1,"x\r\n\r\ny"\r\n\r\n5" pipe,6" pipe\r\n2,"q"" , \r\n,"",z\n"\r\n'
+    assert rows(read_csv(spark, put(tmp_path, text))) == [("1", "x\r\n\r\ny"), ('5" pipe', '6" pipe'), ("2", 'q" , \r\n,",z\n')]
+    with pytest.raises(LoadError, match="never ends in .*open.csv"):
+        read_csv(spark, put(tmp_path, 'a,b\n1,"x\n2,""y\n', "open.csv"))
+
+
+def test_headers_and_line_ends_of_other_kinds(spark, tmp_path):
+    assert rows(read_csv(spark, put(tmp_path, "a,b\r1,2\r3,4\r"))) == [("1", "2"), ("3", "4")]
+    table = read_csv(spark, put(tmp_path, '"a\nc",b\n1,"2\n3"\n'))
+    assert table.df.columns == ["_row_id", "a\nc", "b"] and rows(table) == [("1", "2\n3")]
+    table = read_csv(spark, put(tmp_path, "a,b\n1,é\n".encode("utf-16")), encodings=["utf-16"], multi_line=True)
+    assert rows(table) == [("1", "é")]
+
+
+def test_random_cells_over_many_blocks(spark, tmp_path, small_blocks):
+    import csv
+    import random
+
+    rng = random.Random(11)
+    folder = tmp_path / "random"
+    folder.mkdir()
+    want, tasks = [], 0
+    for name, n in (("b.csv", 3), ("c.csv", 400), ("a.csv", 150), ("d.csv", 1)):
+        mine = [[f"{name}{i}", *["".join(rng.choice(['"', '""', ",", "\n", "\r\n", "x", "yz ", "é", "5\" "]) for _ in range(rng.randrange(1, 9))) + "." for _ in range(2)]] for i in range(n)]
+        with open(folder / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\r\n" if name == "a.csv" else "\n")
+            out.writerow(["k", "s", "t"])
+            out.writerows(mine)
+        want.append((name, mine))
+    table = read_csv(spark, str(folder))
+    tasks = table.kept[0].count()
+    assert tasks > 100
+    assert rows(table) == [tuple(r) for _, mine in sorted(want) for r in mine]
+    table.release()
+
+
+def test_rows_are_numbered_in_the_order_of_the_input(spark, tmp_path, small_blocks):
+    folder = tmp_path / "order"
+    folder.mkdir()
+    want = []
+    for name, n in (("a", 3), ("b", 800), ("c", 1), ("d", 40)):
+        put(folder, "k\n" + "".join(f"{name}{i}\n\n" for i in range(n)), f"{name}.csv")
+        want += [f"{name}{i}" for i in range(n)]
+    for size in ("64", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        table = read_csv(spark, str(folder)).df
+        got = table.repartition(5).orderBy("_row_id").collect()
+        assert [r["k"] for r in got] == want
+        assert got[0]["_row_id"] == 1 and got[3]["_row_id"] == 8  # numbers of lines, through all files
+        assert [r["k"] for r in first_rows(table, 4)] == want[:4]
+        dense = dense_row_id(table.where("k <> 'a1'")).orderBy("_row_id").collect()
+        assert [r["_row_id"] for r in dense] == list(range(len(want) - 1))
+
+
+def test_parquet_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    for name, low, high in (("a", 0, 3), ("b", 3, 5000), ("c", 5000, 5001)):
+        spark.range(low, high, numPartitions=1).coalesce(1).write.parquet(str(tmp_path / "t" / f"part={name}"))
+    df = read_table(spark, str(tmp_path / "t"), row_id=True)
+    assert df.where("_row_id <> id").count() == 0 and df.count() == 5001
+
+
+def test_a_changed_cut_of_the_files_stops_the_read(spark, tmp_path, small_blocks):
+    table = read_csv(spark, put(tmp_path, "a\n" + "1\n" * 500, "long.csv")).df
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    with pytest.raises(Exception, match="split differently"):
+        table.select("a").collect()

@@ -197,19 +197,33 @@ def column_samples(df: DataFrame, n: int, order_by: str | None = None) -> dict[s
 
 
 # --- Row numbers ------------------------------------------------------------
+# Rows that one part of ``dense_row_id`` numbers.
+ROW_ID_PART_BITS = 20
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add ``_row_id``, increasing in scan order. Use directly on a file scan."""
     return df.select(F.monotonically_increasing_id().alias(ROW_ID), *[col(c) for c in df.columns])
 
 
+def with_file_row_id(df: DataFrame) -> DataFrame:
+    """Add ``_row_id`` to a scan of Parquet files: 0, 1, 2, … through the files in the order of their paths,
+    whatever the number of tasks. Rows are counted per file, and files number their own rows."""
+    place = df.metadataColumn("_metadata")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.select(place["file_path"].alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = df.select(*[col(c) for c in df.columns], place["file_path"].alias("_file"), place["row_index"].alias("_place"))
+    return placed.join(starts, "_file").select((F.col("_start") + F.col("_place")).alias(ROW_ID), *[col(c) for c in df.columns])
+
+
 def dense_row_id(df: DataFrame) -> DataFrame:
     """Replace ``_row_id`` with 0, 1, 2, … in the same order, also after rows have gone.
 
-    ``_row_id`` holds the partition number above bit 33. Rows are counted per such part, so
-    each part is numbered by itself and starts after those before it; the running total is
-    over one row per part.
+    Rows are counted per part of the numbers' range, so each part is numbered by itself and starts
+    after those before it; the running total is over one row per part.
     """
-    tagged = df.withColumn("_part", F.shiftright(F.col(ROW_ID), 33))
+    tagged = df.withColumn("_part", F.shiftright(F.col(ROW_ID), ROW_ID_PART_BITS))
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))

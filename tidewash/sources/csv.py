@@ -1,21 +1,29 @@
-"""CSV input as text columns: encodings, quoted newlines, header repair, missing cells."""
+"""CSV input as text columns: encodings, quoted newlines, header repair, missing cells, row numbers.
+
+Files are scanned as lines, which Spark splits among tasks. Whether a line starts inside a quoted
+cell depends on all lines before it, so each line is taken as a map from "starts outside" and
+"starts inside" to how it ends. The maps of a block's lines make the block's map, those of blocks
+give the state at the start of every block, and each block then finds its own records.
+"""
 
 from __future__ import annotations
 
+import csv
 import re
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException, SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .. import ROW_ID
 from ..functions import blank_to_null, col, null_tokens
 from ..functions.text import READER_NA_TOKENS
-from ..operators.columns import data_columns, with_row_id
+from ..operators.columns import data_columns
 
 # --- Fixed values -----------------------------------------------------------
 DEFAULT_ENCODINGS = ("utf-8", "latin-1")
@@ -24,9 +32,21 @@ JVM_NAMES = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 # ----------------------------------------------------------------------------
 
 
-# Holds what a row has beyond the header.
-EXTRA = "_extra"
+# Encodings in which lines and quotes can be found before the text is decoded.
+SPLITTABLE = ("utf-8", "latin-1")
+OPTIONS = {
+    "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 TOO_LONG = "a row has more cells than the header"
+MOVED = "the files were split differently than when they were inspected; read them again"
+
+# Parts of a line, all possessive, so each pattern passes a line once: a quoted text up to its last
+# character, fields with the comma behind them, and a quoted cell that the line leaves open.
+_QUOTED = '[^"]*+(?:""[^"]*+)*+'
+_FIELDS = f'(?:(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+_OPEN = f'"{_QUOTED}$'
+ENDS_INSIDE = (f"(?s)^{_FIELDS}{_OPEN}", f'(?s)^{_QUOTED}(?:$|"[^,]*+,{_FIELDS}{_OPEN})')
 
 
 class LoadError(ValueError):
@@ -39,6 +59,7 @@ class CsvTable:
 
     df: DataFrame
     encodings: tuple[str, ...]
+    kept: tuple[DataFrame, ...] = ()
 
     @property
     def encoding(self) -> str:
@@ -51,64 +72,178 @@ class CsvTable:
         columns = F.lit(len(data_columns(self.df))).cast("bigint")
         return count.select("rows", columns.alias("columns"), F.lit(self.encoding).alias("encoding"))
 
+    def release(self) -> None:
+        """Lets go of what the inspection found, when the rows are no longer needed."""
+        for df in self.kept:
+            df.unpersist()
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, block, place, value``: every line with its raw bytes. ``place`` grows along a block, which
+    is what one task reads of a file. A line ends at a line feed; a carriage return before it is kept."""
+    return spark.read.text(list(paths), lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def _ends_inside() -> tuple[Column, Column]:
+    """Whether a line ends inside a quoted cell if it starts outside of one, and if it starts inside."""
+    quoted = F.contains("value", F.lit('"'))
+    return tuple(F.when(quoted, F.col("value").rlike(p)).otherwise(bool(i)) for i, p in enumerate(ENDS_INSIDE))
+
+
+def _blank() -> Column:
+    return ~F.col("value").rlike(r"[^\x00-\x20]")
+
+
+def _after(out0: Column, out1: Column, window) -> tuple[Column, Column]:
+    """States after each row of the window for either state before its first row. The last row whose
+    state does not depend on the one before it settles the state; later ones may only turn it around."""
+    turns = F.sum((out0 & ~out1).cast("int")).over(window)
+    fixed = F.last(F.when(out0 == out1, F.struct(out0.alias("state"), turns.alias("turns"))), ignorenulls=True).over(window)
+    odd = (turns - F.coalesce(fixed["turns"], F.lit(0))) % 2 == 1
+    return tuple(F.coalesce(fixed["state"], F.lit(s)) != odd for s in (False, True))
 
-def _inspect(spark: SparkSession, path) -> DataFrame:
-    """Per file: bytes valid as UTF-8, a quoted newline present, a quote left open, first line.
 
-    The text source keeps the raw bytes of each line and splits large files, so this is
-    one distributed pass whatever the file size. A line with an odd number of quotes
-    starts or ends a cell that holds a newline.
+def _inspected(lines: DataFrame) -> DataFrame:
+    """One row per file and block: first place and number of its first line, and of the file whether all
+    is UTF-8, whether a cell is open at some line's end, and its header line with that one's number.
+
+    Lines are numbered through all files, in the order of their paths.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place")
-    )
-    quotes = F.regexp_count("value", F.lit('"'))
-    odd = quotes % 2 == 1
-    opening, closing, alone = (
-        F.sum(F.regexp_count("value", F.lit(p)))
-        for p in (r'(?:^|,)"(?!,|\r?$)', r'(?<!^|,)"(?=,|\r?$)', r'(?:^|,)"(?=,|\r?$)')
-    )
-    # Quotes inside plain text (5" pipe) are no cell boundaries and prove nothing.
-    unclosed = (opening > closing) | ((opening == 0) & (closing == 0) & (alone > 0))
-    return lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
-        F.coalesce(F.bool_or(odd), F.lit(False)).alias("multi_line"),
-        (((opening + closing + alone) % 2 == 1) & unclosed).alias("open_quote"),
-        F.min_by("value", F.when(F.length("value") > 0, F.col("place"))).alias("first_line"),
-    )
-
-
-CLASS = ("valid_utf8", "multi_line", "open_quote", "first_line")
-
-
-def _fitting(flags, tried: Sequence[str]) -> str:
-    """The first encoding that fits files with these flags."""
-    fitting = [e for e in tried if flags["valid_utf8"] or e != "utf-8"]
-    if not fitting or flags["open_quote"]:
-        reason = "a quoted cell never ends" if flags["open_quote"] else "there are bytes that are no text in it"
-        raise LoadError(f"No CSV in {', '.join(tried)}: {reason}")
-    return fitting[0]
+    opens, _ = _ends_inside()
+    first = F.min_by(F.struct("place", F.col("value").cast("binary").alias("header")), F.when(~_blank(), F.col("place")))
+    blocks = lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("place").alias("first_place"), F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
+        F.bool_or(opens).alias("opens"), first.alias("first"))
+    # One row for each block a task reads, so these windows stay small.
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    file = Window.partitionBy("file")
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    header = F.when(F.col("first").isNotNull(), F.struct((F.col("start") + F.col("first.place") - F.col("first_place")).alias("line"), "first.header"))
+    return blocks.select(
+        "file", "block", "first_place", "start", F.bool_and("valid_utf8").over(file).alias("valid_utf8"), F.bool_or("opens").over(file).alias("opens"),
+        F.min(header).over(file).alias("h")).select("*", F.col("h.line").alias("header_line"), F.col("h.header").alias("header")).drop("h")
+
+
+def _quote_states(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``file, block, inside, opened, ends_inside``: whether the block starts inside a quoted cell, the number
+    of the line that opened it, and the state behind the block. Only lines that can change a state
+    are looked at, each as a few numbers."""
+    out0, out1 = _ends_inside()
+    marks = lines.select("file", "block", "place", out0.alias("out0"), out1.alias("out1")).where(F.col("out0") | ~F.col("out1"))
+    run = Window.partitionBy("file", "block").orderBy("place")
+    after = _after(F.col("out0"), F.col("out1"), run.rowsBetween(Window.unboundedPreceding, 0))
+    marks = marks.select("file", "block", "place", after[0].alias("a0"), after[1].alias("a1"))
+    marks = marks.withColumn("b0", F.lag("a0", 1, False).over(run)).withColumn("b1", F.lag("a1", 1, True).over(run))
+    maps = marks.groupBy("file", "block").agg(
+        *[F.max_by(f"a{s}", "place").alias(f"out{s}") for s in (0, 1)],
+        *[F.max(F.when(F.col(f"a{s}") & ~F.col(f"b{s}"), F.col("place"))).alias(f"open{s}") for s in (0, 1)])
+    # One row for each block from here on.
+    maps = blocks.select("file", "block", "first_place", "start").join(maps, ["file", "block"], "left")
+    maps = maps.fillna(False, "out0").fillna(True, "out1")
+    run = Window.partitionBy("file").orderBy("block")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    maps = maps.withColumn("ends_inside", _after(F.col("out0"), F.col("out1"), upto)[0])
+    maps = maps.withColumn("inside", F.lag("ends_inside", 1, False).over(run))
+    opened = F.when(F.col("inside"), F.col("open1")).otherwise(F.col("open0")) - F.col("first_place") + F.col("start")
+    maps = maps.withColumn("opened", F.last(opened, ignorenulls=True).over(upto))
+    return maps.select("file", "block", "inside", F.lag("opened").over(run).alias("opened"), "ends_inside")
+
+
+def _spanning_records(lines: DataFrame) -> DataFrame:
+    """``line, kind, value`` of the records of files with open cells. Lines are sorted within their blocks
+    to find the state of each; those that belong together are put together again, and only
+    those meet across blocks."""
+    run = Window.partitionBy("start").orderBy("line")
+    out0, out1 = _ends_inside()
+    states = lines.withColumn("out0", out0).withColumn("out1", out1)
+    after = _after(F.col("out0"), F.col("out1"), run.rowsBetween(Window.unboundedPreceding, 0))
+    states = states.withColumn("a", F.when(F.col("inside"), after[1]).otherwise(after[0]))
+    states = states.withColumn("b", F.coalesce(F.lag("a").over(run), F.col("inside")))
+    opening = F.last(F.when(~F.col("b") & F.col("a"), F.col("line")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    states = states.withColumn("record", F.when(F.col("b"), F.coalesce(opening, F.col("opened"))).otherwise(F.col("line")))
+    alone = states.where(~F.col("a") & ~F.col("b") & ~_blank()).select("line", "kind", "value")
+    parts = states.where(F.col("a") | F.col("b")).groupBy("record").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    whole = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    return alone.union(parts.select(F.col("record").alias("line"), "kind", whole.alias("value")))
 
 
-def _plain_path(uri: str) -> str:
-    """A file's URI as the path that reads exactly this file (glob characters escaped)."""
-    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
+@dataclass(frozen=True)
+class _Kind:
+    """Files with the same encoding, header and way of reading."""
+
+    encoding: str
+    names: tuple[str, ...]
+    file: str  # one of them
+    lines: bool  # line feeds end its lines
+    split: bool
+
+
+def _kinds(blocks: DataFrame, tried: Sequence[str], path) -> dict[tuple, _Kind]:
+    """The kinds of files by ``valid_utf8`` and ``header``; files without any text have none."""
+    text = F.col("header").cast("string")
+    found = blocks.groupBy("valid_utf8", "header", text.rlike(r"\r(?s:.)").alias("returns"), text.rlike(ENDS_INSIDE[0]).alias("open")).agg(F.min("file").alias("file"), F.count_distinct("file").alias("files")).orderBy("file").collect()
+    if not found:
+        raise LoadError(f"Only empty files at {path}")
+    kinds: dict[tuple, _Kind] = {}
+    for r in found:
+        fitting = [e for e in tried if r["valid_utf8"] or e != "utf-8"]
+        if not fitting:
+            raise LoadError(f"No CSV in {', '.join(tried)}: there are bytes that are no text in {r['file']}{_more(r['files'])}")
+        if r["header"] is not None:
+            lines = fitting[0] in SPLITTABLE and not r["returns"]
+            split = lines and not r["open"]
+            # Other headers need Spark's reader, which knows their encoding and line ends.
+            names = unique_header(next(csv.reader([bytes(r["header"]).decode(fitting[0]).removesuffix("\r")]))) if split else ()
+            kinds[r["valid_utf8"], bytes(r["header"])] = _Kind(fitting[0], names, r["file"], lines, split)
+    if not kinds:
+        raise LoadError(f"No header at {path}")
+    return kinds
 
 
-def _header(spark: SparkSession, path, options: dict) -> list[str]:
-    first = spark.read.options(**options).option("header", False).csv(path).head()
-    names = [] if first is None else list(first)
+def unique_header(names: Sequence[str | None]) -> tuple[str, ...]:
+    """Header names with ``.1``, ``.2``, … after repeats and ``Unnamed: n`` for missing ones."""
     result: list[str] = []
     seen: dict[str, int] = {}
     for position, name in enumerate(names):
-        name = f"Unnamed: {position}" if name is None or name == "" else name.removeprefix("\ufeff")
+        name = f"Unnamed: {position}" if name is None or name == "" else name.removeprefix("﻿")
         after = name
         while after in seen:
             seen[name] += 1
             after = f"{name}.{seen[name]}"
         seen.setdefault(after, 0)
         result.append(after)
-    return result
+    return tuple(result)
+
+
+def _plain_path(uri: str) -> str:
+    """A file's URI as the path that reads exactly this file (glob characters escaped)."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
+
+
+def _more(files: int) -> str:
+    return f" and {files - 1} more files" if files > 1 else ""
+
+
+def _whole_files(spark: SparkSession, blocks: DataFrame, kinds: Sequence[_Kind]) -> list[tuple[_Kind, DataFrame]]:
+    """Kinds (with their names) and ``_row_id, cells`` of files that only Spark's reader can read, each in
+    one task: other encodings, carriage returns alone as line ends, headers over several lines."""
+    out = []
+    for i, kind in enumerate(kinds):
+        if not kind.split:
+            files = [r["file"] for r in blocks.where(F.col("kind") == i).select("file").distinct().collect()]
+            options = {**OPTIONS, "encoding": JVM_NAMES.get(kind.encoding, kind.encoding)}
+            paths = [_plain_path(f) for f in files]
+            names = unique_header(list(spark.read.options(**options).csv(paths).head() or ()))
+            rows = spark.read.schema(_schema(len(names))).options(**options, header=True, enforceSchema=True).csv(paths)
+            rows = rows.select((F.monotonically_increasing_id() - F.lit(1 << 62)).alias("line"), F.lit(i).alias("kind"), F.struct(*rows.columns).alias("cells"))
+            out.append((replace(kind, names=names), rows))
+    return out
+
+
+def _schema(n: int) -> str:
+    """Cells c0, c1, …, and one that holds what a row has beyond the header."""
+    return ", ".join(f"c{i} string" for i in range(n + 1))
 
 
 def read_csv(
@@ -121,76 +256,117 @@ def read_csv(
 ) -> CsvTable:
     """Scan CSV files with a header row into text columns.
 
-    One pass over the lines finds each file's header line, the first of ``encodings`` that
-    fits it, and whether cells hold newlines, because only files without such cells can be
-    split among tasks. Files with equal headers are read together, columns then meet by
-    name; headers with other names are an error. With one encoding and ``multi_line`` given,
-    only the headers decide. Missing tokens and blank cells become
-    null. Repeated header names get ``.1``, ``.2``, …; unnamed ones ``Unnamed: n``.
+    One pass over the lines finds each file's header line, the first of ``encodings`` that fits it,
+    and whether cells hold line breaks; files of either kind are split among tasks.
+    ``multi_line=False`` takes every line for a record. Columns of several files meet by name; headers
+    with other names are an error. Missing tokens and blank cells become null. Repeated header names
+    get ``.1``, ``.2``, …; unnamed ones ``Unnamed: n``.
+
+    ``_row_id`` is the number of the record's first line, counted through all files in the order of
+    their paths, so it is the order of the input whatever the number of tasks. (Files that cannot
+    be split, see :func:`_whole_files`, come first, in scan order.) Lines are numbered by blocks as
+    the inspection found them: if the session's cores or file settings change so much that Spark
+    cuts the files elsewhere, the read stops and has to be repeated. ``release`` lets go of the
+    inspection's result, a row for each block.
     """
     tried = tuple(encodings or DEFAULT_ENCODINGS)
-    paths = [path] if isinstance(path, str) else list(path)
-    groups: dict[tuple[str, bool, str], list[str]] = {}
-    fixed = len(tried) == 1 and multi_line is not None
     try:
-        files = _inspect(spark, paths).persist()
+        lines = _lines(spark, [path] if isinstance(path, str) else path)
+        # The name keeps Spark from taking an earlier read of the same paths for this one.
+        blocks = _inspected(lines).withColumn("read", F.lit(uuid.uuid4().hex)).persist()
+        by_header = _kinds(blocks, tried, path)
     except AnalysisException as e:
         raise LoadError(f"There is nothing to read at {path}") from e
+    kinds = list(by_header.values())
+    number = F.lit(None).cast("int")
+    for i, (valid, header) in enumerate(by_header):
+        number = F.when((F.col("valid_utf8") == valid) & (F.col("header") == header), i).otherwise(number)
+    known = blocks.withColumn("kind", number)
+    whole = dict(zip([i for i, k in enumerate(kinds) if not k.split], _whole_files(spark, known, kinds)))
+    kinds = [whole[i][0] if i in whole else k for i, k in enumerate(kinds)]
+    columns = kinds[0].names
+    for kind in kinds:
+        if not kind.names:
+            raise LoadError(f"No header in {kind.file}")
+        if sorted(kind.names) != sorted(columns):
+            raise LoadError(f"{kinds[0].file} has the columns {', '.join(columns)}, another file, {kind.file}, has {', '.join(kind.names)}")
+
+    split = [i for i, k in enumerate(kinds) if k.split]
+    known = known.withColumn("opens", F.coalesce(F.col("opens") & F.col("kind").isin([i for i, k in enumerate(kinds) if k.lines] or [-1]), F.lit(False)))
+    kept, spanning = [blocks], multi_line is not False and not known.where("opens").isEmpty()
+    if spanning:
+        states = _quote_states(lines, known.where("opens")).persist()
+        kept.append(states)
+        file, count = states.groupBy("file").agg(F.max_by("ends_inside", "block").alias("open")).where("open").agg(F.min("file"), F.count(F.lit(1))).first()
+        if count:
+            raise LoadError(f"No CSV in {', '.join(tried)}: a quoted cell never ends in {file}{_more(count)}")
+        known = known.join(states.drop("ends_inside"), ["file", "block"], "left")
+    # Files that are read whole have no part in the lines.
+    known = known.withColumn("kind", F.when(F.col("kind").isin(split or [-1]), F.col("kind")))
+    known = known.withColumn("opens", F.col("opens") & F.lit(spanning))
+    plain = not spanning or not known.where("kind IS NOT NULL AND NOT opens").isEmpty()
+
+    def table(first_only: bool) -> DataFrame:
+        rows = [r for _, r in whole.values()]
+        if split:
+            some = lines.join(known.drop("valid_utf8", "header"), ["file", "block"], "left")
+            some = some.withColumn("line", F.col("start") + F.col("place") - F.col("first_place"))
+            # Conditions that hold for nulls or are over both sides, so that lines of an unknown block reach the error.
+            wanted = F.col("kind").isNotNull() & (F.col("start") + F.col("place") - F.col("first_place") > F.col("header_line"))
+            some = some.where(F.when(F.col("start").isNull() & F.col("place").isNotNull(), F.raise_error(F.lit(MOVED)).cast("boolean")).otherwise(wanted))
+            if first_only:
+                some = some.where("start = 0")
+            records = []
+            if plain:
+                records.append(some.where(~F.coalesce("opens", F.lit(False)) & ~_blank()).select("line", "kind", "value"))
+            if spanning:
+                records.append(_spanning_records(some.where(F.coalesce("opens", F.lit(True)))))
+            records = reduce(DataFrame.union, records)
+            latin = F.col("kind").isin([i for i in split if kinds[i].encoding == "latin-1"] or [-1])
+            value = F.when(latin, F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
+            rows.append(records.select("line", "kind", F.from_csv(_without_return(value), _schema(len(columns)), OPTIONS).alias("cells")))
+        return _cells(reduce(DataFrame.union, rows), kinds, columns, na_tokens, row_id)
+
+    df = table(False)
     try:
-        def group(found) -> tuple[str, bool, str]:
-            encoding = tried[0] if fixed else _fitting(found, tried)
-            return encoding, found["multi_line"] if multi_line is None else multi_line, (found["first_line"] or "").removesuffix("\r")
-
-        for found in files.groupBy(*CLASS).count().collect():
-            groups.setdefault(group(found), [])
-        if not groups:
-            raise LoadError(f"Only empty files at {path}")
-        if len(groups) == 1:
-            groups[next(iter(groups))] = paths
-        else:  # only a mixed folder needs its files by name
-            for found in files.collect():
-                groups[group(found)].append(_plain_path(found["file"]))
-    finally:
-        files.unpersist()
-
-    parts, columns = [], None
-    try:
-        for (encoding, spans, _), members in sorted(groups.items()):
-            options = {
-                "encoding": JVM_NAMES.get(encoding, encoding), "multiLine": spans, "quote": '"', "escape": '"',
-                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE",
-            }
-            names = _header(spark, members, options)
-            columns = columns or names
-            if sorted(names) != sorted(columns):
-                raise LoadError(f"One file has the columns {', '.join(columns)}, another {', '.join(names)}")
-            schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
-            part = spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True).csv(members)
-            parts.append(part.toDF(*names, EXTRA))
-    except AnalysisException as e:
-        raise LoadError(f"There is nothing to read at {path}") from e
-    if not columns:
-        raise LoadError(f"No header at {path}")
+        # Records with open cells are found by a sort of whole blocks, so the first block is tried alone.
+        if not spanning or not _usable(table(True)):
+            _reject_unusable(df, path)
+    except SparkRuntimeException as e:
+        raise LoadError(f"No CSV in {', '.join(tried)}: {MOVED if MOVED in str(e) else TOO_LONG}") from e
+    return CsvTable(df, tuple(dict.fromkeys(k.encoding for k in sorted(kinds, key=lambda k: tried.index(k.encoding)))), tuple(kept))
+
+
+def _without_return(value: Column) -> Column:
+    """The record without a carriage return at its end."""
+    return F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+
 
-    df = reduce(lambda a, b: a.unionByName(b), parts)
+def _cells(rows: DataFrame, kinds: Sequence[_Kind], columns: Sequence[str], na_tokens: Sequence[str], row_id: bool) -> DataFrame:
+    """The columns by name, from ``line, kind, cells``; kinds may have them in other orders."""
+    orders: dict[tuple[str, ...], list[int]] = {}
+    for i, k in enumerate(kinds):
+        orders.setdefault(k.names, []).append(i)
     # A row longer than the header stops the read, rather than losing its last cells.
-    fits = F.when(col(EXTRA).isNull(), True).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("boolean"))
-    df = df.filter(fits).drop(EXTRA)
-    if row_id:
-        df = with_row_id(df)
-    cells = [blank_to_null(null_tokens(col(c), na_tokens)).alias(c) for c in columns]
-    df = df.select(*[col(c) for c in df.columns if c not in columns], *cells)
-    try:
-        _reject_unusable(df, path)
-    except SparkRuntimeException as e:
-        raise LoadError(f"No CSV in {', '.join(tried)}: {TOO_LONG}") from e
-    return CsvTable(df, tuple(dict.fromkeys(g[0] for g in sorted(groups, key=lambda g: tried.index(g[0])))))
+    extra = F.col("cells")[f"c{len(columns)}"]
+    rows = rows.where(F.when(extra.isNull(), True).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("boolean")))
+    cells = []
+    for c in columns:
+        cell = None
+        for names, numbers in orders.items():
+            this = F.col("cells")[f"c{names.index(c)}"]
+            cell = this if cell is None else F.when(F.col("kind").isin(numbers), this).otherwise(cell)
+        cells.append(blank_to_null(null_tokens(cell, na_tokens)).alias(c))
+    return rows.select(*([F.col("line").alias(ROW_ID)] if row_id else []), *cells)
+
+
+def _usable(df: DataFrame) -> bool:
+    """Whether some cell has a value; stops at the first one."""
+    return not df.filter(reduce(lambda a, b: a | b, [col(c).isNotNull() for c in data_columns(df)])).isEmpty()
 
 
 def _reject_unusable(df: DataFrame, path) -> None:
-    """Both tests stop at the first row that passes."""
-    some = reduce(lambda a, b: a | b, [col(c).isNotNull() for c in data_columns(df)])
-    if df.filter(some).isEmpty():
+    if not _usable(df):
         if df.isEmpty():
             raise LoadError(f"A header but no rows at {path}")
         raise LoadError(f"Not one cell with a value at {path}")

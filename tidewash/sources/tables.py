@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ROW_ID
-from ..operators.columns import with_row_id
+from ..operators.columns import with_file_row_id
 
 
 def read_table(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
-    """Read a Parquet table; it keeps its types, so nothing is inferred again."""
+    """Read a Parquet table; it keeps its types, so nothing is inferred again. ``row_id`` numbers the rows
+    in the order of the files' paths."""
     df = spark.read.parquet(path)
-    return with_row_id(df) if row_id and ROW_ID not in df.columns else df
+    return with_file_row_id(df) if row_id and ROW_ID not in df.columns else df
 
 
 def shared_folder(spark: SparkSession, base: str | None = None) -> str:
