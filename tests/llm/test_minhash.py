@@ -16,9 +16,9 @@ def plain_set(text, width=3):
     return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def brute(texts, percent=85):
+def brute(texts, percent=85, width=3):
     """Least position that links reach, over all pairs."""
-    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+    sets, root = [plain_set(t, width) for t in texts], list(range(len(texts)))
 
     def find(i):
         while root[i] != i:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewash.llm.packing import WordIds, best_fit, pack, pack_documents
+from tidewash.llm.packing import WordIds, best_fit, merged_counts, pack, pack_documents, splits_at_blanks
 
 from .conftest import ODD_DOCS
 
@@ -31,12 +31,11 @@ def test_ids_after_words_were_forgotten(monkeypatch):
     from tidewash.llm import packing
 
     monkeypatch.setattr(packing, "WORDS", 20)
-    monkeypatch.setattr(packing, "UNITS_KEPT", 10)
     words = WordIds(VOCABULARY)
     texts = [" ".join(f"w{i % 7} word{i * k}x, the" for i in range(30)) for k in range(12)]
     for text in texts + texts[::-1]:
         assert words.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
-        assert len(words.place) <= 20 or len(words.place) <= 10 + 40
+        assert len(words.place) <= 20
 
 
 def check(rows, capacity):
@@ -75,6 +74,47 @@ def test_levels_use_few_sequences(spark, monkeypatch):
     assert check(rows, 4096) <= 1.01 * -(-total // 4096)
 
 
+def test_last_round_takes_bins_that_no_part_handed_on(spark, monkeypatch):
+    from tidewash.llm import packing
+
+    monkeypatch.setattr(packing, "LEAF_ITEMS", 50)
+    monkeypatch.setattr(packing, "HAND_ON", 0)
+    # Each part ends with bins of 60 and of 3 free tokens, which fit into each other only across parts.
+    items = spark.createDataFrame([(i, 37 if i % 3 else 100 - i % 5) for i in range(1000)], "item long, length long")
+    rows = pack(items, 100).join(items, "item").collect()
+    assert len(rows) == 1000
+    singles = sum(r.length > 63 for r in rows)
+    assert check(rows, 100) == singles + -(-(1000 - singles) // 2)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+def test_counts_pack_like_single_bins(counts):
+    found = merged_counts(counts, 40)
+    assert all(sum(pattern) <= 40 and n > 0 for pattern, n in found)
+    used = defaultdict(int)
+    for pattern, n in found:
+        for fill in pattern:
+            used[fill] += n
+    assert used == counts
+    lengths = np.array([fill for fill, n in counts.items() for _ in range(n)], np.int64)
+    assert abs(sum(n for _, n in found) - len(best_fit(lengths, 40)[2])) <= 1
+
+
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    import json
+
+    made = json.loads(TOKENIZER.to_str())
+    assert splits_at_blanks(made)
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\r\n]+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(made))
+    words, plain = WordIds(str(other)), Tokenizer.from_file(str(other))
+    assert not words.by_words
+    for text in ("two words", "It's  a\nlong text", ""):
+        assert words.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_documents_round_trip(odd_docs):
     rows = pack_documents(odd_docs, VOCABULARY, capacity=100).collect()
     check(rows, 100)

@@ -20,14 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that ``staged`` wrote and nothing has deleted yet.
+_written: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: cuts the lineage, and a lost
     executor costs no recomputation."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables whose rows nothing will read again: all that is made of them is staged."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for known in [x for x in _written if path.endswith(x.rsplit("/", 1)[1])]:
+                _delete(df.sparkSession, known)
+
+
+class Leftovers:
+    """Deletes what earlier calls have staged, but for folders that a table still reads."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+
+    def begin(self, docs: DataFrame) -> None:
+        """Call before new work on ``docs``, which holds the result of the work before."""
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if self.held else set()
+        for path in self.held:
+            if path in _written and path.rsplit("/", 1)[1] not in read:
+                _delete(docs.sparkSession, path)
+        self.before = len(_written)
+
+    def end(self) -> None:
+        """Call when the work's own tables are staged; the next ``begin`` deletes them."""
+        self.held = _written[self.before :]
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``doc`` (the whole row) with ``file`` and ``row``, two numbers that stay the same whenever the
     rows are read again: the file's hash and the row's place in it. Rows that don't come

@@ -83,9 +83,15 @@ def _best(places: np.ndarray, scores: np.ndarray, rows: Block, k: int) -> np.nda
 OUT = "row long, place long, other long, other_id long, score long"
 
 
-def _table(found: list[tuple[int, int, int, int, int]]) -> pa.Table:
-    columns = list(zip(*found)) or [()] * 5
-    return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=[c.split()[0] for c in OUT.split(", ")])
+def _table(found: list[tuple[int, int, int, int, int]], keys: int, k: int) -> pa.Table:
+    """The k best rows of each key (the first ``keys`` columns)."""
+    row, place, other, other_id, score = np.array(found, np.int64).reshape(-1, 5).T
+    order = np.lexsort((other, other_id, -score, *([place] if keys > 1 else []), row))
+    group = np.stack([row, place if keys > 1 else np.zeros_like(place)])[:, order]
+    starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff([*starts.tolist(), len(order)]))
+    best = order[rank < k]
+    return pa.table([pa.array(c[best]) for c in (row, place, other, other_id, score)], names=[c.split()[0] for c in OUT.split(", ")])
 
 
 def _ranked(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -142,7 +148,7 @@ def hard_negatives(
                     places, scores = places[mine], scores[mine]
                     best = _best(places, scores, shard, positives)
                     out += [(n["row"][a], n["id"][a], shard.numbers["row"][p], shard.numbers["id"][p], s) for p, s in zip(places[best], scores[best])]
-        return _table(out)
+        return _table(out, 1, positives)
 
     found = meet(blocks(anchors, ["row", "id", "label"], ANCHORS, close), candidates, first, OUT)
     found = staged(_ranked(found, ["row"], positives).withColumnRenamed("place", "anchor_id"))
@@ -181,7 +187,7 @@ def hard_negatives(
                         at, some = places[inside], scores[inside]
                         best = _best(at, some, shard, negatives)
                         out += [(n["row"][a], i + 1, shard.numbers["row"][p], shard.numbers["id"][p], s) for p, s in zip(at[best], some[best])]
-        return _table(out)
+        return _table(out, 2, negatives)
 
     mined = _ranked(meet(blocks(met, ["row", "id", "label", *names], ANCHORS, close), candidates, second, OUT), ["row", "place"], negatives)
     pairs = found.select("row", "anchor_id", F.col("rank").cast("long").alias("place"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))

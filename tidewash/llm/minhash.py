@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, staged
+from .common import discard, numbered, slices, staged
 from .components import components
 
 #: Hashes that one band joins: the smallest and the largest under each of half as many permutations.
@@ -178,6 +178,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = staged(_sketches(source, width, bands_for(percent)))
     same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("file", "row")).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = staged(same.withColumn("node", F.monotonically_increasing_id()))
+    light = staged(rows.select("id", "n", "digest"))
+    discard(rows)
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("_last")).where("least.node < _last").select("key", "least")
     members = staged(keyed.join(buckets, "key").select("key", "node", "n", "least"))
@@ -185,12 +187,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     used = staged(used)
     sets = _sets(source.join(used.select("node", "file", "row"), ["file", "row"]), width)
     sets = staged(sets.join(used.select("node", "n", "keys"), "node"))
+    discard(used)
     fits = F.least("n", "least.n") * 100 >= F.greatest("n", "least.n") * percent
     stars = staged(members.where(fits & (F.col("node") > F.col("least.node"))).select(F.col("node").alias("u"), F.col("least.node").alias("v")).distinct())
     links = staged(_star_links(stars, sets, percent))
-    links = links.union(_rest(members.select("key", "node"), components(links), sets, percent))
+    discard(stars)
+    rest = staged(_rest(members.select("key", "node"), components(links), sets, percent))
+    discard(members, sets)
+    links = links.union(rest)
     named = nodes.select("node", "digest", "low").join(components(links), "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    with_words = rows.where("digest IS NOT NULL").join(named.join(lows, "root").select("digest", "component_id"), "digest").select("id", "n", "component_id")
-    every = with_words.union(rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id")))
+    with_words = light.where("digest IS NOT NULL").join(named.join(lows, "root").select("digest", "component_id"), "digest").select("id", "n", "component_id")
+    every = with_words.union(light.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id")))
     return every.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
 from array import array
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts_for, slices, staged
 
 #: Items a first-level part packs; parts that one part of the next level takes over.
 LEAF_ITEMS, FAN_IN = 16_384, 8
-#: Bins with no more free tokens than this are done. A part hands on its emptiest bins, this many.
+#: Bins with no more free tokens than this wait for the last round. A part hands on its emptiest bins, this many.
 SLACK, HAND_ON = 16, 1024
-#: Words and parts of words a worker remembers.
-WORDS, UNITS_KEPT = 450_000, 300_000
+#: Words a worker remembers.
+WORDS = 450_000
 
 # Scripts whose word boundaries and lower case need no more than the classes below; other texts go
 # through the tokenizer whole. Letters, numerals and white space of these blocks:
@@ -28,11 +32,37 @@ LETTERS, NUMERALS, BLANKS = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾", "\t-\
 PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ‐-‧‰-⁞]*")
 UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMERALS}]|[^{LETTERS}{NUMERALS}{BLANKS}]+")
 GAP = re.compile("[\t-\r ]")
+# The settings of the tokenizer for which the above holds.
+NORMALIZER = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of every range, one after the other."""
+    until = np.cumsum(counts)
+    return np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
+
+
+def splits_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer has the normalising, the splitting and the word ends that ``WordIds`` counts on."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    steps = [(s["type"], s["pattern"].get("Regex"), s["content"]) if s["type"] == "Replace" else s["type"] for s in steps]
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    rules = [s.get("pattern", {}).get("Regex") for s in split if s["type"] == "Split"]
+    bytes_ = [s for s in split if s["type"] == "ByteLevel"]
+    model = settings["model"]
+    return (
+        steps == NORMALIZER and [s["type"] for s in split] == ["Split", "ByteLevel"] and rules == [SPLITTER]
+        and split[0].get("behavior") == "Removed" and bool(split[0].get("invert")) and not bytes_[0]["add_prefix_space"] and not bytes_[0]["use_regex"]
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("ignore_merges")
+        and all(t["content"].startswith("<|") for t in settings["added_tokens"])
+    )
 
 
 class WordIds:
-    """Token ids of texts. A word between blanks always gives the same ids, so each is tokenized
-    once and looked up afterwards; the result is that of encoding the text as a whole."""
+    """Token ids of texts. Where the tokenizer splits at blanks, a word between them always gives the
+    same ids, so each is tokenized once and looked up afterwards; the result is that of encoding the
+    text as a whole, which is what other tokenizers do."""
 
     def __init__(self, vocabulary: str, words: int | None = None):
         from tokenizers import Tokenizer
@@ -40,11 +70,11 @@ class WordIds:
         self.tokenizer, self.most = Tokenizer.from_file(vocabulary), words or WORDS
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
+        self.by_words = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.units: dict[str, bytes] = {}
         self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
         self.uses = np.zeros(0, np.int64)
 
@@ -54,56 +84,58 @@ class WordIds:
         starts, counts = np.frombuffer(self.starts, np.int64).copy(), np.frombuffer(self.counts, np.int64).copy()
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
         starts, counts, uses = starts[kept], counts[kept], self.uses[kept]
-        until = np.cumsum(counts)
-        where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
         self.clear()
         self.place = dict(zip([words[i] for i in kept.tolist()], range(len(kept))))
-        self.ids.frombytes(ids[where].tobytes())
-        self.starts.frombytes((until - counts).tobytes())
+        self.ids.frombytes(ids[_ranges(starts, counts)].tobytes())
+        self.starts.frombytes((np.cumsum(counts) - counts).tobytes())
         self.counts.frombytes(counts.tobytes())
         self.uses = uses // 2
 
-    def _learn(self, words: set[str]) -> None:
-        parts = {w: UNITS.findall(w) for w in words}
-        new = list({u for p in parts.values() for u in p if u not in self.units})
-        lines = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
-        for at, line in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(line.ids, np.int64)
-            for unit, found in zip(new[at * 500 :], np.split(ids, np.flatnonzero(self.ends[ids]) + 1)):
-                self.units[unit] = found.astype(np.uint32).tobytes()
-        for w, p in parts.items():
-            self.place[w] = len(self.starts)
-            self.starts.append(len(self.ids))
-            for u in p:
-                self.ids.frombytes(self.units[u])
-            self.counts.append(len(self.ids) - self.starts[-1])
-        if len(self.units) > min(UNITS_KEPT, self.most):
-            self.units = {}
+    def _learn(self, words: list[str]) -> None:
+        """Tokenizes new words, many on a line. A unit of the tokenizer ends in a token that says so, and a
+        word of letters only is one unit."""
+        units = np.array([1 if w.isalpha() else len(UNITS.findall(w)) for w in words], np.int64)
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        ends = np.flatnonzero(self.ends[ids])[np.cumsum(units) - 1] + 1
+        counts = np.diff(ends, prepend=0)
+        self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts.frombytes((ends - counts + len(self.ids)).astype(np.int64).tobytes())
+        self.counts.frombytes(counts.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts in the scripts of ``PLAIN``."""
-        split = [t.lower().split() for t in texts]
-        words = [w for s in split for w in s]
-        found = list(map(self.place.get, words))
+        """Ids of texts in the scripts of ``PLAIN``: their distinct words are looked up, then put in order."""
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        words = split.flatten()
+        # A blank at either end of a text makes an empty word there.
+        full = pc.not_equal(words, "")
+        sizes = np.add.reduceat(np.append(full.to_numpy(zero_copy_only=False), False).astype(np.int64), split.offsets.to_numpy()[:-1]) if len(texts) else np.zeros(0, np.int64)
+        coded = words.filter(full).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.place.get, known))
         if None in found:
-            self._learn(set(words).difference(self.place))
-            found = list(map(self.place.__getitem__, words))
-        at = np.array(found, np.int64)
-        counts, starts = np.frombuffer(self.counts, np.int64)[at], np.frombuffer(self.starts, np.int64)[at]
-        until = np.cumsum(counts)
-        where = np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
-        ids = np.frombuffer(self.ids, np.uint32)[where] if len(where) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], until])[np.cumsum([len(s) for s in split], dtype=np.int64)]
-        self.uses = np.append(self.uses, np.zeros(len(self.place) - len(self.uses), np.int64)) + np.bincount(at, minlength=len(self.place))
+            self._learn([w for w, at in zip(known, found) if at is None])
+            found = list(map(self.place.__getitem__, known))
+        where, order = np.array(found, np.int64), coded.indices.to_numpy()
+        at = where[order]
+        counts = np.frombuffer(self.counts, np.int64)[at]
+        ids = np.frombuffer(self.ids, np.uint32)[_ranges(np.frombuffer(self.starts, np.int64)[at], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+        self.uses = np.append(self.uses, np.zeros(len(self.place) - len(self.uses), np.int64))
+        self.uses[where] += np.bincount(order, minlength=len(known))
         if len(self.place) > self.most:
             self._forget()
-        return np.split(ids, ends[:-1])
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; long texts are taken in portions that end before a blank."""
+        if not self.by_words:
+            return [self.whole(t) for t in texts]
         portions, owner = [], []
         for i, text in enumerate(texts):
             start = 0
@@ -144,7 +176,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(vocabulary, words)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1):
                 rows, number, start, length, ids = [], [], [], [], []
                 for row, found in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()])):
                     found = np.append(found, np.uint32(end_id)).astype("<u4")
@@ -208,14 +240,81 @@ def _packed(items: DataFrame, level: int, parts: int, capacity: int) -> DataFram
     return items.select("item", "length").mapInArrow(pack, "item long, bin long, offset long, fill long, carried boolean, part int")
 
 
+def merged_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of bins as items, by their fills alone: patterns of fills with the number of bins made so.
+
+    Fullest first, each into the open bins that it fills best; bins of one fill are alike, so all that
+    fit the same open bins go there at once.
+    """
+    free: list[list[list]] = [[] for _ in range(capacity + 1)]
+    open_at = 0
+
+    def put(pattern: tuple[int, ...], n: int) -> None:
+        nonlocal open_at
+        if n:
+            room = capacity - sum(pattern)
+            free[room].append([pattern, n])
+            open_at |= 1 << room
+
+    for fill in sorted(counts, reverse=True):
+        left = counts[fill]
+        while left:
+            fitting = open_at >> fill
+            if not fitting:  # bins of this fill alone, as many together as fit
+                each = capacity // fill
+                put((fill,) * each, left // each)
+                put((fill,) * (left % each), 1 if left % each else 0)
+                break
+            room = fill + (fitting & -fitting).bit_length() - 1
+            pattern, n = free[room][-1]
+            some = min(left, n)
+            free[room][-1][1] -= some
+            if n == some:
+                free[room].pop()
+                if not free[room]:
+                    open_at ^= 1 << room
+            put((*pattern, fill), some)
+            left -= some
+    return [(pattern, n) for some in free for pattern, n in some]
+
+
+def _last_round(bins: DataFrame, level: int, capacity: int) -> DataFrame | None:
+    """``bin, up, shift``: the ``bin, fill`` rows that go into common bins, None if no two fit.
+
+    All bins take part, however many: only their number for each fill is looked at, and bins of
+    one fill are numbered part by part.
+    """
+    counts = {r["fill"]: r["count"] for r in bins.where(F.col("fill") < capacity).groupBy("fill").count().collect()}  # at most one for each fill
+    ranges, taken, made = [], dict.fromkeys(counts, 0), 0
+    for pattern, n in merged_counts(counts, capacity):
+        if len(pattern) > 1:
+            shift = 0
+            for fill in pattern:
+                ranges.append((fill, taken[fill], taken[fill] + n, (level << 56) + made - taken[fill], shift))
+                taken[fill] += n
+                shift += fill
+            made += n
+    if not ranges:
+        return None
+    places = bins.sparkSession.createDataFrame(ranges, "fill long, since long, until long, base long, shift long")
+    part = F.shiftright("bin", 32)
+    some = bins.join(F.broadcast(places.select("fill").distinct()), "fill").withColumn("_part", part)  # bounded by the fills
+    sizes = some.groupBy("fill", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("fill").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("fill", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("fill", "_part").orderBy("bin")) - 1
+    numbered = some.join(starts, ["fill", "_part"]).select("fill", "bin", (F.col("_start") + inside).alias("_place"))
+    found = numbered.join(F.broadcast(places), "fill").where("_place >= since AND _place < until")
+    return found.select("bin", (F.col("base") + F.col("_place")).alias("up"), "shift")
+
+
 def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """``item, sequence_id, offset`` from ``item`` (long, distinct), ``length`` (1 to capacity).
 
-    Parts of about ``LEAF_ITEMS`` items pack by best fit, longest first. Nearly full bins are
-    done. The others become items of the next level, where ``FAN_IN`` parts meet, and so on up
-    to one part. Best fit leaves at most one bin half empty or more in a part, so few bins can
-    still pair; a part hands on its ``HAND_ON`` emptiest and ends the rest as they are, which
-    bounds the last part. Nothing is left out. Offsets have no gaps. No items give no rows.
+    Parts of about ``LEAF_ITEMS`` items pack by best fit, longest first. A part's ``HAND_ON`` emptiest
+    bins become items of the next level, where ``FAN_IN`` parts meet, and so on up to one part. A
+    last round takes all bins that are not full, also those that no part handed on, by their numbers
+    for each fill. Nothing is left out. Offsets have no gaps. No items give no rows.
     """
     parts = parts_for(items.count(), LEAF_ITEMS)
     placed = [staged(_packed(items.repartition(parts, F.xxhash64("item")), 1, parts, capacity))]
@@ -223,10 +322,12 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
         below, parts = placed[-1], parts_for(parts, FAN_IN)
         rest = below.where("carried AND offset = 0").select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.floor(F.col("part") / FAN_IN).alias("node"))
         placed.append(staged(_packed(rest.repartition(parts, "node"), len(placed) + 1, parts, capacity)))
+    ended = [level.where("offset = 0" if level is placed[-1] else "offset = 0 AND NOT carried").select("bin", "fill") for level in placed]
+    last = _last_round(staged(reduce(DataFrame.union, ended)), len(placed) + 1, capacity)
+    ups = [level.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("offset").alias("shift")) for level in placed[1:]]
     out = placed[0].select("item", "bin", "offset")
-    for level in placed[1:]:
-        up = level.select(F.col("item").alias("bin"), F.col("bin").alias("_up"), F.col("offset").alias("_shift"))
-        out = out.join(up, "bin", "left").select("item", F.coalesce("_up", "bin").alias("bin"), (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"))
+    for up in [*ups, *([] if last is None else [staged(last)])]:
+        out = out.join(up, "bin", "left").select("item", F.coalesce("up", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
     return out.withColumnRenamed("bin", "sequence_id")
 
 
