@@ -338,8 +338,8 @@ ORACLES["semantic_types"] = MIX + " " + unions(
 
 # --- Profile ----------------------------------------------------------------
 def _first_values(table: str, c: str, key: str) -> str:
-    return f"""(SELECT string_agg(x, '|' ORDER BY k) FROM (SELECT CAST({c} AS VARCHAR) AS x, min({key}) AS k FROM {table}
-  WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k LIMIT 5))"""
+    return f"""(SELECT string_agg(x, '|' ORDER BY k, x) FROM (SELECT CAST({c} AS VARCHAR) AS x, min({key}) AS k FROM {table}
+  WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k, x LIMIT 5))"""
 
 
 def _profile(table: str, c: str, dtype: str, kind: str, semantic: str, key: str) -> str:
@@ -503,3 +503,7 @@ UNION ALL SELECT 'allnull', 'no cell has a value' UNION ALL SELECT '*', 'table w
 ORACLES["csv_mixed_headers"] = "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders"
 ORACLES["lineage_json"] = ORACLES["lineage_counts"]
 ORACLES["report_json"] = "SELECT count(*) AS rows_before, count(*) AS rows_after, CAST(4 AS BIGINT) AS profiled, CAST(7 AS BIGINT) AS events FROM customer"
+_STARTS = """WITH starts AS (SELECT repeat('<html>', 10) || substring(html, 1, 3) AS start, html FROM pages)"""
+ORACLES["value_counts_text"] = f"""{_STARTS} SELECT "column", rank, md5(value) AS value_md5, "count", unique_count FROM ({_top('starts', 'start', 7)} UNION ALL {_top('starts', 'html', 7)})"""
+ORACLES["impute_decimal_mode"] = """WITH prices AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(CAST(p_size AS DECIMAL(24, 2)) + CAST('12345678901234567890.25' AS DECIMAL(24, 2)) AS DECIMAL(24, 2)) END AS price FROM part)
+SELECT p_partkey, CAST(coalesce(price, (SELECT price FROM prices WHERE price IS NOT NULL GROUP BY price ORDER BY count(*) DESC, price LIMIT 1)) AS VARCHAR) AS price FROM prices"""

@@ -347,6 +347,21 @@ def quantiles_extreme(spark, sf):
     return spark.createDataFrame(rows, "place int, quantile string")
 
 
+@query
+def value_counts_text(spark, sf):
+    """Whole long texts as values."""
+    pages = base(spark, sf, "pages").select(F.concat(F.lit("<html>" * 10), F.substring("html", 1, 3)).alias("start"), "html")
+    counts = stats.value_counts(pages, ["start", "html"], 7)
+    return counts.select("column", "rank", F.md5("value").alias("value_md5"), "count", "unique_count")
+
+
+@query
+def impute_decimal_mode(spark, sf):
+    """The most frequent price, as a decimal of 20 digits."""
+    part = base(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, (F.col("p_size") + F.expr("12345678901234567890.25BD")).cast("decimal(24,2)")).alias("price"))
+    return missing.impute(part, numeric="mode").select("p_partkey", F.col("price").cast("string").alias("price"))
+
+
 @query
 def datetime_formats(spark, sf):
     """Dates written in many ways, read back."""
@@ -382,7 +397,7 @@ def profile_table(spark, sf):
 
 @query
 def profile_large(spark, sf):
-    """A key with all values different, and counts that are exact at any size."""
+    """A key with ties, which the smaller value breaks, and counts that are exact at any size."""
     lines = base(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
     table = profile.profile_table(lines, order_by="id")
     return rounded(table.withColumn("sample_values", F.array_join("sample_values", "|")), 4)

@@ -21,7 +21,7 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["outlier_remove_any", "datetime_coerce", "convert_part", "clean_run", "value_counts_top5", "dedupe_subset"])
+@pytest.mark.parametrize("name", ["outlier_remove_any", "datetime_coerce", "convert_part", "clean_run", "dedupe_subset"])
 def test_no_python_in_plans(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "Python" not in text and "CartesianProduct" not in text
@@ -29,9 +29,9 @@ def test_no_python_in_plans(spark, name):
 
 def test_ranking_keeps_few_rows_before_the_shuffle(spark):
     events = base(spark, SF, "events")
-    for df in (stats.value_counts(events, ["event_type"]), missing.dedupe_subset(events, ["user_id"], order_by="event_id")):
+    for df in (stats.text_candidates(events, [F.col("event_type")], 5), missing.dedupe_subset(events, ["user_id"], order_by="event_id")):
         text = plan(df)
-        assert text.count("WindowGroupLimit") >= 2 and text.index("Partial") >= 0
+        assert text.count("WindowGroupLimit") >= 2 and text.index("Partial") >= 0 and "Python" not in text
 
 
 def test_dedupe_combines_copies_before_the_shuffle(spark):
@@ -52,7 +52,7 @@ def test_statistics_read_only_their_columns(spark):
 
 
 def test_value_counts_are_shuffled_once(spark):
-    df = stats.value_counts(base(spark, SF, "orders"), ["o_orderstatus"])
+    df = stats.text_candidates(base(spark, SF, "orders"), [F.col("o_orderstatus")], 5)
     df.collect()
     assert "ReusedExchange" in plan(df)
 
@@ -85,3 +85,17 @@ def test_distinct_counts_send_no_texts(spark):
     text = plan(stats.distinct_counts(spark.range(10).selectExpr("CAST(id AS STRING) AS s")))
     assert "xxhash64" in text
     assert stats.distinct_counts(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "s string")).first()["distinct_count"] == 2
+
+
+def test_long_texts_stay_out_of_the_first_shuffle(spark, monkeypatch):
+    texts = [("x" * 20_000 + str(i % 50),) for i in range(1000)]
+    df = spark.createDataFrame(texts, "s string").repartition(4)
+    found = stats.text_candidates(df, [F.col("s")], 5)
+    assert max(len(r["value"]["head"]) for r in found.collect()) == stats.TEXT_HEAD
+    exchanges = [line for line in plan(found).split("\n") if "hashpartitioning" in line]
+    assert exchanges and all("s#" not in line.split("ENSURE")[0] for line in exchanges)
+    want = [("x" * 20_000 + t, 20) for t in ("0", "1", "10", "11", "12")]
+    assert [(r["value"], r["count"]) for r in stats.value_counts(df, ["s"]).orderBy("rank").collect()] == want
+    monkeypatch.setattr(stats, "FEW_CANDIDATES", 10)
+    assert [(r["value"], r["count"]) for r in stats.value_counts(df, ["s"]).orderBy("rank").collect()] == want
+    assert stats.modes(df, ["s"]) == {"s": want[0][0]}

@@ -146,3 +146,15 @@ def test_column_stats_and_charts(spark):
     assert {(r["value"], round(r["share"], 3)) for r in category_shares(df, "s").collect()} == {("x", 0.667), ("y", 0.333)}
     assert tuple(overview(df).first()) == (3, 3, 2, 1)
     assert [r["column"] for r in box_plot(df.withColumn("none", df.v.cast("double") * None)).collect()] == ["v", "lone"]
+
+
+def test_first_distinct_breaks_ties_by_text(spark, jobs):
+    # Places repeat, also around the end of the head; long texts with one head; nulls first.
+    rows = [(None, "n"), *[(i // 7, f"{'y' * 40}{i * 37 % 5}" if i > 50 else "a") for i in range(400)]]
+    df = spark.createDataFrame(rows, "place int, s string")
+    want = sorted({s: min((p is not None, p or 0) for p, t in rows if t == s) for _, s in rows}.items(), key=lambda x: (x[1], x[0]))[:5]
+    for parts in (1, 3, 8):
+        got = first_distinct(df.repartition(parts), ["s"], order_by="place")
+        assert got["s"] == [s for s, _ in want]
+    three = spark.range(400).selectExpr("id", "'v' || id % 3 AS s")
+    assert jobs(lambda: first_distinct(three, ["s"], k=4, order_by="id")) == jobs(lambda: first_distinct(three, ["s"], k=15, order_by="id"))

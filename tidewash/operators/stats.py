@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ from .quantiles import Bounds, as_double, exact_quantiles
 BATCH = 60
 # Standard error of an estimated distinct count.
 DISTINCT_ERROR = 0.02
+# Characters of a text that travel with it in a shuffle, and candidates that the driver takes.
+TEXT_HEAD = 32
+FEW_CANDIDATES = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 IQR_FACTOR = 1.5
 
@@ -73,17 +77,69 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple
 
 
 # --- Distinct values and value counts ---------------------------------------
-def _text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long form ``column, value``; value as text, nulls left out."""
-    texts = [present(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
-    long = df.select(*texts).unpivot([], [f"c{i}" for i in range(len(columns))], "slot", "value")
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("slot", 2, 9).cast("int") + 1)
-    return long.filter("value IS NOT NULL").withColumn("column", names).drop("slot")
+def _text_key(text: Column) -> Column:
+    """What stands for a text in a shuffle: its first ``TEXT_HEAD`` characters and, if it is longer, 128 bits
+    of all of it. Keys are equal if the texts are, and heads are in the order of the texts."""
+    long = F.length(text) > TEXT_HEAD
+    return F.when(text.isNotNull(), F.struct(F.left(text, F.lit(TEXT_HEAD)).alias("head"), F.when(long, F.xxhash64(text)).alias("h"), F.when(long, F.xxhash64(F.lit(1), text)).alias("g")))
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    # Counts combine before the shuffle, so a hot value reaches it once per task.
-    return _text_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+def _long(df: DataFrame, cells: Sequence[Column], place: Column | None) -> DataFrame:
+    """``slot, value`` (and ``place``) of the cells that are not null; slot is the cell's position."""
+    names = [str(i) for i in range(len(cells))]
+    wide = df.select(*[c.alias(n) for c, n in zip(cells, names)], *([] if place is None else [place.alias("place")]))
+    return wide.unpivot([] if place is None else ["place"], names, "slot", "value").filter("value IS NOT NULL")
+
+
+def text_candidates(df: DataFrame, texts: Sequence[Column], k: int, place: Column | None = None) -> DataFrame:
+    """``slot, value, count, unique_count`` (and ``place``) of each text's keys that may be among the first ``k``:
+    by count, most first, or by the least ``place``; then by text, as far as heads tell.
+
+    Counts combine before the shuffle, so a hot value reaches it once per task, and no text
+    longer than its head does. The ranking keeps few rows per column in each task.
+    """
+    counts = _long(df, [_text_key(t) for t in texts], place).groupBy("slot", "value").agg(
+        F.count(F.lit(1)).alias("count"), *([] if place is None else [F.min("place").alias("place")]))
+    order = Window.partitionBy("slot").orderBy(F.desc("count") if place is None else F.asc("place"), F.col("value.head"), F.col("value.h").isNotNull())
+    top = counts.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k).drop("rank")
+    # The test always holds; it keeps "count" in use, so both sides read one shuffle.
+    totals = counts.groupBy("slot").agg(F.count_if(F.col("count") > 0).alias("unique_count"))
+    return top.join(totals, "slot")
+
+
+def _first_texts(df: DataFrame, texts: Sequence[Column], k: int, place: Column | None = None) -> list[list[tuple]]:
+    """For each text its first ``k`` values as (value, count, unique count), in the order of
+    :func:`text_candidates`, ties by text. Long texts among the candidates are fetched by their
+    keys in a second pass, which also counts them anew, so two texts of one key are told apart."""
+    found = text_candidates(df, texts, k, place)
+    rows = found.limit(FEW_CANDIDATES + 1).collect()
+    few = len(rows) <= FEW_CANDIDATES
+    long = found.filter("value.h IS NOT NULL")
+    if few:
+        long = df.sparkSession.createDataFrame([r for r in rows if r["value"]["h"] is not None], found.schema)
+        short = [r for r in rows if r["value"]["h"] is None]
+    else:
+        short = found.filter("value.h IS NULL").collect()  # at most k for each text
+    unique = {r["slot"]: r["unique_count"] for r in rows}
+    if not few or len(short) < len(rows):
+        whole = _long(df, [F.when(F.length(t) > TEXT_HEAD, F.struct(_text_key(t).alias("key"), t.alias("text"))) for t in texts], place)
+        wanted = long.select("slot", F.col("value").alias("key"), "unique_count")
+        met = whole.join(wanted, (whole["slot"] == wanted["slot"]) & (whole["value.key"] == wanted["key"])).select(whole["slot"], "value.text", "unique_count", *([] if place is None else ["place"]))
+        counted = met.groupBy("slot", "text", "unique_count").agg(F.count(F.lit(1)).alias("count"), *([] if place is None else [F.min("place").alias("place")]))
+        order = Window.partitionBy("slot").orderBy(F.desc("count") if place is None else F.asc("place"), F.asc("text"))
+        fetched = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).collect()
+        unique.update({r["slot"]: r["unique_count"] for r in fetched})
+    else:
+        fetched = []
+    out: list[list[tuple]] = [[] for _ in texts]
+    for r in short:
+        out[int(r["slot"])].append((-r["count"] if place is None else r["place"], r["value"]["head"], r["count"]))
+    for r in fetched:
+        out[int(r["slot"])].append((-r["count"] if place is None else r["place"], r["text"], r["count"]))
+    for i, values in enumerate(out):
+        values.sort(key=lambda v: (v[0], v[1].encode()))
+        out[i] = [(text, count, unique[str(i)]) for _, text, count in values[:k]]
+    return out
 
 
 def _kinds(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
@@ -138,20 +194,14 @@ def _with_all_columns(df: DataFrame, columns: Sequence[str], fill: dict) -> Data
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent values of each column: ``column, rank, value, count, unique_count``.
+    """The ``k`` most frequent values of each column as text: ``column, rank, value, count, unique_count``.
 
-    Ties go to the smaller value. The ranking keeps only ``k`` rows per column in each
-    task before it shuffles; ``unique_count`` comes from the same shuffled counts.
+    Ties go to the smaller value. Runs one job, and another if a long text is among the values.
     """
-    columns = list(columns or string_columns(df))
-    counts = _value_counts(df, columns)
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    # The test always holds; it keeps "count" in use, so both sides read one shuffle.
-    totals = counts.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("unique_count"))
-    return top.join(totals, "column").select(
-        "column", F.col("rank").cast("bigint").alias("rank"), "value", "count", "unique_count"
-    )
+    columns = list(string_columns(df) if columns is None else columns)
+    found = _first_texts(df, [present(df, c).cast("string") for c in columns], k) if columns else []
+    rows = [(c, rank, *value) for c, values in zip(columns, found) for rank, value in enumerate(values, 1)]
+    return df.sparkSession.createDataFrame(rows, "column string, rank bigint, value string, count bigint, unique_count bigint")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -159,6 +209,10 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     found: dict[str, object] = {}
     order = Window.partitionBy("slot").orderBy(F.desc("count"), F.asc("value"))
     for kind, group in _kinds(df, columns):
+        if kind == "string":
+            texts = _first_texts(df, [present(df, c).cast("string") for c in group], 1)
+            found.update({c: values[0][0] for c, values in zip(group, texts) if values})
+            continue
         ranked = _typed_counts(df, group, kind).withColumn("rank", F.row_number().over(order))
         for r in ranked.filter("rank = 1").select("slot", "value").collect():
             found[group[int(r["slot"])]] = r["value"]
@@ -168,39 +222,34 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
 def first_distinct(
     df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, order_by: str | None = None
 ) -> dict[str, list[str]]:
-    """First ``k`` different non-null values of each column as text, in ``order_by`` order.
+    """First ``k`` different non-null values of each column as text, in ``order_by`` order (nulls first);
+    where several rows share a place, the smaller text comes first.
 
-    The head of the table settles most columns. For the rest, each further value takes
-    one aggregation that looks for the first row holding none of the values so far, so
-    no column's set of values is ever built or shuffled.
+    The head of the table settles most columns. The others take one aggregation, whatever ``k``,
+    that finds the least place of each of their values.
     """
     columns = list(columns or data_columns(df))
     order = order_by or (ROW_ID if ROW_ID in df.columns else None)
     nested = nested_columns(df, columns)
-    texts = {
-        c: F.to_json(col(c)) if c in nested else present(df, c).cast("string") for c in columns
-    }
+    texts = {c: F.to_json(col(c)) if c in nested else present(df, c).cast("string") for c in columns}
     key = [] if order is None else [col(order).alias("_order")]
-    values = df.select(*[t.alias(f"c{i}") for i, t in enumerate(texts.values())], *key)
-
     reach = 20 * k
-    head = first_rows(values, reach, None if order is None else "_order")
-    found = {c: list(dict.fromkeys(r[i] for r in head if r[i] is not None))[:k] for i, c in enumerate(columns)}
-    # A head shorter than asked for is the whole table.
-    unfinished = [c for c in columns if len(found[c]) < k] if len(head) == reach else []
-    while unfinished:
-        picks = []
-        for c in unfinished:
-            v = F.col(f"c{columns.index(c)}")
-            fresh = F.when(~v.isin(*found[c]), v) if found[c] else v
-            if order is None:
-                picks.append(F.first(fresh, ignorenulls=True))
-            else:
-                picks.append(F.min_by(v, F.when(fresh.isNotNull(), F.col("_order"))))
-        row = values.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-        for c, value in zip(unfinished, row):
-            found[c] += [] if value is None else [value]
-        unfinished = [c for c, value in zip(unfinished, row) if value is not None and len(found[c]) < k]
+    head = first_rows(df.select(*[t.alias(f"c{i}") for i, t in enumerate(texts.values())], *key), reach, None if order is None else "_order")
+    complete = len(head) < reach  # then it is the whole table
+    if order is not None and not complete:  # other rows may share the last place
+        head = [r for r in head if r["_order"] != head[-1]["_order"]]
+    found = {}
+    for i, c in enumerate(columns):
+        values = [(r["_order"] if order else 0, r[i]) for r in head if r[i] is not None]
+        if order is not None:
+            values = [v for _, same in groupby(values, key=lambda v: v[0]) for v in sorted(same, key=lambda v: v[1].encode())]
+        found[c] = list(dict.fromkeys(v for _, v in values))[:k]
+    unfinished = [] if complete else [c for c in columns if len(found[c]) < k]
+    if unfinished:
+        place = F.monotonically_increasing_id() if order is None else F.struct(col(order).isNotNull().alias("given"), col(order).alias("order"))
+        for batch in batches(unfinished):
+            for c, values in zip(batch, _first_texts(df, [texts[c] for c in batch], k, place)):
+                found[c] = [v[0] for v in values]
     return found
 
 
