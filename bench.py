@@ -30,13 +30,18 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = session(os.environ.get("BENCH_CPUS", "8"))
-    times = {}
+    times, failed = {}, {}
     for name in sys.argv[1:] or HEADLINE:
-        run(spark, name, sf_dir)  # warm-up
-        times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(repeats)), 3)
+        try:
+            run(spark, name, sf_dir)  # warm-up
+            times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(repeats)), 3)
+        except Exception as e:  # the others still count
+            failed[name] = f"{type(e).__name__}: {e}"[:300]
     spark.stop()
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf, **({"failed": failed} if failed else {})}))
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -6,6 +10,7 @@ from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).parent.parent
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +31,10 @@ def test_entry(spark):
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "xxhash", "tidewash.llm", "corpus_pipeline"])
+def test_entry_point_without_what_the_corpus_operators_need(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=120).stdout.split()
+    assert int(found[-2]) >= len(QUERIES) and int(found[-1]) >= len(QUERIES)
