@@ -101,3 +101,14 @@ def test_grams_that_share_leading_hash_bits_stay_apart(spark):
     _, model = models(gram_counts(rows))
     plain = plain_models(words)
     assert model.words(list(pair)).tolist() == pytest.approx([plain(w) for w in pair], abs=1e-4)
+
+
+def test_texts_without_blanks_are_cut_into_words(spark):
+    from tidewash.llm.toxicity import LONGEST, tokens
+
+    assert tokens("A bc\x0b" + "d" * (2 * LONGEST + 1)) == ["a", "bc", "d" * LONGEST, "d" * LONGEST, "d"] and tokens(None) == []
+    docs = spark.createDataFrame([("abcdefgh" * 250_000, None), ("plain words", 1)], "text string, class int")
+    counts = {r["word"]: r["total"] for r in toxicity.word_counts(docs).collect()}
+    want = {"abcdefgh" * (LONGEST // 8): 2_000_000 // LONGEST, "plain": 1, "words": 1}
+    rest = "abcdefgh" * (2_000_000 % LONGEST // 8)
+    assert counts == want | ({rest: 1} if rest else {})

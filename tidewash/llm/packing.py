@@ -24,7 +24,7 @@ LEAF_ITEMS, FAN_IN = 16_384, 8
 #: Bins with no more free tokens than this wait for the last round. A part hands on its emptiest bins, this many.
 SLACK, HAND_ON = 16, 1024
 #: Words a worker remembers.
-WORDS = 450_000
+WORDS = 200_000
 
 # Scripts whose word boundaries and lower case need no more than the classes below; other texts go
 # through the tokenizer whole. Letters, numerals and white space of these blocks:
@@ -156,7 +156,7 @@ class WordIds:
 
 
 def _word_ids(vocabulary: str, words: int | None) -> WordIds:
-    """The worker's own, kept between its tasks."""
+    """The worker's own, kept between its tasks, but for the words."""
     kept = sys.modules.setdefault("_tidewash_words", types.ModuleType("_tidewash_words"))
     if getattr(kept, "asked", None) != (vocabulary, words):
         kept.words, kept.asked = WordIds(vocabulary, words), (vocabulary, words)
@@ -185,6 +185,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
                         rows.append(row), number.append(n), start.append(at), length.append(len(some)), ids.append(some.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=names)
+        known.clear()
+        pa.default_memory_pool().release_unused()  # workers serve other steps as well
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     cuts = rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids binary")

@@ -20,8 +20,10 @@ from .common import parts_for, slices, staged
 ORDER, DISCOUNT = 5, 0.75
 #: Labelled rows of each class that the fit takes (the first by hash), and those that calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 4_000
-#: Distinct words that one task turns into n-grams.
-WORDS_PER_PART = 100_000
+#: Letters of distinct words that one task turns into n-grams, and of what counts as one word.
+LETTERS_PER_PART, LONGEST = 300_000, 256
+#: Distinct words that a task counts or scores before it lets go of them.
+WORDS_HELD = 100_000
 NO_LETTER = re.compile(r"[\W\d_]+")
 CLASSES = ("toxic_0", "toxic_1", "plain_0", "plain_1")
 
@@ -30,6 +32,15 @@ def letters(token: str) -> str:
     return NO_LETTER.sub("", token)
 
 
+def tokens(text: str | None) -> list[str]:
+    """What lies between blanks, in lower case. Texts without blanks are cut, so no word is longer than
+    ``LONGEST`` characters."""
+    found = (text or "").lower().split()
+    if any(len(t) > LONGEST for t in found):
+        found = [t[i : i + LONGEST] for t in found for i in range(0, len(t), LONGEST)]
+    return found
+
+
 class Grams:
     """n-grams of words between a start and an end mark, as hashes over all words at once.
 
@@ -126,8 +137,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 0):
                 for text, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    held.setdefault(-1 if c is None else c, Counter()).update((text or "").lower().split())
-                if sum(map(len, held.values())) > 200_000:
+                    held.setdefault(-1 if c is None else c, Counter()).update(tokens(text))
+                if sum(map(len, held.values())) > WORDS_HELD:
                     yield rows(held)
                     held = {}
         yield rows(held)
@@ -232,9 +243,9 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
         model, place, ratio, length = shared.value, {}, np.zeros(0), np.zeros(0)
         for batch in batches:
             for part in slices(batch, 1):
-                split = [(t or "").lower().split() for t in part.column(1).to_pylist()]
+                split = [tokens(t) for t in part.column(1).to_pylist()]
                 new = list({w for s in split for w in s}.difference(place))
-                if len(place) + len(new) > 300_000:  # bounded memory of the task
+                if len(place) + len(new) > WORDS_HELD:  # bounded memory of the task
                     place, ratio, length = {}, np.zeros(0), np.zeros(0)
                     new = list({w for s in split for w in s})
                 clean = [letters(w) for w in new]
@@ -287,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     # At most two classes of fit_rows rows: bounded, so broadcast.
     place = F.when(F.col("label") == 1, F.col("fold")).otherwise(F.col("fold") + 2).alias("class")
     words = staged(word_counts(texts.join(F.broadcast(taken.select("id", place)), "id", "left").select("text", "class")))
-    half, whole = models(staged(gram_counts(words.repartition(parts_for(words.count(), WORDS_PER_PART), F.xxhash64("word")))))
+    size = words.agg(F.sum(F.length("word") + 2)).first()[0] or 0
+    half, whole = models(staged(gram_counts(words.repartition(parts_for(size, LETTERS_PER_PART), F.xxhash64("word")))))
     sample = [taken.where((F.col("label") == c) & (F.col("fold") == 1)).orderBy(order, "id").limit(calibration_rows) for c in (1, 0)]
     rows = texts.join(F.broadcast(sample[0].union(sample[1]).select("id", "label")), "id")
     found = _scored(rows.select(F.struct("label").alias("doc"), "text"), half).select("doc.label", "features").toArrow()
