@@ -65,6 +65,28 @@ def test_quantiles_between_extremes(spark):
     assert got["v"] == [-inf, -inf, 1.5] and got["wide"][2] == 0.0 and all(map(math.isfinite, got["wide"]))
 
 
+def test_sketches_settle_quantiles_in_two_passes(spark, monkeypatch):
+    """One pass with sketches and one that counts; no narrowing, also for long tails and hot values."""
+    from checks.views import base
+
+    passes = []
+    ranked = quantiles._ranked_bins
+    monkeypatch.setattr(quantiles, "_ranked_bins", lambda *a, **k: passes.append(1) or ranked(*a, **k))
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({"tail": np.exp(rng.normal(0, 40, 60_000)), "hot": np.where(rng.random(60_000) < 0.6, 1.0, rng.normal(0, 1, 60_000)), "key": np.arange(60_000)})
+    got = quantiles.exact_quantiles(spark.createDataFrame(data).repartition(4), list(data), (0.25, 0.5, 0.75))
+    for name in data:
+        assert got[name] == pytest.approx(list(np.quantile(data[name], (0.25, 0.5, 0.75))), rel=1e-12), name
+    lines = base(spark, "/root/testdata/sf0.01", "lineitem")
+    got = quantiles.exact_quantiles(lines, ["l_extendedprice", "l_quantity"], (0.25, 0.5, 0.75))
+    assert got["l_extendedprice"] == lines.selectExpr("percentile(l_extendedprice, array(0.25, 0.5, 0.75)) AS q").first()["q"]
+    assert not passes
+    # A bracket that misses its rank costs passes, not the answer.
+    monkeypatch.setattr(quantiles, "around", lambda values, ps: {p: (values[0], values[0]) for p in ps})
+    got = quantiles.exact_quantiles(spark.createDataFrame(data), ["tail"], (0.5, 0.75))
+    assert got["tail"] == pytest.approx(list(np.quantile(data["tail"], (0.5, 0.75))), rel=1e-12) and passes
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert quantiles.exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}

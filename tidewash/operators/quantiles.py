@@ -1,19 +1,23 @@
-"""Exact quantiles by narrowing.
+"""Exact quantiles by sketches and narrowing.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer, which
-does not fit once a column holds billions of them. Here each pass counts values per bin
-(at most ``BINS`` groups per interval, combined before the shuffle), finds the bins that
-hold the wanted ranks and narrows to them. A bin carries its own smallest and largest
-value, so a bin full of copies of one value is an answer, however many rows it has.
-Each pass is one aggregation over the needed columns for all of them together; 10^12
-rows take about four. The result is exact: linear interpolation between neighbours.
+does not fit once a column holds billions of them. Here a KLL sketch of each column, made in
+the pass that counts its rows, brackets the wanted ranks; a second pass counts the values
+inside the brackets and the rows between them, which settles the answers. Where brackets hold
+too many rows for that (beyond some 10^7 rows in all), they are counted by bins
+(at most ``BINS`` groups per bracket, combined before the shuffle), and further passes narrow to
+the bins that hold the wanted ranks. A bin carries its own smallest and largest
+value, so a bin full of copies of one value is an answer, however many rows it has. A rank that
+its bracket misses, and columns with infinities, are narrowed from the whole range.
+Each pass is one aggregation over the needed columns for all of them together. The sketches are
+random, the result is exact: linear interpolation between neighbours.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +31,21 @@ STRIDE = 8192
 TINY = 1e-290
 # An interval with at most this many rows is resolved by counting its single values.
 SMALL_INTERVAL = 100_000
+# Size of a sketch, and how far a bracket reaches on either side of its rank: three times its error.
+SKETCH_SIZE, SKETCH_MARGIN = 4000, 0.003
 # A pass that keeps more than this share of an interval met a long tail.
 STUBBORN_SHARE = 1 / 8
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Count and range of the values of one numeric column (NaN and null left out)."""
+    """Count and range of the values of one numeric column (NaN and null left out), and the values a
+    little below and above each probability that was asked for."""
 
     rows: int
     low: float | None
     high: float | None
+    around: Mapping[float, tuple[float, float]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -60,12 +68,24 @@ def as_double(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value) if floating_columns(df, [name]) else value
 
 
-def column_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, Bounds]:
+def near_quantiles(value: Column, probabilities: Sequence[float]) -> Column:
+    """Aggregate for :func:`around`: values near the probabilities, from a sketch; null without values."""
+    places = [min(max(p + m, 0.0), 1.0) for p in probabilities for m in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
+    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(p) for p in places])))
+
+
+def around(values: Sequence[float] | None, probabilities: Sequence[float]) -> dict[float, tuple[float, float]]:
+    """What ``near_quantiles`` found, by probability."""
+    return {p: (values[2 * i], values[2 * i + 1]) for i, p in enumerate(probabilities)} if values else {}
+
+
+def column_bounds(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, Bounds]:
     if not columns:
         return {}
     values = [as_double(df, c) for c in columns]
-    row = df.agg(*[a for v in values for a in (F.count(v), F.min(v), F.max(v))]).first()
-    return {c: Bounds(*row[3 * i : 3 * i + 3]) for i, c in enumerate(columns)}
+    row = df.agg(*[a for v in values for a in (F.count(v), F.min(v), F.max(v), near_quantiles(v, probabilities))]).first()
+    return {c: Bounds(*row[4 * i : 4 * i + 3], around(row[4 * i + 3], probabilities)) for i, c in enumerate(columns)}
 
 
 def _finite_part(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, Bounds]]:
@@ -86,7 +106,7 @@ def exact_quantiles(
     bounds: dict[str, Bounds] | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, linearly interpolated; ``None`` for an empty column."""
-    bounds = bounds or column_bounds(df, columns)
+    bounds = bounds or column_bounds(df, columns, probabilities)
     positions = {c: [(bounds[c].rows - 1) * p for p in probabilities] for c in columns if bounds[c].rows}
     wanted = {
         c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in positions.items()
@@ -115,7 +135,7 @@ def _order_statistics(df, wanted, bounds) -> dict[tuple[str, int], float]:
         if inner:
             intervals.append(_Interval(c, b.low, b.high, b.rows, inner))
 
-    whole = True  # the first intervals hold every value: no row can be skipped
+    intervals, whole = _bracketed(df, _settled(intervals, found), bounds)
     while intervals := _settled(intervals, found):
         large = [x for x in intervals if not x.small]
         counted = large or intervals
@@ -130,6 +150,61 @@ def _order_statistics(df, wanted, bounds) -> dict[tuple[str, int], float]:
     return found
 
 
+def _bracketed(df: DataFrame, intervals: list[_Interval], bounds: dict[str, Bounds]) -> tuple[list[_Interval], bool]:
+    """The intervals (whole columns) narrowed to what their sketches' brackets hold of the wanted ranks, and
+    whether some are still whole columns.
+
+    One aggregation: each value is either in a bracket, where it counts by itself or by bin, or in one
+    of the gaps around them, which are counted as a whole.
+    """
+    some = [x for x in intervals if bounds[x.column].around and not math.isinf(bounds[x.column].low) and not math.isinf(bounds[x.column].high)]
+    if not some:
+        return intervals, True
+    cells, ranks = [], []
+    for slot, x in enumerate(some):
+        pieces: list[list[float]] = []
+        for low, high in sorted(bounds[x.column].around.values()):
+            if pieces and low <= pieces[-1][1]:
+                pieces[-1][1] = max(pieces[-1][1], high)
+            else:
+                pieces.append([low, high])
+        held = 2 * SKETCH_MARGIN * len(bounds[x.column].around) * x.rows
+        value, test, group = "CAST(`" + x.column.replace("`", "``") + "` AS DOUBLE)", "", ""
+        for i, (low, high) in enumerate(pieces):
+            # Gaps have even numbers, brackets odd ones.
+            test += f" WHEN {value} < {low!r}D THEN {2 * i} WHEN {value} <= {high!r}D THEN {2 * i + 1}"
+            if low < high and held > SMALL_INTERVAL:
+                group += f" WHEN {value} BETWEEN {low!r}D AND {high!r}D THEN CAST({_bin(value, _Interval(x.column, low, high, 0, {}))} AS DOUBLE)"
+            else:
+                group += f" WHEN {value} BETWEEN {low!r}D AND {high!r}D THEN {value}"
+        cells += [f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL{test} ELSE {2 * len(pieces)} END AS k{slot}", f"CASE{group} END AS g{slot}", f"{value} AS v{slot}"]
+        ranks.append(f"array({', '.join(f'{r}L' for r in x.ranks)})")
+    triples = ", ".join(f"(k{i}, g{i}, v{i}) AS s{i}" for i in range(len(some)))
+    wide = df.selectExpr(*cells)
+    hits = df.sparkSession.sql(
+        f"""
+        WITH counts AS (
+          SELECT CAST(substring(slot, 2) AS INT) AS slot, k, count(*) AS rows, min(v) AS low, max(v) AS high
+          FROM {{wide}} UNPIVOT ((k, g, v) FOR slot IN ({triples})) WHERE k IS NOT NULL
+          GROUP BY slot, k, g),
+        placed AS (SELECT *, sum(rows) OVER (PARTITION BY slot ORDER BY low) - rows AS before FROM counts)
+        SELECT slot, low, high, rows, before FROM placed
+        WHERE k % 2 = 1 AND exists(element_at(array({', '.join(ranks)}), slot + 1), r -> r >= before AND r < before + rows)
+        """,
+        wide=wide,
+    ).collect()
+    out, missed = [], {i: dict(x.ranks) for i, x in enumerate(some)}
+    for hit in hits:
+        x = some[hit.slot]
+        mine = {r - hit.before: t for r, t in x.ranks.items() if 0 <= r - hit.before < hit.rows}
+        out.append(_Interval(x.column, hit.low, hit.high, hit.rows, mine))
+        for r in [r for r in missed[hit.slot] if hit.before <= r < hit.before + hit.rows]:
+            del missed[hit.slot][r]
+    whole = [x for x in intervals if x not in some]
+    whole += [_Interval(x.column, x.low, x.high, x.rows, missed[i]) for i, x in enumerate(some) if missed[i]]
+    return whole + out, bool(whole)
+
+
 def _settled(intervals: list[_Interval], found: dict) -> list[_Interval]:
     """Record the intervals that hold one value; return the others."""
     for x in intervals:

@@ -27,7 +27,7 @@ from .columns import (
     numeric_columns,
     string_columns,
 )
-from .quantiles import Bounds, as_double, exact_quantiles
+from .quantiles import Bounds, around, as_double, exact_quantiles, near_quantiles
 
 # Columns aggregated per job: keeps generated code within what the JVM compiles.
 BATCH = 60
@@ -327,10 +327,11 @@ def _numeric_batch(df: DataFrame, columns: list[str], count_outliers: bool) -> l
     flat = [F.count(F.lit(1))]
     for c in columns:
         v = as_double(df, c)
-        flat += [F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v)]
+        flat += [F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), near_quantiles(v, QUARTILES)]
     rows, *moments = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(flat)]).first()
-    facts = {c: moments[5 * i : 5 * i + 5] for i, c in enumerate(columns)}
-    quartiles = exact_quantiles(df, columns, QUARTILES, {c: Bounds(*f[:3]) for c, f in facts.items()})
+    facts = {c: moments[6 * i : 6 * i + 5] for i, c in enumerate(columns)}
+    near = {c: around(moments[6 * i + 5], QUARTILES) for i, c in enumerate(columns)}
+    quartiles = exact_quantiles(df, columns, QUARTILES, {c: Bounds(*f[:3], near[c]) for c, f in facts.items()})
     limits = {c: iqr_bounds(quartiles[c]) for c in columns}
     outliers = [0] * len(columns)
     # Bounds that enclose the whole range need no count.
