@@ -306,7 +306,7 @@ def read_csv(
     known = known.withColumn("opens", F.col("opens") & F.lit(spanning))
     plain = not spanning or not known.where("kind IS NOT NULL AND NOT opens").isEmpty()
 
-    def table(first_only: bool) -> DataFrame:
+    def table(by_lines: bool = False) -> DataFrame:
         rows = [r for _, r in whole.values()]
         if split:
             some = lines.join(known.drop("valid_utf8", "header"), ["file", "block"], "left")
@@ -314,23 +314,23 @@ def read_csv(
             # Conditions that hold for nulls or are over both sides, so that lines of an unknown block reach the error.
             wanted = F.col("kind").isNotNull() & (F.col("start") + F.col("place") - F.col("first_place") > F.col("header_line"))
             some = some.where(F.when(F.col("start").isNull() & F.col("place").isNotNull(), F.raise_error(F.lit(MOVED)).cast("boolean")).otherwise(wanted))
-            if first_only:
-                some = some.where("start = 0")
             records = []
-            if plain:
-                records.append(some.where(~F.coalesce("opens", F.lit(False)) & ~_blank()).select("line", "kind", "value"))
-            if spanning:
+            if plain or by_lines:
+                alone = F.lit(True) if by_lines else ~F.coalesce("opens", F.lit(False))
+                records.append(some.where(alone & ~_blank()).select("line", "kind", "value"))
+            if spanning and not by_lines:
                 records.append(_spanning_records(some.where(F.coalesce("opens", F.lit(True)))))
             records = reduce(DataFrame.union, records)
             latin = F.col("kind").isin([i for i in split if kinds[i].encoding == "latin-1"] or [-1])
             value = F.when(latin, F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
             rows.append(records.select("line", "kind", F.from_csv(_without_return(value), _schema(len(columns)), OPTIONS).alias("cells")))
-        return _cells(reduce(DataFrame.union, rows), kinds, columns, na_tokens, row_id)
+        return _cells(reduce(DataFrame.union, rows), kinds, columns, na_tokens, row_id, any_length=by_lines)
 
-    df = table(False)
+    df = table()
     try:
-        # Records with open cells are found by a sort of whole blocks, so the first block is tried alone.
-        if not spanning or not _usable(table(True)):
+        # Records with open cells are found by a sort of whole blocks. A value in a line by itself is one
+        # in its record, so that is tried first.
+        if not spanning or not _usable(table(by_lines=True)):
             _reject_unusable(df, path)
     except SparkRuntimeException as e:
         raise LoadError(f"No CSV in {', '.join(tried)}: {MOVED if MOVED in str(e) else TOO_LONG}") from e
@@ -342,14 +342,15 @@ def _without_return(value: Column) -> Column:
     return F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
 
 
-def _cells(rows: DataFrame, kinds: Sequence[_Kind], columns: Sequence[str], na_tokens: Sequence[str], row_id: bool) -> DataFrame:
+def _cells(rows: DataFrame, kinds: Sequence[_Kind], columns: Sequence[str], na_tokens: Sequence[str], row_id: bool, any_length: bool) -> DataFrame:
     """The columns by name, from ``line, kind, cells``; kinds may have them in other orders."""
     orders: dict[tuple[str, ...], list[int]] = {}
     for i, k in enumerate(kinds):
         orders.setdefault(k.names, []).append(i)
     # A row longer than the header stops the read, rather than losing its last cells.
     extra = F.col("cells")[f"c{len(columns)}"]
-    rows = rows.where(F.when(extra.isNull(), True).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("boolean")))
+    if not any_length:
+        rows = rows.where(F.when(extra.isNull(), True).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("boolean")))
     cells = []
     for c in columns:
         cell = None
