@@ -287,7 +287,7 @@ _MIX_TEXTS = ("email", "phone_long", "phone", "link", "pct", "money", "cat_low",
 MIX = with_view("semantic_mix")
 ORACLES["semantic_ratios"] = MIX + " " + unions(
     f"SELECT '{c}' AS \"column\", '{kind}' AS semantic_type, round({_share(c, rule)}, 6) AS ratio FROM {table}"
-    for table, names in (("semantic_mix", _MIX_TEXTS), ("pages", ("url",)))
+    for table, names in (("semantic_mix", _MIX_TEXTS), ("pages", ("url", "html")))
     for c in names
     for kind, rule, _ in RULES
 )
@@ -494,7 +494,7 @@ q AS (SELECT place, x[CAST(floor(pos) AS INTEGER) + 1] AS b, x[CAST(ceil(pos) AS
   FROM (SELECT place, x, (len(x) - 1) * CAST(p AS DOUBLE) AS pos FROM s, p)),
 r AS (SELECT place, CASE WHEN a = b OR f = 0 THEN b ELSE b * (1 - f) + a * f END AS v FROM q)
 SELECT CAST(place AS INTEGER) AS place, CASE WHEN v = CAST('inf' AS DOUBLE) THEN 'inf' WHEN v = CAST('-inf' AS DOUBLE) THEN '-inf' ELSE format('{{:.4f}}', v) END AS quantile FROM r"""
-ORACLES["datetime_formats"] = """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE day(o_orderdate) > 12"""
+ORACLES["datetime_formats"] = """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE day(o_orderdate) > 12 OR o_orderkey % 8 <> 6"""
 ORACLES["outlier_remove_reindexed"] = f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS _row_id, event_id FROM events WHERE NOT {_out('events', 'value')}"""
 ORACLES["outlier_totals"] = """SELECT count(*) AS total_rows, CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS BIGINT) AS total_columns,
   CAST((SELECT count(*) FROM (DESCRIBE lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')) AS BIGINT) AS numeric_columns_analyzed FROM lineitem"""
@@ -502,8 +502,63 @@ ORACLES["validate_failures"] = """SELECT ' ' AS "column", 'column 1 has no name'
 UNION ALL SELECT 'allnull', 'no cell has a value' UNION ALL SELECT '*', 'table without rows'"""
 ORACLES["csv_mixed_headers"] = "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders"
 ORACLES["lineage_json"] = ORACLES["lineage_counts"]
-ORACLES["report_json"] = "SELECT count(*) AS rows_before, count(*) AS rows_after, CAST(4 AS BIGINT) AS profiled, CAST(7 AS BIGINT) AS events FROM customer"
 _STARTS = """WITH starts AS (SELECT repeat('<html>', 10) || substring(html, 1, 3) AS start, html FROM pages)"""
 ORACLES["value_counts_text"] = f"""{_STARTS} SELECT "column", rank, md5(value) AS value_md5, "count", unique_count FROM ({_top('starts', 'start', 7)} UNION ALL {_top('starts', 'html', 7)})"""
 ORACLES["impute_decimal_mode"] = """WITH prices AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(CAST(p_size AS DECIMAL(24, 2)) + CAST('12345678901234567890.25' AS DECIMAL(24, 2)) AS DECIMAL(24, 2)) END AS price FROM part)
 SELECT p_partkey, CAST(coalesce(price, (SELECT price FROM prices WHERE price IS NOT NULL GROUP BY price ORDER BY count(*) DESC, price LIMIT 1)) AS VARCHAR) AS price FROM prices"""
+
+REST = with_view("semantic_rest")
+ORACLES["semantic_rest"] = REST + " " + unions(
+    [_text_type("semantic_rest", c) for c in ("nothing", "day_text", "code", "remark")] + [_number_type("semantic_rest", "lng_deg", False)]
+    + ["""SELECT 'parts' AS "column", 'UNKNOWN' AS semantic_type FROM (SELECT count(*) FROM semantic_rest)"""]
+)
+ORACLES["spreadsheet_cut_cells"] = "SELECT CAST(doc_id AS VARCHAR) AS name, least(length(c), 500) AS number FROM (SELECT doc_id, {} AS c FROM documents)\nUNION ALL ".format(
+    r"regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')"
+) + unions(rf"SELECT '{c}', count(*) FILTER (WHERE length(regexp_replace({c}, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) > 500) FROM documents" for c in ("text", "lang", "source"))
+ORACLES["timestamp_texts"] = """SELECT o_orderkey, strftime(t, '%Y-%m-%dT%H:%M:%S.%f') AS at, t AS clock
+FROM (SELECT o_orderkey, o_orderdate + INTERVAL 3723004005 MICROSECONDS AS t FROM orders)"""
+ORACLES["spec_file_run"] = ORACLES["clean_run_spec"]
+ORACLES["rules_from_settings"] = f"""{CUSTOMER} SELECT c_custkey, coalesce(num_a, -1) AS num_a, coalesce(seg, 'OTHER') AS seg, coalesce(bal, -1) AS bal FROM clean_customer"""
+ORACLES["outlier_free_csv"] = f"""SELECT event_id, user_id, event_type, round(value, 6) AS value, props FROM events WHERE NOT ({_ANY})"""
+ORACLES["csv_rejections"] = """SELECT 'good' AS "case", CAST(count(*) AS VARCHAR) AS outcome FROM nation UNION ALL SELECT 'header only', 'A header but no rows' UNION ALL SELECT 'no values', 'Not one cell with a value'
+UNION ALL SELECT 'blank lines', 'No header' UNION ALL SELECT 'open quote', 'No CSV' UNION ALL SELECT 'absent', 'There is nothing to read'"""
+_MESSY = f"""{with_view('messy_orders')}, kept AS (SELECT DISTINCT CAST(qty AS BIGINT) AS qty, amount, st, state FROM messy_orders),
+filled AS (SELECT qty, coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM kept)) AS amount FROM kept)"""
+ORACLES["lineage_every_count"] = f"""{_MESSY}
+SELECT 'file_loaded' AS action, count(*) AS affected_count FROM messy_orders
+UNION ALL SELECT 'types_converted', count(qty) FROM messy_orders UNION ALL SELECT 'columns_dropped', 1
+UNION ALL SELECT 'rows_dropped', (SELECT count(*) FROM messy_orders) - (SELECT count(*) FROM kept)
+UNION ALL SELECT 'nulls_imputed', count(*) - count(amount) FROM kept
+UNION ALL SELECT 'outliers_removed', count(*) FROM filled WHERE {_out('filled', 'qty')} OR {_out('filled', 'amount')}
+UNION ALL SELECT 'columns_renamed', 1"""
+_DONE = f"""{CUSTOMER}, done AS (SELECT c_custkey, coalesce(CAST(num_a AS DOUBLE), (SELECT quantile_cont(num_a, 0.5) FROM clean_customer)) AS num_a,
+  coalesce(bal, (SELECT quantile_cont(bal, 0.5) FROM clean_customer)) AS bal FROM clean_customer), gaps AS (
+  SELECT count(*) AS n, count(*) - count(num_a) AS num_a, count(*) - count({number('seg')}) AS seg, count(*) - count(bal) AS bal, 0 AS c_custkey, count(*) AS allnull FROM clean_customer)"""
+
+
+def _profiled(c: str, dtype: str) -> str:
+    names = ("min", "max", "q1", "median", "q3")
+    cells = " || '|' || ".join(f'CAST("{n}" AS VARCHAR)' for n in names)
+    return f"""SELECT 'profile' AS section, '{c}' AS name, '{dtype}|0|' || (SELECT count(DISTINCT {c}) FROM done) || '|true|' || (SELECT count(DISTINCT {c}) <= 50 FROM done) || '|' || {cells} || '|' || outlier_count AS value
+FROM ({_numeric('done', c)})"""
+
+
+def _entries(section: str, values: dict[str, str], table: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, '{name}' AS name, CAST({value} AS VARCHAR) AS value FROM {table}" for name, value in values.items()]
+
+
+ORACLES["report_json"] = _DONE + " " + unions(
+    _entries("summary", {
+        "rows_before": "n", "rows_after": "n", "columns_before": "5", "columns_after": "3", "duplicates_removed": "0", "outliers_removed": "0",
+        "missing_filled_total": "num_a + bal", "converted_total": f"(SELECT count({number('seg')}) FROM clean_customer)",
+    }, "gaps")
+    + _entries("missing_before", {c: c for c in ("c_custkey", "num_a", "seg", "bal", "allnull")}, "gaps")
+    + _entries("missing_after", {c: "0" for c in ("c_custkey", "num_a", "bal")}, "gaps")
+    + _entries("missing_filled_per_column", {c: c for c in ("num_a", "bal")}, "gaps")
+    + [f"SELECT 'semantic_types', \"column\", semantic_type FROM ({_number_type('done', c, c == 'c_custkey')})" for c in ("c_custkey", "num_a", "bal")]
+    + [_profiled("c_custkey", "bigint"), _profiled("num_a", "double"), _profiled("bal", "double")]
+    + _entries("lineage", {"file_loaded": "n", "types_converted": f"(SELECT count({number('seg')}) FROM clean_customer)", "columns_dropped": "2", "rows_dropped": "0", "nulls_imputed": "num_a + bal", "outliers_removed": "0", "columns_renamed": "0"}, "gaps")
+    + [f"SELECT 'issues', \"column\", issue FROM ({ORACLES['run_issues']})"]
+    + [f"SELECT 'mapping', '{c}', '{c}|exact' FROM gaps" for c in ("c_custkey", "num_a", "seg", "bal", "allnull")]
+    + ["SELECT 'samples', 'sizes', '10|10' FROM gaps"]
+)

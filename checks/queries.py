@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -12,8 +13,8 @@ from tidewash.functions import blank_to_null, null_tokens, number_with_unit, par
 from tidewash.functions.text import READER_NA_TOKENS
 from tidewash.operators import columns, conversion, missing, outliers, profile, quantiles, semantic, stats, validate
 from tidewash.plans import apply_steps, clean_csv, clean_table, run_steps
-from tidewash.sinks import json_safe, spreadsheet_safe, write_csv, write_json, write_parquet
-from tidewash.sources import read_csv, read_table
+from tidewash.sinks import cut_cells, iso_timestamps, json_safe, spreadsheet_safe, write_csv, write_json, write_parquet
+from tidewash.sources import LoadError, list_specs, load_spec, read_csv, read_table
 from tidewash.sources.tables import shared_folder
 
 from .views import base, view
@@ -368,7 +369,8 @@ def datetime_formats(spark, sf):
     formats = ("M/d/yy", "MM.dd.yyyy", "yyyyMMdd", "M/d/yyyy h:mm a", "d-MMM-yy", "EEE, dd MMM yyyy HH:mm:ss", "dd/MM/yyyy", "MMMM d, yyyy")
     date = F.col("o_orderdate")
     texts = F.array(*[F.concat(F.date_format(date, f), F.lit(" GMT" if f.startswith("EEE") else "")) for f in formats])
-    orders = base(spark, sf, "orders").where(F.dayofmonth("o_orderdate") > 12)
+    # Only dd/MM/yyyy is read as month first up to the 12th.
+    orders = base(spark, sf, "orders").where((F.dayofmonth("o_orderdate") > 12) | (F.col("o_orderkey") % len(formats) != formats.index("dd/MM/yyyy")))
     written = orders.select("o_orderkey", F.element_at(texts, (F.col("o_orderkey") % len(formats) + 1).cast("int")).alias("d"))
     return written.select("o_orderkey", parse_timestamp("d").cast("date").cast("string").alias("day"))
 
@@ -476,7 +478,7 @@ def outlier_totals(spark, sf):
 @query
 def semantic_ratios(spark, sf):
     mix = semantic.text_ratios(view(spark, sf, "semantic_mix"))
-    pages = semantic.text_ratios(base(spark, sf, "pages").select("url"))
+    pages = semantic.text_ratios(base(spark, sf, "pages"))
     return rounded(mix.unionAll(pages))
 
 
@@ -489,6 +491,12 @@ def semantic_types(spark, sf):
     return result
 
 
+@query
+def semantic_rest(spark, sf):
+    """No values, dates as text, other texts, longitudes, free text of varied words, and a type that has no rule."""
+    return semantic.semantic_types_table(view(spark, sf, "semantic_rest").withColumn("parts", F.split("code", "e")))
+
+
 # --- Validation -------------------------------------------------------------
 @query
 def validate_spec(spark, sf):
@@ -533,6 +541,23 @@ def spreadsheet_cells(spark, sf):
     return safe.select("doc_id", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("text_md5"))
 
 
+@query
+def spreadsheet_cut_cells(spark, sf):
+    """Cells that a shorter limit cuts, counted, and the texts cut."""
+    docs = base(spark, sf, "documents")
+    cut = spreadsheet_safe(docs.select("doc_id", "text"), 500).select("doc_id", F.length("text").cast("bigint").alias("length"))
+    counts = cut_cells(docs, 500).select(F.col("column").alias("name"), "cut_count")
+    return cut.select(F.col("doc_id").cast("string").alias("name"), F.col("length").alias("number")).unionAll(counts)
+
+
+@query
+def timestamp_texts(spark, sf):
+    """Timestamps in ISO form, and with a time zone as the wall clock."""
+    orders = base(spark, sf, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 1, 2, 3.004005)")).alias("at"))
+    clock = spreadsheet_safe(orders.select("o_orderkey", F.col("at").cast("timestamp").alias("clock")))
+    return iso_timestamps(orders).join(clock, "o_orderkey")
+
+
 @query
 def spreadsheet_table(spark, sf):
     odd = view(spark, sf, "odd_numbers").withColumn("pair", F.struct(F.col("o_orderkey").alias("k"), F.lit("a\x01b").alias("t")))
@@ -611,10 +636,27 @@ def lineage_json(spark, sf):
 
 @query
 def report_json(spark, sf):
-    """The report as written and read again."""
+    """The report as written and read again: every field in the order of its name, as text."""
     folder = shared_folder(spark)
-    write_json(clean_table(view(spark, sf, "dirty_customer")).report(), folder)
-    return spark.read.json(folder).select("rows_before", "rows_after", F.size("profile").cast("bigint").alias("profiled"), F.size("lineage").cast("bigint").alias("events"))
+    write_json(clean_table(view(spark, sf, "dirty_customer"), spec=CUSTOMER_SPEC).report(), folder)
+    report = spark.read.json(folder)
+
+    def rows(section: str, table: DataFrame, key: str, *values: str) -> DataFrame:
+        cells = [F.coalesce(F.round(F.col(v), 4).cast("string") if dict(table.dtypes)[v] == "double" else F.col(v).cast("string"), F.lit("-")) for v in values]
+        return table.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("name"), F.concat_ws("|", *cells).alias("value"))
+
+    numbers = ["rows_before", "rows_after", "columns_before", "columns_after", "duplicates_removed", "outliers_removed", "missing_filled_total", "converted_total"]
+    out = report.select(F.lit("summary").alias("section"), F.explode(F.create_map(*[x for n in numbers for x in (F.lit(n), F.col(n).cast("string"))])).alias("name", "value"))
+    for name in ("missing_before", "missing_after", "missing_filled_per_column", "semantic_types"):
+        texts = {"ignoreNullFields": "true"}
+        out = out.unionAll(report.select(F.lit(name), F.explode(F.from_json(F.to_json(name, texts), "map<string,string>")).alias("name", "value")))
+    profile_rows = report.select(F.inline("profile"))
+    out = out.unionAll(rows("profile", profile_rows, "column", "dtype", "missing_count", "distinct_count", "is_numeric", "is_categorical", "min", "max", "q1", "median", "q3", "outlier_count"))
+    out = out.unionAll(rows("lineage", report.select(F.inline("lineage")), "action", "affected_count"))
+    out = out.unionAll(rows("issues", report.select(F.inline("schema_validation")), "column", "issue"))
+    out = out.unionAll(rows("mapping", report.select(F.inline("field_mapping")), "original", "mapped_to", "match_type"))
+    samples = F.from_json("samples", "struct<before:struct<c_custkey:array<string>>,after:struct<c_custkey:array<string>>>")
+    return out.unionAll(report.select(F.lit("samples"), F.lit("sizes"), F.concat_ws("|", F.size(samples["before"]["c_custkey"]), F.size(samples["after"]["c_custkey"]))))
 
 
 # --- Runs -------------------------------------------------------------------
@@ -662,6 +704,61 @@ def lineage_counts(spark, sf):
     return result.lineage.select("action", "affected_count")
 
 
+@query
+def lineage_every_count(spark, sf):
+    """A table in which each step finds something."""
+    spec = {"fields": {"state": {"aliases": ["st"], "type": "categorical"}}}
+    result = clean_table(view(spark, sf, "messy_orders"), {"remove_outliers": True}, spec, profile=False)
+    return result.lineage.select("action", "affected_count")
+
+
+@query
+def spec_file_run(spark, sf):
+    """A spec written as a file, found, loaded and applied."""
+    folder = f"{shared_folder(spark)}/specs"
+    text = spark.createDataFrame([(json.dumps(PART_SPEC),)], "text string")
+    text.select(F.from_json("text", F.schema_of_json(F.lit(json.dumps(PART_SPEC)))).alias("spec")).select("spec.*").coalesce(1).write.json(folder)
+    spec = load_spec(spark, f"{folder}/{list_specs(spark, folder)[0]}")
+    return rounded(clean_table(view(spark, sf, "dirty_part"), {"fill_missing_numeric": "mean"}, spec, profile=False).df)
+
+
+@query
+def rules_from_settings(spark, sf):
+    """Rules from the session's settings, one of them overridden."""
+    name = "spark.tidewash.cleaningRules"
+    spark.conf.set(name, json.dumps({"fill_missing_numeric": "fixed", "fill_value_numeric": -1, "fill_missing_categorical": "fixed", "fill_value_categorical": "x"}))
+    try:
+        return clean_table(view(spark, sf, "dirty_customer"), {"fill_value_categorical": "OTHER"}, profile=False).df
+    finally:
+        spark.conf.unset(name)
+
+
+@query
+def outlier_free_csv(spark, sf):
+    """The second output of a run: the cleaned table without outlier rows, as CSV."""
+    folder = shared_folder(spark)
+    write_csv(outliers.remove_outliers(clean_table(base(spark, sf, "events"), profile=False).df), folder)
+    return conversion.convert_types(read_csv(spark, folder, row_id=False).df, read_types=True).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"), "props")
+
+
+@query
+def csv_rejections(spark, sf):
+    """Files that are no tables, with what the reader says of them."""
+    folder, nation = shared_folder(spark), base(spark, sf, "nation").repartition(1)
+    write_csv(nation.where("n_nationkey >= 0"), f"{folder}/good")
+    write_csv(nation.where("n_nationkey < 0"), f"{folder}/header only")
+    write_csv(nation.select(F.lit(None).cast("string").alias("a"), F.lit("NA").alias("b")), f"{folder}/no values")
+    nation.select(F.lit("")).write.text(f"{folder}/blank lines")
+    nation.select(F.concat(F.lit('a,b\n"'), "n_name")).write.text(f"{folder}/open quote")
+    out = []
+    for name in ("good", "header only", "no values", "blank lines", "open quote", "absent"):
+        try:
+            out.append((name, str(read_csv(spark, f"{folder}/{name}").df.count())))
+        except LoadError as e:
+            out.append((name, str(e).split(" at ")[0].split(" in ")[0]))
+    return spark.createDataFrame(out, "case string, outcome string")
+
+
 @query
 def steps_run(spark, sf):
     steps = [

@@ -46,6 +46,17 @@ VIEWS = {
           p_type AS cat_low, p_brand AS brand,
           CAST(p_size AS DOUBLE) / 50 AS ratio, CAST(p_size AS DOUBLE) - 25 AS lat, p_retailprice AS price
         FROM {part}""",
+    # What no rule of semantic_mix reaches.
+    "semantic_rest": """
+        SELECT CAST(NULL AS STRING) AS nothing, concat(year(o_orderdate), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) AS day_text,
+          concat('code', o_orderkey) AS code, CAST(o_custkey % 360 AS DOUBLE) - 180.0 AS lng_deg, concat('one two three number', o_orderkey) AS remark
+        FROM {orders}""",
+    # Every step of a run finds something: text numbers, gaps, an empty column, copies, values far out, one name twice.
+    "messy_orders": """
+        SELECT CAST(o_custkey % 40 AS STRING) AS qty,
+          CASE WHEN o_custkey % 10 = 3 THEN NULL WHEN o_custkey % 97 = 5 THEN 1000000.0 + o_custkey ELSE CAST(o_custkey % 50 AS DOUBLE) END AS amount,
+          o_orderstatus AS st, o_orderpriority AS state, CAST(NULL AS STRING) AS gone
+        FROM {orders}""",
     # Not-a-number, infinities and null next to plain values.
     "odd_numbers": """
         SELECT o_orderkey,

@@ -62,6 +62,11 @@ def word_count(s: Column) -> Column:
     return F.regexp_count(s, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
-def spreadsheet_text(c: Column) -> Column:
+def spreadsheet_text(c: Column, length: int = SPREADSHEET_CELL_LENGTH) -> Column:
     """Drop control characters and cut to the longest text a cell can hold."""
-    return F.substring(F.regexp_replace(c, CONTROL_CHARACTERS, ""), 1, SPREADSHEET_CELL_LENGTH)
+    return F.substring(F.regexp_replace(c, CONTROL_CHARACTERS, ""), 1, length)
+
+
+def exceeds_cell(c: Column, length: int = SPREADSHEET_CELL_LENGTH) -> Column:
+    """Whether ``spreadsheet_text`` cuts the text."""
+    return F.length(F.regexp_replace(c, CONTROL_CHARACTERS, "")) > length

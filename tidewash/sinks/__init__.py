@@ -1,4 +1,5 @@
 from .writers import (
+    cut_cells,
     iso_timestamps,
     json_safe,
     spreadsheet_safe,
@@ -7,4 +8,4 @@ from .writers import (
     write_parquet,
 )
 
-__all__ = ["iso_timestamps", "json_safe", "spreadsheet_safe", "write_csv", "write_json", "write_parquet"]
+__all__ = ["cut_cells", "iso_timestamps", "json_safe", "spreadsheet_safe", "write_csv", "write_json", "write_parquet"]

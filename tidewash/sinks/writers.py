@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import ROW_ID
 from ..functions import col, finite_or_null, spreadsheet_text
+from ..functions.text import SPREADSHEET_CELL_LENGTH, exceeds_cell
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -68,23 +69,40 @@ def iso_timestamps(df: DataFrame) -> DataFrame:
     return df.select(*[F.date_format(col(c), ISO).alias(c) if c in times else col(c) for c in df.columns])
 
 
-def spreadsheet_safe(df: DataFrame) -> DataFrame:
+def _cell_text(c: Column, kind: T.DataType) -> Column | None:
+    """The text that a spreadsheet cell gets, before it is made safe; None for what is no text there."""
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(_finite(c, kind), {"ignoreNullFields": "false"})
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return None
+    return c.cast("string")
+
+
+def spreadsheet_safe(df: DataFrame, length: int = SPREADSHEET_CELL_LENGTH) -> DataFrame:
     """Values a spreadsheet cell can hold.
 
-    Text without control characters and at most 32,767 long; no NaN or infinity; zoned
-    timestamps as wall clock; nested values as JSON text; numbers and booleans as they are.
+    Text without control characters and at most ``length`` long (see :func:`cut_cells`); no NaN or
+    infinity; zoned timestamps as wall clock; nested values as JSON text; numbers and booleans as
+    they are.
     """
     safe = []
     for f in df.schema.fields:
         c, kind = col(f.name), f.dataType
+        text = _cell_text(c, kind)
         if isinstance(kind, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(kind, (T.FloatType, T.DoubleType)):
             c = finite_or_null(c)
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            c = spreadsheet_text(F.to_json(_finite(c, kind), {"ignoreNullFields": "false"}))
-        elif not isinstance(kind, (T.NumericType, T.BooleanType, T.TimestampNTZType, T.DateType)):
-            c = spreadsheet_text(c.cast("string"))
+        elif text is not None:
+            c = spreadsheet_text(text, length)
         safe.append(c.alias(f.name))
     return df.select(*safe)
 
+
+def cut_cells(df: DataFrame, length: int = SPREADSHEET_CELL_LENGTH) -> DataFrame:
+    """``column, cut_count``: cells of each text or nested column that ``spreadsheet_safe`` cuts."""
+    texts = {f.name: t for f in df.schema.fields if (t := _cell_text(col(f.name), f.dataType)) is not None}
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, cut_count bigint")
+    counts = df.agg(*[F.count_if(exceeds_cell(t, length)).alias(f"c{i}") for i, t in enumerate(texts.values())])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("cut_count")) for i, c in enumerate(texts)])))
