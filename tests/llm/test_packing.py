@@ -105,7 +105,7 @@ def test_other_tokenizers_take_texts_whole(tmp_path):
     import json
 
     made = json.loads(TOKENIZER.to_str())
-    assert splits_at_blanks(made)
+    assert splits_at_blanks(TOKENIZER)
     made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\r\n]+"
     other = tmp_path / "other.json"
     other.write_text(json.dumps(made))

@@ -24,11 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: list[str] = []
 
 
+#: Rows that go to a Python worker at a time, at most: both sides hold them, and whole documents are long.
+BATCH, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Bounds the session's Arrow batches; returns what was set before."""
+    before = spark.conf.get(BATCH)
+    if not 0 < int(before) <= ROWS_PER_BATCH:
+        spark.conf.set(BATCH, ROWS_PER_BATCH)
+    return before
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: cuts the lineage, and a lost
     executor costs no recomputation."""
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    before = small_batches(df.sparkSession)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        df.sparkSession.conf.set(BATCH, before)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,10 +99,11 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose text column holds about ``most_bytes``, or one row."""
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose text column (or that field of a struct column) holds about ``most_bytes``, or one row."""
     start, held = 0, 0
-    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    texts = batch.column(column) if field is None else batch.column(column).field(field)
+    lengths = pc.binary_length(texts).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + n > most_bytes:
             yield batch.slice(start, i - start)

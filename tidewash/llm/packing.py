@@ -43,19 +43,21 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(until[-1] if len(until) else 0) + np.repeat(starts - (until - counts), counts)
 
 
-def splits_at_blanks(settings: dict) -> bool:
+def splits_at_blanks(tokenizer) -> bool:
     """Whether a tokenizer has the normalising, the splitting and the word ends that ``WordIds`` counts on."""
-    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+
+    def settings(part) -> dict:
+        return json.loads(part.__getstate__()) if part is not None else {}
+
+    steps = settings(tokenizer.normalizer).get("normalizers", [])
     steps = [(s["type"], s["pattern"].get("Regex"), s["content"]) if s["type"] == "Replace" else s["type"] for s in steps]
-    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    rules = [s.get("pattern", {}).get("Regex") for s in split if s["type"] == "Split"]
-    bytes_ = [s for s in split if s["type"] == "ByteLevel"]
-    model = settings["model"]
+    split = settings(tokenizer.pre_tokenizer).get("pretokenizers", [])
+    model = tokenizer.model
     return (
-        steps == NORMALIZER and [s["type"] for s in split] == ["Split", "ByteLevel"] and rules == [SPLITTER]
-        and split[0].get("behavior") == "Removed" and bool(split[0].get("invert")) and not bytes_[0]["add_prefix_space"] and not bytes_[0]["use_regex"]
-        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("ignore_merges")
-        and all(t["content"].startswith("<|") for t in settings["added_tokens"])
+        steps == NORMALIZER and [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["pattern"].get("Regex") == SPLITTER
+        and split[0].get("behavior") == "Removed" and bool(split[0].get("invert")) and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        and getattr(model, "end_of_word_suffix", None) == "</w>" and not getattr(model, "ignore_merges", True)
+        and all(t.content.startswith("<|") for t in tokenizer.get_added_tokens_decoder().values())
     )
 
 
@@ -70,7 +72,7 @@ class WordIds:
         self.tokenizer, self.most = Tokenizer.from_file(vocabulary), words or WORDS
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
-        self.by_words = splits_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.by_words = splits_at_blanks(self.tokenizer)
         self.clear()
 
     def clear(self) -> None:
@@ -176,7 +178,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(vocabulary, words)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 rows, number, start, length, ids = [], [], [], [], []
                 for row, found in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()])):
                     found = np.append(found, np.uint32(end_id)).astype("<u4")

@@ -233,17 +233,18 @@ def models(grams: DataFrame) -> tuple[Model, Model]:
     return model("0"), model("1")
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``doc, text`` rows as ``doc`` with ``features``, or with ``score`` if the model is calibrated."""
+def _scored(rows: DataFrame, model: Model, text_column: str) -> DataFrame:
+    """``doc`` rows as ``doc`` with ``features`` of its text, or with ``score`` if the model is calibrated."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
     calibrated = model.weights is not None
+    at_text = rows.schema["doc"].dataType.names.index(text_column)
     out = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType()) if calibrated else T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, place, ratio, length = shared.value, {}, np.zeros(0), np.zeros(0)
         for batch in batches:
-            for part in slices(batch, 1):
-                split = [tokens(t) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 0, field=at_text):
+                split = [tokens(t) for t in part.column(0).field(at_text).to_pylist()]
                 new = list({w for s in split for w in s}.difference(place))
                 if len(place) + len(new) > WORDS_HELD:  # bounded memory of the task
                     place, ratio, length = {}, np.zeros(0), np.zeros(0)
@@ -302,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     half, whole = models(staged(gram_counts(words.repartition(parts_for(size, LETTERS_PER_PART), F.xxhash64("word")))))
     sample = [taken.where((F.col("label") == c) & (F.col("fold") == 1)).orderBy(order, "id").limit(calibration_rows) for c in (1, 0)]
     rows = texts.join(F.broadcast(sample[0].union(sample[1]).select("id", "label")), "id")
-    found = _scored(rows.select(F.struct("label").alias("doc"), "text"), half).select("doc.label", "features").toArrow()
+    found = _scored(rows.select(F.struct("label", "text").alias("doc")), half, "text").select("doc.label", "features").toArrow()
     y = found.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         n, toxic = taken.agg(F.count("*"), F.sum("label")).first()
@@ -319,4 +320,4 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``doc`` (all columns of the row) and ``score``: the probability that the document is toxic,
     from its text alone. Null and empty texts score like a text without any evidence."""
-    return _scored(docs.select(F.struct("*").alias("doc"), F.col(text_column).alias("text")), model)
+    return _scored(docs.select(F.struct("*").alias("doc")), model, text_column)
