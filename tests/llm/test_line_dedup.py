@@ -86,3 +86,13 @@ def test_pipeline_stage_drops_short_repeats(spark):
     df = spark.createDataFrame([(1, "les.\nx"), (2, "les.\ny")], "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
     assert got == {1: "les.\nx", 2: "y"}
+
+
+def test_very_many_repeated_lines_in_one_text(spark):
+    import time
+
+    lines = ["the same line of some length"] * 200_000 + ["the end of it all, and nothing else"]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    start = time.time()
+    assert [r.text for r in dedup_lines(docs).collect()] == ["the same line of some length\nthe end of it all, and nothing else"]
+    assert time.time() - start < 60

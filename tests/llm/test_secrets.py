@@ -48,3 +48,14 @@ def test_odd_and_no_rows(odd_docs, no_docs):
     assert [(r.spans, r.base) for r in find_secrets(odd_docs).collect()] == [([], [])] * 10
     assert find_secrets(no_docs).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    words = [f"{i:032x}" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, words[0] + " x")], "doc_id long, text string")
+    start = time.time()
+    rows = {r.id: r.spans for r in find_secrets(docs).collect()}
+    assert [(s.start, s.end) for s in rows[1]] == [(33 * i, 33 * i + 32) for i in range(100_000)] and len(rows[2]) == 1
+    assert time.time() - start < 60

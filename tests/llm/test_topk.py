@@ -48,3 +48,9 @@ def test_vectors_go_through_no_single_task(spark, monkeypatch):
     vectors = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert top_k(vectors.where("id < 3"), vectors, 4, shard=10).count() == 12
     assert len(plans) == 2 and not any("Window" in p for p in plans)
+
+
+def test_rows_without_an_identifier_take_no_part(spark):
+    rows = [(0, [1.0]), (None, [9.0]), (1, [2.0]), (None, None)]
+    vectors = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [r.vec_id for r in top_k(vectors.where("id = 0"), vectors, 5).collect()] == [1]

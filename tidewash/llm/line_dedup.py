@@ -139,6 +139,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = numbered(docs)
     rows = rows.join(dropped_lines(rows, id_column, text_column, min_chars, exact_chars), ["file", "row"], "left")
     text = F.col("doc")[text_column]
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("dropped", i))
-    text = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # One pass over the lines and one over the positions, also where a text loses very many.
+    parts = F.array(F.struct(F.split(text, "\n").alias("lines"), F.col("dropped")))
+    kept = F.transform(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p["lines"]) - 1), p["dropped"]), lambda i: F.get(p["lines"], i)))
+    text = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(F.get(kept, F.lit(0)), "\n"))
     return rows.select(F.col("doc").withField(text_column, text).alias("doc")).select("doc.*")

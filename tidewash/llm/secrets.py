@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -125,6 +126,10 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+#: Matches of a text that are collected at a time.
+PORTION = 256
+
+
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """Array of ``start, place, kind, end`` (code points, end exclusive) of a rule's matches, leftmost
     and without overlap: the text is split at the matches, so lengths of gaps and matches add
@@ -132,8 +137,8 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     pattern = tight(rule)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    parts = F.arrays_zip(gaps.alias("g"), matches.alias("m"), values.alias("v"))
-    empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    span_type = "struct<start:int,place:int,kind:string,end:int>"
+    none = F.array().cast(f"array<{span_type}>")
 
     def add(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["g"])
@@ -142,7 +147,23 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
         kept = F.when(F.length(part["v"]) >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct(end.alias("at"), kept.alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
+    def add_all(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("found")), add)
+        return _bound(inner, lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], F.array(s["found"])).alias("found")))
+
+    def spans(parts: Column) -> Column:
+        # An array is copied for each part that it gains, so parts go by portions.
+        starts = F.sequence(F.lit(1), F.size(parts), F.lit(PORTION))
+        portions = F.transform(starts, lambda i: F.slice(parts, i, F.lit(PORTION)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span_type}>>").alias("found"))
+        return F.aggregate(portions, zero, add_all, lambda s: F.flatten(s["found"]))
+
+    return _bound(F.arrays_zip(gaps.alias("g"), matches.alias("m"), values.alias("v")), spans)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

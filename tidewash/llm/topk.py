@@ -19,10 +19,11 @@ FAN_IN = 16
 
 def whole_numbers(vectors: DataFrame, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``id, vector``: each component x becomes floor(scale * x), x as double. Rows whose vector is
-    null, or has null or non-finite components, are left out."""
+    null, or has null or non-finite components, are left out, and those without an identifier, which
+    no result could name. Identifiers are whole numbers; texts of other things fail."""
     x = F.col("vector")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
+    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     return rows.where(x.isNotNull() & ~bad).withColumn("vector", F.transform(x, lambda v: F.floor(v * scale).cast("double")))
 
 
