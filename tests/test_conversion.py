@@ -20,18 +20,19 @@ def outcome(df, **options):
 
 
 def test_unit_extraction(spark):
-    df = texts(spark, storage=["8GB", "16GB", "32GB"], weight=["1.83kg", "2.5kg", "0.75kg"], spec=["512GB SSD", "256GB SSD", "1TB HDD"])
+    """Signs, fractions without a whole part, exponents that are none, blanks and what follows the unit."""
+    df = texts(spark, depth=["-3m", "+4.50 m below", "  .5   metres", "12."], flow=["7l", "7e2l/s", "90 l, at most", "l 4"])
     plan, got = outcome(df)
-    assert got["storage"] == ("unit_extraction", None, 3)
+    assert got["depth"] == ("unit_extraction", None, 3) and got["flow"][0] == "unit_extraction"
     out = plan.apply(df)
-    assert column(out, "storage") == [8, 16, 32] and column(out, "weight") == [1.83, 2.5, 0.75] and column(out, "spec") == [512, 256, 1]
-    assert plan.converted_total == 9
+    assert column(out, "depth") == [-3.0, 4.5, 0.5, None] and column(out, "flow")[0] == 7 and column(out, "flow")[2:] == [90, None]
+    assert plan.converted_total == 3 + got["flow"][2]
 
 
 def test_failures_become_null_and_shares_decide(spark):
-    df = texts(spark, mixed=["8GB", "plain text", "16GB", None], few=["8GB", "a", "b", "c"], half=["1,000", "x", "2 5", "y"], none=["a", "1", "b", "c"])
+    df = texts(spark, mixed=["unknown", "41 mm", None, "6mm wide"], few=["3 kW", "a", "b", "c"], half=["1,000", "x", "2 5", "y"], none=["a", "1", "b", "c"])
     plan, got = outcome(df)
-    assert column(plan.apply(df), "mixed") == [8, None, 16, None]
+    assert column(plan.apply(df), "mixed") == [None, 41, None, 6]
     assert got["few"][0] == "unit_extraction"  # int(0.3 * 4) = 1 is enough
     assert got["half"] == ("to_numeric", None, 2) and column(plan.apply(df), "half") == [1000.0, None, 25.0, None]
     assert got["none"] == ("none", "no_conversion_rule_matched", 0)
@@ -46,7 +47,7 @@ def test_dates_and_their_protection(spark):
 
 
 def test_disabled_empty_and_typed(spark):
-    df = spark.createDataFrame([(1, "8GB", None), (2, "16GB", None)], "n long, s string, e string")
+    df = spark.createDataFrame([(1, "40 dB", None), (2, "52 dB", None)], "n long, s string, e string")
     assert outcome(df, convert=False)[1]["s"] == ("skipped", "convert_types_disabled", 0)
     assert convert_types(df, convert=False).schema == df.schema
     got = outcome(df)[1]
