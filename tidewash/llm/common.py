@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -95,6 +96,16 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
 
 
+def give_back() -> None:
+    """Call at the end of a worker's task: freed memory goes back to the system, as the worker stays for
+    other steps. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

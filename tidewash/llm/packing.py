@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices, staged
+from .common import give_back, parts_for, slices, staged
 
 #: Items a first-level part packs; parts that one part of the next level takes over.
 LEAF_ITEMS, FAN_IN = 16_384, 8
 #: Bins with no more free tokens than this wait for the last round. A part hands on its emptiest bins, this many.
 SLACK, HAND_ON = 16, 1024
 #: Words a worker remembers.
-WORDS = 200_000
+WORDS = 120_000
 
 # Scripts whose word boundaries and lower case need no more than the classes below; other texts go
 # through the tokenizer whole. Letters, numerals and white space of these blocks:
@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=names)
         known.clear()
-        pa.default_memory_pool().release_unused()  # workers serve other steps as well
+        give_back()
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     cuts = rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids binary")

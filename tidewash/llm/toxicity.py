@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_for, slices, staged
+from .common import give_back, parts_for, slices, staged
 
 #: Letters of an n-gram, and the discount.
 ORDER, DISCOUNT = 5, 0.75
 #: Labelled rows of each class that the fit takes (the first by hash), and those that calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 4_000
 #: Letters of distinct words that one task turns into n-grams, and of what counts as one word.
-LETTERS_PER_PART, LONGEST = 300_000, 256
+LETTERS_PER_PART, LONGEST = 200_000, 256
 #: Distinct words that a task counts or scores before it lets go of them.
-WORDS_HELD = 100_000
+WORDS_HELD = 60_000
 NO_LETTER = re.compile(r"[\W\d_]+")
 CLASSES = ("toxic_0", "toxic_1", "plain_0", "plain_1")
 
@@ -142,6 +142,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows(held)
                     held = {}
         yield rows(held)
+        held = {}
+        give_back()
 
     counts = docs.mapInArrow(counted, "word string, total long, " + ", ".join(f"{c} long" for c in CLASSES))
     return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", *CLASSES)])
@@ -262,6 +264,8 @@ def _scored(rows: DataFrame, model: Model, text_column: str) -> DataFrame:
                 else:
                     last = pa.array(found, pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), last], names=out.names)
+        del model, place, ratio, length
+        give_back()
 
     return rows.mapInArrow(scored, out)
 
