@@ -24,7 +24,7 @@ LEAF_ITEMS, FAN_IN = 16_384, 8
 #: Bins with no more free tokens than this wait for the last round. A part hands on its emptiest bins, this many.
 SLACK, HAND_ON = 16, 1024
 #: Words a worker remembers.
-WORDS = 120_000
+WORDS = 200_000
 
 # Scripts whose word boundaries and lower case need no more than the classes below; other texts go
 # through the tokenizer whole. Letters, numerals and white space of these blocks:
