@@ -95,3 +95,22 @@ def test_copies_make_no_pairs(spark, monkeypatch):
     texts = [" ".join(words)] * 300 + [" ".join(words + [f"n{k}"]) for k in range(300)]
     assert {c for _, c in found(spark, texts)} == {0}
     assert stars[0] <= 301 * 3
+
+
+def test_blocks_ask_for_the_fewest_nodes(spark, monkeypatch):
+    """A bucket's largest component asks nothing, also where its first node stands alone; blocks are bounded by hashes too."""
+    n = 600
+    members = spark.range(1, n + 1).selectExpr("7L AS key", "id AS node", "100L AS n")
+    roots = spark.range(3, n + 1).selectExpr("id AS node", "2L AS root")  # node 1 has no links
+    assert minhash._apart(members, roots).where("query").select("node").distinct().collect() == [(1,)]
+    assert minhash._apart(members, roots).count() == n + 2  # two blocks of members
+    monkeypatch.setattr(minhash, "HASHES", 100 * 100)
+    assert minhash._apart(members, roots).select("i").distinct().count() == 6
+
+
+def test_pivot_is_the_most_central_node(spark):
+    """Node 9 meets all others in one bucket or another; the first nodes of the buckets only some."""
+    buckets = {1: [1, 2, 9], 2: [3, 4, 9], 3: [5, 6, 9], 4: [1, 2]}
+    members = spark.createDataFrame([(k, v, 10) for k, some in buckets.items() for v in some], "key long, node long, n long")
+    rows = minhash._central(members).select("key", "node", "pivot.node").collect()
+    assert len(rows) == 11 and {r[2] for r in rows if r[0] < 4} == {9}

@@ -19,8 +19,9 @@ from .components import components
 ROWS = 6
 #: Chance that two documents exactly at the threshold share no band, which sets the number of bands.
 MISS = 1e-9
-#: Sets that a task compares with each other, at most, on either side.
-BLOCK = 256
+#: Pairs of one set that a task tests against a pivot; sets that a task compares with each other, on either side,
+#: and the hashes they hold together, at most (but for a longer single set).
+PORTION, BLOCK, HASHES = 256, 512, 1 << 20
 SEED = 42
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -104,7 +105,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``u, v`` pairs that are links. A ``v`` of many pairs is sent in as many copies as its pairs make
     portions, so no task takes all of them."""
-    sizes = stars.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("portions"))
+    sizes = stars.groupBy("v").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
     portion = F.pmod(F.xxhash64("u"), F.col("portions"))
     left = stars.join(sizes, "v").select("u", "v", portion.alias("portion")).join(sets.select(F.col("node").alias("u"), F.col("set").alias("_u")), "u")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1))
@@ -137,15 +138,30 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets that still hold several components. Each node outside the component of the
-    bucket's first node meets all nodes of the bucket, in blocks of bounded size."""
-    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted)
-    sizes = rooted.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("m")).where("_a < _b")
-    apart = rooted.join(sizes.select("key", "main", "m"), "key")
-    asked = apart.where("root <> main").groupBy("key").agg(F.count("*").alias("q"))
-    apart = staged(apart.join(asked, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(F.col("q") / BLOCK).alias("qb")))
+def _central(members: DataFrame) -> DataFrame:
+    """``key, node, n, pivot``: the pivot of a bucket is its node that meets the most nodes in all of its
+    buckets, as ``node, n``. Near copies of one text share the pivot that is nearest to all of them."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("_m"))
+    weights = members.join(sizes, "key").groupBy("node").agg(F.sum("_m").alias("_w"))
+    weighted = members.join(weights, "node")
+    pivots = weighted.groupBy("key").agg(F.max(F.struct("_w", "node", "n")).alias("_top"))
+    return members.join(pivots, "key").select("key", "node", "n", F.struct("_top.node", "_top.n").alias("pivot"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, i, j, node, root, query``: buckets that hold several components, dealt into blocks where each node
+    outside the bucket's largest component meets all nodes of the bucket."""
+    rooted = staged(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    counted = rooted.groupBy("key", "root").agg(F.count("*").alias("_c"), F.sum("n").alias("_h"))
+    top = F.max(F.struct("_c", "_h", "root"))
+    sizes = counted.groupBy("key").agg(top.alias("_top"), F.sum("_c").alias("m"), F.sum("_h").alias("mh")).where("_top._c < m")
+    sizes = sizes.withColumns({"q": F.col("m") - F.col("_top._c"), "qh": F.col("mh") - F.col("_top._h")})
+
+    def blocks(rows: str, hashes: str):
+        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(hashes) / HASHES))
+
+    cut = sizes.select("key", F.col("_top.root").alias("main"), blocks("m", "mh").alias("mb"), blocks("q", "qh").alias("qb"))
+    apart = staged(rooted.join(cut, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks"), "mb", "qb"))
     h = F.xxhash64("node")
 
     def each(blocks: str):
@@ -153,7 +169,12 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
 
     as_member = apart.select("key", F.pmod(h, F.col("mb")).alias("i"), each("qb").alias("j"), "node", "root", F.lit(False).alias("query"))
     as_query = apart.where("asks").select("key", each("mb").alias("i"), F.pmod(h, F.col("qb")).alias("j"), "node", "root", F.lit(True).alias("query"))
-    met = as_member.unionByName(as_query).join(sets, "node").select("key", "i", "j", "node", "root", "query", "n", "keys", "set")
+    return as_member.unionByName(as_query)
+
+
+def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets that still hold several components, found in blocks of bounded size."""
+    met = _apart(members, roots).join(sets, "node").select("key", "i", "j", "node", "root", "query", "n", "keys", "set")
     return met.groupBy("key", "i", "j").applyInArrow(lambda t: _linked(t, percent), "u long, v long")
 
 
@@ -165,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     identifier that links reach from it; that one is ``kept``.
 
     Equal sets are one node. Nodes that agree in a band of min-max hashes share a bucket. Each node
-    of a bucket is tested against the first one, on whole sets; where that leaves several
-    components in a bucket, their nodes are tested in blocks. So a group of near copies makes few
+    of a bucket is tested against its most central one, on whole sets; where that leaves several
+    components in a bucket, all nodes outside the largest are tested in blocks. So a group of near copies makes few
     pairs, no bucket is held by one task, and none is cut. Two documents exactly at the threshold
     share no band with a chance of ``MISS``.
 
@@ -181,18 +202,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     light = staged(rows.select("id", "n", "digest"))
     discard(rows)
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("_last")).where("least.node < _last").select("key", "least")
-    members = staged(keyed.join(buckets, "key").select("key", "node", "n", "least"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).where("_first < _last").select("key")
+    shared = staged(keyed.join(buckets, "key").select("key", "node", "n"))
+    members = staged(_central(shared))
+    discard(shared)
     used = members.select("node").distinct().join(nodes, "node").select("node", "n", "keys", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
     used = staged(used)
     sets = _sets(source.join(used.select("node", "file", "row"), ["file", "row"]), width)
     sets = staged(sets.join(used.select("node", "n", "keys"), "node"))
     discard(used)
-    fits = F.least("n", "least.n") * 100 >= F.greatest("n", "least.n") * percent
-    stars = staged(members.where(fits & (F.col("node") > F.col("least.node"))).select(F.col("node").alias("u"), F.col("least.node").alias("v")).distinct())
+    fits = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
+    stars = staged(members.where(fits & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("u"), F.col("pivot.node").alias("v")).distinct())
     links = staged(_star_links(stars, sets, percent))
     discard(stars)
-    rest = staged(_rest(members.select("key", "node"), components(links), sets, percent))
+    rest = staged(_rest(members.select("key", "node", "n"), components(links), sets, percent))
     discard(members, sets)
     links = links.union(rest)
     named = nodes.select("node", "digest", "low").join(components(links), "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))
