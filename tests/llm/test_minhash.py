@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewash.llm import minhash
+from tidewash.llm import minhash, simhash
 from tidewash.llm.minhash import Sketch, near_duplicates, shingle_set
 
 WORD = __import__("re").compile(r"[^\x20\x09-\x0D]+")
@@ -114,3 +114,24 @@ def test_pivot_is_the_most_central_node(spark):
     members = spark.createDataFrame([(k, v, 10) for k, some in buckets.items() for v in some], "key long, node long, n long")
     rows = minhash._central(members).select("key", "node", "pivot.node").collect()
     assert len(rows) == 11 and {r[2] for r in rows if r[0] < 4} == {9}
+
+
+def test_close_fingerprints_are_found_without_buckets(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(400)] for _ in range(8)]
+    texts = [" ".join(b + [f"e{k}"] * (k > 0)) for b in base for k in range(4)]
+    prints = [simhash.majority(shingle_set(t.encode(), 5)) for t in texts]
+    assert sum((a ^ b) & (2**64 - 1) != 0 and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in zip(prints, prints[1:])) > 4
+    expected = brute(texts, percent=80, width=5)
+    assert found(spark, texts, width=5, percent=80, within=3) == expected
+    central = minhash._central
+    monkeypatch.setattr(minhash, "_central", lambda members: central(members.where("false")))
+    assert found(spark, texts, width=5, percent=80, within=12) == expected
+    assert {c for _, c in found(spark, texts, width=5, percent=80)} == set(range(32))
+
+
+def test_close_fingerprints_of_other_sets_are_no_links(spark):
+    # Within 64 bits all fingerprints meet; only whole sets decide.
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in range(0, 40, 7)] + ["", "one", "ONE"]
+    assert found(spark, texts, width=3, percent=95, within=64) == brute(texts, percent=95)

@@ -108,3 +108,13 @@ def test_a_stage_deletes_what_the_last_one_staged(spark, tmp_path):
     held = list(corpus_pipeline._leftovers.held)
     second(spark, spark.read.parquet(str(tmp_path / "one")), SF)
     assert held and not any(path in common._written for path in held)
+
+
+def test_near_copies_go_through_the_tree_of_fingerprints(spark, monkeypatch):
+    from tidewash.llm import simhash
+
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, within=3, **options: asked.append((prints.count(), within)) or links(prints, within, **options))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.drop_near_copies(spark, docs, SF).count()
+    assert len(asked) == 1 and asked[0][0] > 50 and asked[0][1] == 3

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, numbered, slices, staged
 from .components import components
 
@@ -72,8 +73,9 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)) if percent < 100 else 1
 
 
-def _sketches(rows: DataFrame, width: int, bands: int) -> DataFrame:
-    """``file, row, id, n, digest, keys``; digest (128 bits of the whole set) and keys are null for no words."""
+def _sketches(rows: DataFrame, width: int, bands: int, prints: bool) -> DataFrame:
+    """``file, row, id, n, digest, keys, fp``; digest (128 bits of the whole set), keys and fp (the set's SimHash
+    fingerprint, if ``prints``) are null for no words."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +85,12 @@ def _sketches(rows: DataFrame, width: int, bands: int) -> DataFrame:
                 sets = [shingle_set(t or b"", width) for t in part.column(3).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 keys = [made.keys(s) if len(s) else None for s in sets]
+                fps = [simhash.majority(s) if prints and len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["file", "row", "id", "n", "digest", "keys"])
+                    [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())],
+                    names=["file", "row", "id", "n", "digest", "keys", "fp"])
 
-    return rows.select("file", "row", "id", "text").mapInArrow(sketch, f"file long, row long, id {kind}, n long, digest binary, keys array<long>")
+    return rows.select("file", "row", "id", "text").mapInArrow(sketch, f"file long, row long, id {kind}, n long, digest binary, keys array<long>, fp long")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -138,6 +141,21 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be links."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _close_prints(nodes: DataFrame, within: int, percent: int) -> DataFrame:
+    """``u, v`` pairs to test: nodes with the first one of their fingerprint, and the first ones of fingerprints
+    that the vantage-point tree links."""
+    firsts = staged(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("_v")))
+    own = nodes.join(firsts, "fp").select(F.struct("node", "n").alias("_u"), "_v").where("_u.node <> _v.node")
+    links = simhash.links(firsts.select("fp"), within).join(firsts.select(F.col("fp").alias("u"), F.col("_v").alias("_u")), "u")
+    across = links.join(firsts.select(F.col("fp").alias("v"), "_v"), "v").select("_u", "_v")
+    return own.union(across).where(_fits("_u.n", "_v.n", percent)).select(F.col("_u.node").alias("u"), F.col("_v.node").alias("v"))
+
+
 def _central(members: DataFrame) -> DataFrame:
     """``key, node, n, pivot``: the pivot of a bucket is its node that meets the most nodes in all of its
     buckets, as ``node, n``. Near copies of one text share the pivot that is nearest to all of them."""
@@ -178,7 +196,7 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return met.groupBy("key", "i", "j").applyInArrow(lambda t: _linked(t, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, percent: int = 85, within: int | None = None) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
     A document is its set of ``width``-word shingles (ASCII lower case). Documents are linked if
@@ -191,13 +209,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs, no bucket is held by one task, and none is cut. Two documents exactly at the threshold
     share no band with a chance of ``MISS``.
 
+    With ``within``, sets whose SimHash fingerprints differ in so many bits or fewer are found by the tree
+    of :func:`simhash.links` and tested like the others; the buckets find the links that differ in more.
+
     Null and empty texts and those without words have no shingles and link with nothing. Rows that
     repeat an identifier keep a row each. Null identifiers never name a component that has others;
     alone they are kept, with a null component. No rows give no rows.
     """
     source = numbered(docs).select("file", "row", F.col(f"doc.`{id_column}`").alias("id"), F.col(f"doc.`{text_column}`").cast("binary").alias("text"))
-    rows = staged(_sketches(source, width, bands_for(percent)))
-    same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("file", "row")).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = staged(_sketches(source, width, bands_for(percent), within is not None))
+    same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("file", "row")).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     nodes = staged(same.withColumn("node", F.monotonically_increasing_id()))
     light = staged(rows.select("id", "n", "digest"))
     discard(rows)
@@ -206,13 +227,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = staged(keyed.join(buckets, "key").select("key", "node", "n"))
     members = staged(_central(shared))
     discard(shared)
-    used = members.select("node").distinct().join(nodes, "node").select("node", "n", "keys", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
+    pairs = members.where(_fits("n", "pivot.n", percent) & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("u"), F.col("pivot.node").alias("v"))
+    if within is not None:
+        pairs = pairs.union(_close_prints(nodes.select("node", "n", "fp"), within, percent))
+    stars = staged(pairs.distinct())
+    asked = members.select("node").union(stars.select("u")).union(stars.select("v"))
+    used = asked.distinct().join(nodes, "node").select("node", "n", "keys", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
     used = staged(used)
     sets = _sets(source.join(used.select("node", "file", "row"), ["file", "row"]), width)
     sets = staged(sets.join(used.select("node", "n", "keys"), "node"))
     discard(used)
-    fits = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
-    stars = staged(members.where(fits & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("u"), F.col("pivot.node").alias("v")).distinct())
     links = staged(_star_links(stars, sets, percent))
     discard(stars)
     rest = staged(_rest(members.select("key", "node", "n"), components(links), sets, percent))

@@ -52,6 +52,14 @@ def fingerprint(text: bytes, width: int = 3, chunk: int = 1 << 20) -> int:
     return int(np.packbits(2 * counts > total).view(">i8")[0]) if total else 0
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of unsigned hashes: bit set where over half of them have it, zero for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0]) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """``id, fingerprint`` (long) of every row; a null text has no words."""
     kind = docs.schema[id_column].dataType.simpleString()
