@@ -576,9 +576,8 @@ def csv_roundtrip(spark, sf):
     """Texts with quotes, commas and line breaks, through our CSV sink and source."""
     folder = shared_folder(spark)
     write_csv(base(spark, sf, "documents"), folder)
-    table = conversion.convert_types(read_csv(spark, folder).df.select("doc_id", "n_chars", "lang"), read_types=True)
-    texts = read_csv(spark, folder).df.select("doc_id", "source", F.md5("text").alias("text_md5"))
-    return table.join(texts.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id")
+    rows = read_csv(spark, folder, row_id=False).df.select("doc_id", "n_chars", "lang", "source", F.md5("text").alias("text_md5"))
+    return conversion.fit_conversions(rows.select("doc_id", "n_chars", "lang"), read_types=True).apply(rows)
 
 
 @query

@@ -216,3 +216,15 @@ def test_a_changed_cut_of_the_files_stops_the_read(spark, tmp_path, small_blocks
     spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
     with pytest.raises(Exception, match="split differently"):
         table.select("a").collect()
+
+
+def test_lines_of_open_cells_are_shuffled_once(spark, tmp_path, small_blocks):
+    # Cells of no, one and many line breaks; the long ones fill blocks of their own.
+    want = [(str(i), "\n".join(f'line {j}, "{i}"' for j in range(n))) for i, n in enumerate((1, 2, 40, 1, 3, 90, 2, 1))]
+    text = "k,t\n" + "".join('{},"{}"\n'.format(k, t.replace('"', '""')) for k, t in want)
+    table = read_csv(spark, put(tmp_path, text, "cells.csv"))
+    assert rows(table) == want
+    assert table.kept[1].where("closed IS NOT NULL").count() > 20
+    plan = table.df._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan"):]
+    assert physical.count("Exchange hashpartitioning(start#") == 1 and "hashpartitioning(record#" not in physical

@@ -29,6 +29,8 @@ from ..operators.columns import data_columns
 DEFAULT_ENCODINGS = ("utf-8", "latin-1")
 # Encoding names as the JVM spells them.
 JVM_NAMES = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
+# Lines whose order is found together, by one task.
+BLOCK_LINES = 1 << 16
 # ----------------------------------------------------------------------------
 
 
@@ -39,6 +41,8 @@ OPTIONS = {
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 TOO_LONG = "a row has more cells than the header"
+# Behind every line.
+_NEVER = (1 << 63) - 1
 MOVED = "the files were split differently than when they were inspected; read them again"
 
 # Parts of a line, all possessive, so each pattern passes a line once: a quoted text up to its last
@@ -80,9 +84,11 @@ class CsvTable:
 
 def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, block, place, value``: every line with its raw bytes. ``place`` grows along a block, which
-    is what one task reads of a file. A line ends at a line feed; a carriage return before it is kept."""
-    return spark.read.text(list(paths), lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    is what one task reads of a file, in pieces of ``BLOCK_LINES`` at most. A line ends at a line feed; a carriage
+    return before it is kept."""
+    lines = spark.read.text(list(paths), lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"), "value")
+    return lines.select("file", F.struct("at", F.expr(f"place DIV {BLOCK_LINES}").alias("piece")).alias("block"), "place", "value")
 
 
 def _ends_inside() -> tuple[Column, Column]:
@@ -104,68 +110,72 @@ def _after(out0: Column, out1: Column, window) -> tuple[Column, Column]:
     return tuple(F.coalesce(fixed["state"], F.lit(s)) != odd for s in (False, True))
 
 
-def _inspected(lines: DataFrame) -> DataFrame:
+def _inspected(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per file and block: first place and number of its first line, and of the file whether all
     is UTF-8, whether a cell is open at some line's end, and its header line with that one's number.
 
-    Lines are numbered through all files, in the order of their paths.
+    Lines are numbered through all files, in the order of their paths. The second table is what the first is made of,
+    kept as well.
     """
     opens, _ = _ends_inside()
-    first = F.min_by(F.struct("place", F.col("value").cast("binary").alias("header")), F.when(~_blank(), F.col("place")))
+    # Whole lines stay out of this aggregation, so that it needs no sort.
     blocks = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.min("place").alias("first_place"), F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
-        F.bool_or(opens).alias("opens"), first.alias("first"))
-    # One row for each block a task reads, so these windows stay small.
+        F.bool_or(opens).alias("opens"), F.min(F.when(~_blank(), F.col("place"))).alias("first_text"))
+    # One row for each block, so these windows stay small.
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     file = Window.partitionBy("file")
     blocks = blocks.withColumn("start", F.coalesce(F.sum("lines").over(before), F.lit(0)))
-    header = F.when(F.col("first").isNotNull(), F.struct((F.col("start") + F.col("first.place") - F.col("first_place")).alias("line"), "first.header"))
-    return blocks.select(
+    blocks = blocks.withColumn("text_line", F.col("start") + F.col("first_text") - F.col("first_place"))
+    blocks = blocks.select(
         "file", "block", "first_place", "start", F.bool_and("valid_utf8").over(file).alias("valid_utf8"), F.bool_or("opens").over(file).alias("opens"),
-        F.min(header).over(file).alias("h")).select("*", F.col("h.line").alias("header_line"), F.col("h.header").alias("header")).drop("h")
+        F.min("text_line").over(file).alias("header_line"), "text_line", "first_text")
+    # The name keeps Spark from taking an earlier read of the same paths for this one.
+    blocks = blocks.withColumn("read", F.lit(uuid.uuid4().hex)).persist()
+    places = blocks.where("text_line = header_line").select("file", "block", F.col("first_text").alias("place"))  # one for each file
+    headers = lines.join(F.broadcast(places), ["file", "block", "place"]).select("file", F.col("value").cast("binary").alias("header"))
+    return blocks.drop("text_line", "first_text").join(F.broadcast(headers), "file", "left").persist(), blocks
 
 
 def _quote_states(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``file, block, inside, opened, ends_inside``: whether the block starts inside a quoted cell, the number
-    of the line that opened it, and the state behind the block. Only lines that can change a state
-    are looked at, each as a few numbers."""
+    """``file, block, home, closed, ends_inside``: for a block that starts inside a quoted cell, the number of the first
+    line of the block in which that cell's record opens, and of the line that ends the cell in this block; and the
+    state behind the block. Only lines that can change a state are looked at, each as a few numbers."""
     out0, out1 = _ends_inside()
     marks = lines.select("file", "block", "place", out0.alias("out0"), out1.alias("out1")).where(F.col("out0") | ~F.col("out1"))
     run = Window.partitionBy("file", "block").orderBy("place")
     after = _after(F.col("out0"), F.col("out1"), run.rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.select("file", "block", "place", after[0].alias("a0"), after[1].alias("a1"))
-    marks = marks.withColumn("b0", F.lag("a0", 1, False).over(run)).withColumn("b1", F.lag("a1", 1, True).over(run))
-    maps = marks.groupBy("file", "block").agg(
-        *[F.max_by(f"a{s}", "place").alias(f"out{s}") for s in (0, 1)],
-        *[F.max(F.when(F.col(f"a{s}") & ~F.col(f"b{s}"), F.col("place"))).alias(f"open{s}") for s in (0, 1)])
     # One row for each block from here on.
+    maps = marks.groupBy("file", "block").agg(*[F.max_by(f"a{s}", "place").alias(f"out{s}") for s in (0, 1)], F.min(F.when(~F.col("a1"), F.col("place"))).alias("closed"))
     maps = blocks.select("file", "block", "first_place", "start").join(maps, ["file", "block"], "left")
     maps = maps.fillna(False, "out0").fillna(True, "out1")
     run = Window.partitionBy("file").orderBy("block")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)
     maps = maps.withColumn("ends_inside", _after(F.col("out0"), F.col("out1"), upto)[0])
     maps = maps.withColumn("inside", F.lag("ends_inside", 1, False).over(run))
-    opened = F.when(F.col("inside"), F.col("open1")).otherwise(F.col("open0")) - F.col("first_place") + F.col("start")
-    maps = maps.withColumn("opened", F.last(opened, ignorenulls=True).over(upto))
-    return maps.select("file", "block", "inside", F.lag("opened").over(run).alias("opened"), "ends_inside")
+    # The record that is open behind a block opened in it, unless one cell fills the whole block.
+    opening = F.when(F.col("ends_inside") & ~(F.col("inside") & F.col("closed").isNull()), F.col("start"))
+    maps = maps.withColumn("home", F.last(opening, ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    closed = F.coalesce(F.col("closed") - F.col("first_place") + F.col("start"), F.lit(_NEVER))
+    return maps.select("file", "block", F.when(F.col("inside"), F.col("home")).alias("home"), F.when(F.col("inside"), closed).alias("closed"), "ends_inside")
 
 
 def _spanning_records(lines: DataFrame) -> DataFrame:
     """``line, kind, value`` of the records of files with open cells. Lines are sorted within their blocks
-    to find the state of each; those that belong together are put together again, and only
-    those meet across blocks."""
+    to find the state of each, and those that belong together are put together there: the lines that end
+    another block's last record go to that block, so whole lines are shuffled once."""
+    home = F.when(F.col("line") <= F.col("closed"), F.col("home")).otherwise(F.col("start"))
     run = Window.partitionBy("start").orderBy("line")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
     out0, out1 = _ends_inside()
-    states = lines.withColumn("out0", out0).withColumn("out1", out1)
-    after = _after(F.col("out0"), F.col("out1"), run.rowsBetween(Window.unboundedPreceding, 0))
-    states = states.withColumn("a", F.when(F.col("inside"), after[1]).otherwise(after[0]))
-    states = states.withColumn("b", F.coalesce(F.lag("a").over(run), F.col("inside")))
-    opening = F.last(F.when(~F.col("b") & F.col("a"), F.col("line")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    states = states.withColumn("record", F.when(F.col("b"), F.coalesce(opening, F.col("opened"))).otherwise(F.col("line")))
-    alone = states.where(~F.col("a") & ~F.col("b") & ~_blank()).select("line", "kind", "value")
-    parts = states.where(F.col("a") | F.col("b")).groupBy("record").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    states = lines.select(home.alias("start"), "line", "kind", "value", out0.alias("out0"), out1.alias("out1"))
+    states = states.withColumn("a", _after(F.col("out0"), F.col("out1"), upto)[0])
+    states = states.withColumn("b", F.lag("a", 1, False).over(run))
+    states = states.withColumn("record", F.last(F.when(~F.col("b"), F.col("line")), ignorenulls=True).over(upto))
+    parts = states.where(F.col("a") | F.col("b") | ~_blank()).groupBy("start", "record").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
     whole = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
-    return alone.union(parts.select(F.col("record").alias("line"), "kind", whole.alias("value")))
+    return parts.select(F.col("record").alias("line"), "kind", whole.alias("value"))
 
 
 @dataclass(frozen=True)
@@ -256,7 +266,7 @@ def read_csv(
 ) -> CsvTable:
     """Scan CSV files with a header row into text columns.
 
-    One pass over the lines finds each file's header line, the first of ``encodings`` that fits it,
+    Two passes over the lines find each file's header line, the first of ``encodings`` that fits it,
     and whether cells hold line breaks; files of either kind are split among tasks.
     ``multi_line=False`` takes every line for a record. Columns of several files meet by name; headers
     with other names are an error. Missing tokens and blank cells become null. Repeated header names
@@ -272,8 +282,7 @@ def read_csv(
     tried = tuple(encodings or DEFAULT_ENCODINGS)
     try:
         lines = _lines(spark, [path] if isinstance(path, str) else path)
-        # The name keeps Spark from taking an earlier read of the same paths for this one.
-        blocks = _inspected(lines).withColumn("read", F.lit(uuid.uuid4().hex)).persist()
+        blocks, counted = _inspected(lines)
         by_header = _kinds(blocks, tried, path)
     except AnalysisException as e:
         raise LoadError(f"There is nothing to read at {path}") from e
@@ -334,7 +343,7 @@ def read_csv(
             _reject_unusable(df, path)
     except SparkRuntimeException as e:
         raise LoadError(f"No CSV in {', '.join(tried)}: {MOVED if MOVED in str(e) else TOO_LONG}") from e
-    return CsvTable(df, tuple(dict.fromkeys(k.encoding for k in sorted(kinds, key=lambda k: tried.index(k.encoding)))), tuple(kept))
+    return CsvTable(df, tuple(dict.fromkeys(k.encoding for k in sorted(kinds, key=lambda k: tried.index(k.encoding)))), (*kept, counted))
 
 
 def _without_return(value: Column) -> Column:
