@@ -582,11 +582,11 @@ def csv_roundtrip(spark, sf):
 
 @query
 def csv_row_order(spark, sf):
-    """A small first and a large last file: rows are numbered in the order of the input."""
+    """Small first files and large last ones: rows are numbered in the order of the input."""
     folder, orders = shared_folder(spark), base(spark, sf, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit('\n"x",')).alias("clerk"))
     bounds = (0, 10, 500, 1 << 62)
     for name, low, high in zip("abc", bounds, bounds[1:]):
-        write_csv(orders.where((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < high)).repartition(1).sortWithinPartitions("o_orderkey"), f"{folder}/{name}")
+        write_csv(orders.where((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < high)).orderBy("o_orderkey"), f"{folder}/{name}")
     table = columns.dense_row_id(read_csv(spark, [f"{folder}/{name}" for name in "abc"]).df)
     return table.select("_row_id", F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "clerk")
 

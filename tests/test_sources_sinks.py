@@ -228,3 +228,12 @@ def test_lines_of_open_cells_are_shuffled_once(spark, tmp_path, small_blocks):
     plan = table.df._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan"):]
     assert physical.count("Exchange hashpartitioning(start#") == 1 and "hashpartitioning(record#" not in physical
+
+
+def test_inspection_sorts_no_lines(spark, tmp_path):
+    from tidewash.sources.csv import _inspected, _lines
+
+    blocks, counted = _inspected(_lines(spark, [put(tmp_path, '\n \na,b\n1,"x\n"\n', "few.csv")]))
+    assert [(r["header_line"], bytes(r["header"]), r["opens"]) for r in blocks.collect()] == [(2, b"a,b", True)]
+    assert "SortAggregate" not in counted._jdf.queryExecution().toString()
+    blocks.unpersist(), counted.unpersist()
