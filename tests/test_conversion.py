@@ -103,3 +103,27 @@ def test_kept_plan_applies_to_other_tables(spark):
 def test_odd_names(spark, names):
     df = spark.createDataFrame([("8GB", "2024-01-01")], names)
     assert [type(v).__name__ for v in convert_types(df).first()] == ["float", "datetime"]
+
+
+def test_dates_are_parsed_only_where_they_decide(spark, monkeypatch):
+    from tidewash.operators import conversion
+
+    df = spark.createDataFrame([("1", "true", "8GB", "R", "5 a"), ("2", "false", "9GB", "2024-01-05", "May be")], "i string, b string, u string, t string, few string")
+    parsed, parse = [], conversion.parse_timestamp
+    monkeypatch.setattr(conversion, "parse_timestamp", lambda name, *a, **b: parsed.append(name) or parse(name, *a, **b))
+    plan = fit_conversions(df.select("i", "b", "u"), read_types=True)
+    assert not parsed and [c.action for c in plan.conversions] == ["read_integer", "read_boolean", "unit_extraction"]
+    # One of two cells is a date, which is enough; cells that only start like dates are not.
+    plan = fit_conversions(df.select("t", "few"))
+    assert [(c.action, c.converted) for c in plan.conversions] == [("to_datetime", 1), ("unit_extraction", 1)] and len(parsed) == 1
+
+
+def test_ends_of_long_texts_decide_like_whole_ones(spark):
+    from pyspark.sql import functions as F
+
+    from tidewash.functions import parse_timestamp
+
+    cells = ["January 5, 2024" + " " * 30 + "10:00:00 p.m.", "2024-01-05" + " " * 40 + "3:04 AM", "Wednesday,    5 January 2024", "x" * 50 + " 10:00 pm", "May " + "y" * 40, "12:00 am " + "z" * 20]
+    df = spark.createDataFrame([(c,) for c in cells], "d string")
+    got = [r[0] for r in df.select(F.date_format(parse_timestamp("d"), "yyyy-MM-dd HH:mm")).collect()]
+    assert got == ["2024-01-05 22:00", "2024-01-05 03:04", "2024-01-05 00:00", None, None, None]

@@ -52,6 +52,8 @@ DAY_MONTH_NAME = rf"^{_WEEKDAY}?(\d{{1,2}})[ -]{_MONTH_NAME}[ ,-]+(\d{{4}}|\d{{2
 MONTH_NAME_DAY = rf"^{_WEEKDAY}?{_MONTH_NAME}[ -]+(\d{{1,2}})[, -]+(\d{{4}}){_TIME}{_UTC}$"
 # A time that ends in AM or PM.
 HALF_DAY = r"(?i)(\d{1,2})((?::\d{2}){1,2}) ?([ap])\.?m\.?$"
+# Longer than such a time, and than a weekday or month with the blank behind it.
+GUARD_LENGTH = 16
 
 # ISO date-time with a UTC offset; the result is the UTC wall clock.
 ISO_OFFSET = r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?(?:Z|([+-])(\d{2}):?(\d{2}))$"
@@ -98,17 +100,28 @@ def _attempts(s: str, shapes: Sequence[DateShape]) -> str:
     return f"coalesce({', '.join(found)})"
 
 
+def _guards(s: str) -> tuple[str, str]:
+    """SQL tests of a stripped text: whether it ends like a time of half a day, and whether it starts like a
+    date. Every shape starts with a digit, a weekday or a month name. Neither looks at more than a few characters."""
+    start = _quoted(rf"^\d|^{_MONTH_NAME}[ -]|^{_WEEKDAY}")
+    return f"right({s}, {GUARD_LENGTH}) RLIKE {_quoted(HALF_DAY)}", f"left({s}, {GUARD_LENGTH}) RLIKE {start}"
+
+
+def maybe_timestamp(name: str) -> Column:
+    """Whether ``parse_timestamp`` looks at the stripped text column ``name`` at all; a short test, unlike the parsing."""
+    return F.expr(" OR ".join(_guards("`" + name.replace("`", "``") + "`")))
+
+
 def timestamp_sql(s: str, shapes: Sequence[DateShape] = DATE_SHAPES) -> str:
     """SQL text of the conversion of a stripped text ``s`` (itself SQL)."""
-    # Every shape starts with a digit, a weekday or a month name, so other cells skip all of them.
-    start = _quoted(rf"^\d|^{_MONTH_NAME}[ -]|^{_WEEKDAY}")
+    halved_day, dated = _guards(s)
     half = _quoted(HALF_DAY)
     hour, letter = f"try_cast(regexp_extract({s}, {half}, 1) AS INT)", f"lower(regexp_extract({s}, {half}, 3))"
     # Twelve hours on for PM, and back for the hour 12: read as 24 hours first.
     shift = f"(CASE WHEN {letter} = 'p' THEN 12 ELSE 0 END) - (CASE WHEN {hour} = 12 THEN 12 ELSE 0 END)"
     plain = f"regexp_replace({s}, {half}, '$1$2')"
     halved = f"CASE WHEN {hour} BETWEEN 1 AND 12 THEN {_attempts(plain, shapes)} + make_dt_interval(0, {shift}) END"
-    return f"CASE WHEN {s} RLIKE {half} THEN {halved} WHEN {s} RLIKE {start} THEN {_attempts(s, shapes)} END"
+    return f"CASE WHEN {halved_day} THEN {halved} WHEN {dated} THEN {_attempts(s, shapes)} END"
 
 
 def parse_timestamp(name: str, shapes: Sequence[DateShape] = DATE_SHAPES, stripped: bool = False) -> Column:

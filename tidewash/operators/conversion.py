@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col, number_from_pattern, number_with_unit, parse_number, parse_timestamp, strip, to_number
-from ..functions.dates import DATE_SHAPES, DateShape
+from ..functions.dates import DATE_SHAPES, DateShape, maybe_timestamp
 from ..functions.numbers import (
     UNIT_FACTORS,
     default_unit_pattern,
@@ -115,7 +115,7 @@ def _declared(name: str, spec: FieldSpec, rules: Mapping[str, Mapping]) -> Conve
 def _counters(
     name: str, stripped: str, declared: Conversion | None, read: bool, shapes: Sequence[DateShape]
 ) -> dict[str, Column]:
-    """Aggregates over a text column and its ``stripped`` form."""
+    """Aggregates over a text column and its ``stripped`` form; ``dated`` is no less than the number of dates."""
     c, s = col(name), F.col(stripped)
     counters = {"n": F.count(c)}
     if read:
@@ -134,15 +134,27 @@ def _counters(
     return counters | {
         "unit": F.count(number_with_unit(s, stripped=True)),
         "number": F.count(to_number(s, stripped=True)),
-        "time": F.count(parse_timestamp(stripped, shapes, stripped=True)),
+        "dated": F.count_if(maybe_timestamp(stripped)),
     }
 
 
+def _time_counter(stripped: str, shapes: Sequence[DateShape]) -> dict[str, Column]:
+    """The aggregate of the dates, too long for Spark's compiler: only for columns that can turn out as such."""
+    return {"time": F.count(parse_timestamp(stripped, shapes, stripped=True))}
+
+
 def _with_stripped(df: DataFrame, batch: Sequence[str], texts: set[str]) -> DataFrame:
     """The batch's columns, and ``s<i>`` for each text column, stripped once for all tests."""
     return df.select(*[col(c) for c in batch], *[strip(col(c)).alias(f"s{i}") for i, c in enumerate(batch) if c in texts])
 
 
+def _counted(df: DataFrame, batch: Sequence[str], texts: set[str], counts: Mapping[str, Mapping[str, Column]]) -> tuple[int, dict[str, dict]]:
+    """Number of rows, and what the aggregates of each column give; one pass over the batch's columns."""
+    flat = [a.alias(f"{i}:{k}") for i, counters in enumerate(counts.values()) for k, a in counters.items()]
+    row = _with_stripped(df, batch, texts).agg(F.count(F.lit(1)).alias("rows"), *flat).first()
+    return row["rows"], {c: {k: row[f"{i}:{k}"] for k in counters} for i, (c, counters) in enumerate(counts.items())}
+
+
 def _reader_type(name: str, got: dict[str, int]) -> Conversion | None:
     """The type all cells have, if the reader's types were counted."""
     n = got["n"]
@@ -156,6 +168,17 @@ def _reader_type(name: str, got: dict[str, int]) -> Conversion | None:
     return None
 
 
+def _least(n: int, share: float) -> int:
+    return max(1, int(share * n))
+
+
+def _open_to_dates(got: Mapping[str, int], protect_dates: bool) -> bool:
+    """Whether a column's dates decide what it becomes."""
+    n = got["n"]
+    earlier = not protect_dates and (got["unit"] >= _least(n, UNIT_SHARE) or got["number"] >= _least(n, CONVERT_SHARE))
+    return n > 0 and not earlier and got["dated"] >= _least(n, CONVERT_SHARE)
+
+
 def _ladder(name: str, got: dict[str, int], protect_dates: bool) -> Conversion:
     n = got["n"]
     if n == 0:
@@ -168,7 +191,7 @@ def _ladder(name: str, got: dict[str, int], protect_dates: bool) -> Conversion:
     if protect_dates:
         rungs.insert(0, rungs.pop())
     for kind, action, dtype, share in rungs:
-        if got[kind] >= max(1, int(share * n)):
+        if got[kind] >= _least(n, share):
             return Conversion(name, "string", dtype, action, converted=got[kind], values=got[kind])
     return Conversion(name, "string", "string", "none", "no_conversion_rule_matched", values=n)
 
@@ -183,7 +206,8 @@ def fit_conversions(
     protect_dates: bool = False,
     shapes: Sequence[DateShape] = DATE_SHAPES,
 ) -> ConversionPlan:
-    """Decide the conversion of every column from one pass of counters.
+    """Decide the conversion of every column from one pass of counters, and a second over the columns whose
+    dates decide, if there are any.
 
     A text column becomes numbers if enough cells are numbers with a unit word, else if
     half are numbers after deleting commas and blanks, else timestamps if half are dates;
@@ -201,17 +225,19 @@ def fit_conversions(
     rows = 0
     for batch in batches(data_columns(df)):
         declared = {c: _declared(c, spec, rules) for c in batch if c in texts}
-        plan = {
+        counts = {
             c: _counters(c, f"s{i}", declared[c], read_types, shapes)
             if c in texts
             else {"n": F.count(present(df, c))}
             for i, c in enumerate(batch)
         }
-        flat = [a.alias(f"{i}:{k}") for i, counters in enumerate(plan.values()) for k, a in counters.items()]
-        row = _with_stripped(df, batch, texts).agg(F.count(F.lit(1)).alias("rows"), *flat).first()
-        rows = row["rows"]
-        for i, (c, counters) in enumerate(plan.items()):
-            got = {k: row[f"{i}:{k}"] for k in counters}
+        rows, found = _counted(df, batch, texts, counts)
+        dated = [c for c in batch if "dated" in found[c] and _reader_type(c, found[c]) is None and _open_to_dates(found[c], protect_dates)]
+        if dated:
+            more = _counted(df, dated, texts, {c: _time_counter(f"s{i}", shapes) for i, c in enumerate(dated)})[1]
+            found = {c: found[c] | more.get(c, {}) for c in found}
+        for c in batch:
+            got = {"time": 0, **found[c]}
             read = _reader_type(c, got) if c in texts else None
             if read is not None:
                 done.append(read)
@@ -254,7 +280,7 @@ def ladder_counts(df: DataFrame, shapes: Sequence[DateShape] = DATE_SHAPES) -> D
     names = string_columns(df)
     kinds = ("n", "unit", "number", "time")
     flat = [
-        _counters(c, f"s{i}", None, False, shapes)[k].alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds
+        (_counters(c, f"s{i}", None, False, shapes) | _time_counter(f"s{i}", shapes))[k].alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds
     ]
     labels = ("non_null", "unit_count", "number_count", "datetime_count")
     entries = [
