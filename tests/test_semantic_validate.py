@@ -57,3 +57,16 @@ def test_structure(spark):
     assert validate_table(df, allow_empty_columns=True)[0].columns == ["a", "b", "c"]
     with pytest.raises(ValidationError, match="without rows"):
         validate_table(df.limit(0))
+
+
+def test_long_texts_need_no_dates_and_no_arrays_of_words(spark, monkeypatch):
+    from tidewash.functions import word_count
+    from tidewash.operators import semantic
+
+    words = spark.createDataFrame([(" a\u2003b\x1c\n c ",), ("",), ("one",), ("\u00e9t\u00e9 \U0001f600 5",), (None,)], "s string").select(word_count(semantic.strip(semantic.col("s"))))
+    assert [r[0] for r in words.collect()] == [3, 0, 1, 3, None] and "extract_all" not in words._jdf.queryExecution().toString()
+    parsed, parse = [], semantic.parse_timestamp
+    monkeypatch.setattr(semantic, "parse_timestamp", lambda name, *a, **b: parsed.append(name) or parse(name, *a, **b))
+    df = spark.createDataFrame([("some words in a long text",), ("5 words that start with digits",)], "t string")
+    assert infer_semantic_types(df) == {"t": "FREE_TEXT"} and not parsed
+    assert infer_semantic_types(spark.createDataFrame([("2024-01-05",), ("May 5, 2024",)], "t string")) == {"t": "DATE_STRING"} and parsed

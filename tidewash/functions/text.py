@@ -59,7 +59,8 @@ def null_tokens(c: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
 
 def word_count(s: Column) -> Column:
     """Number of white-space separated words of a stripped cell (0 for no text)."""
-    return F.regexp_count(s, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    # One character for each word and the white space around it, rather than an array of all words.
+    return F.length(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]*+[^\s\x1c-\x1f]++[\s\x1c-\x1f]*+", "x"))
 
 
 def spreadsheet_text(c: Column, length: int = SPREADSHEET_CELL_LENGTH) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col, parse_timestamp, strip, word_count
+from ..functions.dates import maybe_timestamp
 from .columns import (
     boolean_columns,
     data_columns,
@@ -56,12 +57,13 @@ def _stripped(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[strip(col(c)).alias(f"s{i}") for i, c in enumerate(columns)])
 
 
-def _text_tests(name: str) -> dict[str, Column]:
-    """The test of each text rule on a stripped column. Cheap tests guard the patterns."""
+def _text_tests(name: str, dates: bool = True) -> dict[str, Column]:
+    """The test of each text rule on a stripped column. Cheap tests guard the patterns. Without ``dates``, cells
+    that only start or end like one count as dates: parsing them is too long for Spark's compiler."""
     s = F.col(name)
     return {
         "EMAIL": s.contains("@") & s.rlike(EMAIL),
-        "DATE_STRING": parse_timestamp(name, stripped=True).isNotNull(),
+        "DATE_STRING": parse_timestamp(name, stripped=True).isNotNull() if dates else maybe_timestamp(name),
         "PHONE_NUMBER": F.length(s).between(7, 16) & s.rlike(PHONE),
         "URL": s.rlike(URL),
         "PERCENTAGE": s.endswith(PERCENT_SIGN),
@@ -69,9 +71,9 @@ def _text_tests(name: str) -> dict[str, Column]:
     }
 
 
-def _text_aggregates(i: int) -> list[Column]:
+def _text_aggregates(i: int, dates: bool = True) -> list[Column]:
     """Counts behind the text rules: non-null cells, words, then matches per rule."""
-    s, tests = F.col(f"s{i}"), _text_tests(f"s{i}")
+    s, tests = F.col(f"s{i}"), _text_tests(f"s{i}", dates)
     counts = [F.count(s), F.avg(word_count(s)), *[F.count_if(tests[kind]) for kind, _ in TEXT_RULES]]
     return [a.alias(f"a{i}_{j}") for j, a in enumerate(counts)]
 
@@ -89,13 +91,19 @@ def text_ratios(df: DataFrame) -> DataFrame:
 
 def _text_evidence(df: DataFrame, columns: list[str]) -> dict[str, TextEvidence]:
     width = len(TEXT_RULES) + 2
-    flat = [a for i in range(len(columns)) for a in _text_aggregates(i)]
+    flat = [a for i in range(len(columns)) for a in _text_aggregates(i, dates=False)]
     row = _stripped(df, columns).agg(F.count(F.lit(1)), *flat).first()
     evidence = {}
     for i, c in enumerate(columns):
         values, words, *matches = row[1 + i * width : 1 + (i + 1) * width]
         shares = {kind: m / values if values else 0.0 for (kind, _), m in zip(TEXT_RULES, matches)}
         evidence[c] = TextEvidence(values, shares, words or 0.0)
+    # Only columns with enough cells that may be dates need the number of those that are.
+    dated = [c for c, e in evidence.items() if e.shares["DATE_STRING"] > dict(TEXT_RULES)["DATE_STRING"]]
+    if dated:
+        found = _stripped(df, dated).agg(*[F.count_if(_text_tests(f"s{i}")["DATE_STRING"]).alias(f"a{i}") for i in range(len(dated))]).first()
+        for c, n in zip(dated, found):
+            evidence[c].shares["DATE_STRING"] = n / evidence[c].values
     return evidence
 
 
