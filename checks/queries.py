@@ -737,7 +737,8 @@ def outlier_free_csv(spark, sf):
     """The second output of a run: the cleaned table without outlier rows, as CSV."""
     folder = shared_folder(spark)
     write_csv(outliers.remove_outliers(clean_table(base(spark, sf, "events"), profile=False).df), folder)
-    return conversion.convert_types(read_csv(spark, folder, row_id=False).df, read_types=True).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"), "props")
+    rows = read_csv(spark, folder, row_id=False).df.select("event_id", "user_id", "event_type", "value", "props")
+    return conversion.convert_types(rows, read_types=True).withColumn("value", F.round("value", 6))
 
 
 @query
