@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,40 @@ def test_sketches_settle_quantiles_in_two_passes(spark, monkeypatch):
     assert got["tail"] == pytest.approx(list(np.quantile(data["tail"], (0.5, 0.75))), rel=1e-12) and passes
 
 
+def test_quantile_passes_are_code_that_the_jvm_compiles(spark, monkeypatch, capsys):
+    """It only interprets methods beyond 8,000 bytes; brackets counted by bin, and the passes after them."""
+    monkeypatch.setattr(quantiles, "SMALL_INTERVAL", 4)
+    monkeypatch.setattr(quantiles, "BINS", 16)
+    plans, sql = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda *a, **k: plans.append(sql(*a, **k)) or plans[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for width in (8, 30):
+            names = [f"c{i}" for i in range(width)]
+            data = spark.range(20_000).selectExpr(*[f"IF(id % 10 = 0, NULL, id * {i + 1} % 19997 / 7) AS {c}" for i, c in enumerate(names)])
+            got = quantiles.exact_quantiles(data, names, (0.25, 0.5, 0.75))
+            want = data.selectExpr(*[f"percentile({c}, array(0.25, 0.5, 0.75)) AS {c}" for c in names]).first()
+            assert all(got[c] == pytest.approx(want[c], rel=1e-12) for c in names)
+        capsys.readouterr()
+        for plan in plans:
+            plan.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(plans) >= 4 and len(sizes) >= len(plans) and max(sizes) < 8000, sizes
+
+
+def test_rank_between_brackets_is_narrowed_in_its_gap(spark, monkeypatch):
+    """Missed brackets of a column with rows enough for bins, next to brackets that hold their rank."""
+    monkeypatch.setattr(quantiles, "SMALL_INTERVAL", 4)
+    monkeypatch.setattr(quantiles, "BINS", 16)
+    values = np.random.default_rng(7).permutation(np.arange(30_000.0))
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
+    bounds = {"v": quantiles.Bounds(30_000, 0.0, 29_999.0, {0.25: (7000.0, 8000.0), 0.5: (16_000.0, 16_500.0), 0.75: (22_000.0, 22_499.0)})}
+    got = quantiles.exact_quantiles(df, ["v"], (0.25, 0.5, 0.75), bounds)
+    assert got["v"] == list(np.quantile(values, (0.25, 0.5, 0.75)))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert quantiles.exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}

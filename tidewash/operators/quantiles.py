@@ -8,9 +8,12 @@ too many rows for that (beyond some 10^7 rows in all), they are counted by bins
 (at most ``BINS`` groups per bracket, combined before the shuffle), and further passes narrow to
 the bins that hold the wanted ranks. A bin carries its own smallest and largest
 value, so a bin full of copies of one value is an answer, however many rows it has. A rank that
-its bracket misses, and columns with infinities, are narrowed from the whole range.
-Each pass is one aggregation over the needed columns for all of them together. The sketches are
-random, the result is exact: linear interpolation between neighbours.
+its bracket misses is narrowed from the gap that holds it, columns with infinities from the whole range.
+Each pass is one aggregation over the needed columns for all of them together. Values are told
+apart by column and compared with the ends of intervals, which are looked up by column, after they are laid out one to a
+row: so the code that Spark makes stays short. With tests and bins spelled out for each column it passes
+8,000 bytes of bytecode for eight columns, and the JVM interprets such a method instead of compiling it.
+The sketches are random, the result is exact: linear interpolation between neighbours.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from ..functions import col
 from .columns import floating_columns, integral_columns
 
 BINS = 4096
-# Distance between the bin numbers of two intervals.
-STRIDE = 8192
 TINY = 1e-290
 # An interval with at most this many rows is resolved by counting its single values.
 SMALL_INTERVAL = 100_000
 # Size of a sketch, and how far a bracket reaches on either side of its rank: three times its error.
 SKETCH_SIZE, SKETCH_MARGIN = 4000, 0.003
+# More tests than this on the rows of a scan are code that the JVM does not compile.
+MAX_TESTS = 24
 # A pass that keeps more than this share of an interval met a long tail.
 STUBBORN_SHARE = 1 / 8
 
@@ -135,7 +138,8 @@ def _order_statistics(df, wanted, bounds) -> dict[tuple[str, int], float]:
         if inner:
             intervals.append(_Interval(c, b.low, b.high, b.rows, inner))
 
-    intervals, whole = _bracketed(df, _settled(intervals, found), bounds)
+    whole, narrowed = _bracketed(df, _settled(intervals, found), bounds)
+    intervals = whole + narrowed
     while intervals := _settled(intervals, found):
         large = [x for x in intervals if not x.small]
         counted = large or intervals
@@ -150,59 +154,57 @@ def _order_statistics(df, wanted, bounds) -> dict[tuple[str, int], float]:
     return found
 
 
-def _bracketed(df: DataFrame, intervals: list[_Interval], bounds: dict[str, Bounds]) -> tuple[list[_Interval], bool]:
-    """The intervals (whole columns) narrowed to what their sketches' brackets hold of the wanted ranks, and
-    whether some are still whole columns.
+def _bracketed(df: DataFrame, intervals: list[_Interval], bounds: dict[str, Bounds]) -> tuple[list[_Interval], list[_Interval]]:
+    """Of the intervals (whole columns), those without sketches, and the others narrowed to what
+    their sketches' brackets, or the gaps around them, hold of the wanted ranks."""
+    some = [x for x in intervals if bounds[x.column].around and not math.isinf(bounds[x.column].low) and not math.isinf(bounds[x.column].high)]
+    narrowed = []
+    for hit in _bracket_counts(df, some, bounds).collect() if some else []:
+        x = some[hit.slot]
+        mine = {r - hit.before: t for r, t in x.ranks.items() if 0 <= r - hit.before < hit.rows}
+        narrowed.append(_Interval(x.column, hit.low, hit.high, hit.rows, mine))
+    return [x for x in intervals if x not in some], narrowed
+
+
+def _bracket_counts(df: DataFrame, intervals: list[_Interval], bounds: dict[str, Bounds]) -> DataFrame:
+    """The parts of brackets, and the gaps, that hold wanted ranks: ``slot, low, high, rows, before``.
 
     One aggregation: each value is either in a bracket, where it counts by itself or by bin, or in one
     of the gaps around them, which are counted as a whole.
     """
-    some = [x for x in intervals if bounds[x.column].around and not math.isinf(bounds[x.column].low) and not math.isinf(bounds[x.column].high)]
-    if not some:
-        return intervals, True
-    cells, ranks = [], []
-    for slot, x in enumerate(some):
-        pieces: list[list[float]] = []
+    brackets, by_value = [], []
+    for x in intervals:
+        pieces: list[_Interval] = []
         for low, high in sorted(bounds[x.column].around.values()):
-            if pieces and low <= pieces[-1][1]:
-                pieces[-1][1] = max(pieces[-1][1], high)
-            else:
-                pieces.append([low, high])
-        held = 2 * SKETCH_MARGIN * len(bounds[x.column].around) * x.rows
-        value, test, group = "CAST(`" + x.column.replace("`", "``") + "` AS DOUBLE)", "", ""
-        for i, (low, high) in enumerate(pieces):
-            # Gaps have even numbers, brackets odd ones.
-            test += f" WHEN {value} < {low!r}D THEN {2 * i} WHEN {value} <= {high!r}D THEN {2 * i + 1}"
-            if low < high and held > SMALL_INTERVAL:
-                group += f" WHEN {value} BETWEEN {low!r}D AND {high!r}D THEN CAST({_bin(value, _Interval(x.column, low, high, 0, {}))} AS DOUBLE)"
-            else:
-                group += f" WHEN {value} BETWEEN {low!r}D AND {high!r}D THEN {value}"
-        cells += [f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL{test} ELSE {2 * len(pieces)} END AS k{slot}", f"CASE{group} END AS g{slot}", f"{value} AS v{slot}"]
-        ranks.append(f"array({', '.join(f'{r}L' for r in x.ranks)})")
-    triples = ", ".join(f"(k{i}, g{i}, v{i}) AS s{i}" for i in range(len(some)))
-    wide = df.selectExpr(*cells)
-    hits = df.sparkSession.sql(
+            if pieces and low <= pieces[-1].high:
+                low, high = pieces[-1].low, max(pieces.pop().high, high)
+            pieces.append(_Interval(x.column, low, high, 0, {}))
+        brackets.append(pieces)
+        by_value.append(2 * SKETCH_MARGIN * len(bounds[x.column].around) * x.rows <= SMALL_INTERVAL)
+    most = max(map(len, brackets))
+    # Gaps have even numbers, brackets odd ones. Brackets that a column lacks lie above all its values.
+    place = "".join(
+        f" WHEN v < {_by_slot([p[i].low if i < len(p) else math.inf for p in brackets])} THEN {2 * i}"
+        f" WHEN v <= {_by_slot([p[i].high if i < len(p) else math.inf for p in brackets])} THEN {2 * i + 1}"
+        for i in range(most)
+    )
+    bins = _bins([p[i] if i < len(p) else None for p in brackets for i in range(most)], f"slot * {most} + shiftright(k, 1) + 1")
+    wide, cells = _laid_out(df, [x.column for x in intervals])
+    ranks = ", ".join(f"array({', '.join(f'{r}L' for r in x.ranks)})" for x in intervals)
+    return df.sparkSession.sql(
         f"""
-        WITH counts AS (
-          SELECT CAST(substring(slot, 2) AS INT) AS slot, k, count(*) AS rows, min(v) AS low, max(v) AS high
-          FROM {{wide}} UNPIVOT ((k, g, v) FOR slot IN ({triples})) WHERE k IS NOT NULL
-          GROUP BY slot, k, g),
+        WITH placed_cells AS (
+          SELECT slot, v, CASE{place} ELSE {2 * most} END AS k FROM {cells} WHERE v IS NOT NULL AND NOT isnan(v)),
+        binned AS (
+          SELECT slot, k, v, CASE WHEN k % 2 = 0 THEN NULL WHEN {_by_slot(by_value)} THEN v ELSE CAST({bins} AS DOUBLE) END AS g
+          FROM placed_cells),
+        counts AS (SELECT slot, k, count(*) AS rows, min(v) AS low, max(v) AS high FROM binned GROUP BY slot, k, g),
         placed AS (SELECT *, sum(rows) OVER (PARTITION BY slot ORDER BY low) - rows AS before FROM counts)
         SELECT slot, low, high, rows, before FROM placed
-        WHERE k % 2 = 1 AND exists(element_at(array({', '.join(ranks)}), slot + 1), r -> r >= before AND r < before + rows)
+        WHERE exists(element_at(array({ranks}), slot + 1), r -> r >= before AND r < before + rows)
         """,
         wide=wide,
-    ).collect()
-    out, missed = [], {i: dict(x.ranks) for i, x in enumerate(some)}
-    for hit in hits:
-        x = some[hit.slot]
-        mine = {r - hit.before: t for r, t in x.ranks.items() if 0 <= r - hit.before < hit.rows}
-        out.append(_Interval(x.column, hit.low, hit.high, hit.rows, mine))
-        for r in [r for r in missed[hit.slot] if hit.before <= r < hit.before + hit.rows]:
-            del missed[hit.slot][r]
-    whole = [x for x in intervals if x not in some]
-    whole += [_Interval(x.column, x.low, x.high, x.rows, missed[i]) for i, x in enumerate(some) if missed[i]]
-    return whole + out, bool(whole)
+    )
 
 
 def _settled(intervals: list[_Interval], found: dict) -> list[_Interval]:
@@ -220,18 +222,43 @@ def _many_magnitudes(low: float, high: float) -> bool:
     return large / BINS > small
 
 
-def _bin(v: str, interval: _Interval) -> str:
-    """SQL for a whole number below ``STRIDE`` that never decreases as ``v`` grows."""
-    if interval.binary:
-        power = f"(CAST(floor(log2(abs({v}))) AS BIGINT) + 1100)"
-        return f"(CASE WHEN {v} > 0 THEN {power} WHEN {v} < 0 THEN -{power} ELSE 0 END + {STRIDE // 2})"
-    half = interval.high / 2 - interval.low / 2
+def _laid_out(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, str]:
+    """The columns as doubles, and SQL that lays them out as rows ``slot, v``: the column's place and a value."""
+    names = ["`" + c.replace("`", "``") + "`" for c in columns]
+    wide = df.selectExpr(*[cell for i, c in enumerate(names) for cell in (f"{i} AS k{i}", f"CAST({c} AS DOUBLE) AS v{i}")])
+    return wide, f"{{wide}} UNPIVOT ((slot, v) FOR name IN ({', '.join(f'(k{i}, v{i}) AS s{i}' for i in range(len(names)))}))"
+
+
+def _by_slot(values: Sequence[float | int | bool], index: str = "slot + 1") -> str:
+    """SQL for the value at the place ``index`` (from 1)."""
+
+    def text(v) -> str:
+        if not isinstance(v, float):
+            return str(v)
+        return f"{v!r}D" if math.isfinite(v) else f"DOUBLE('{v}')"
+
+    return f"element_at(array({', '.join(map(text, values))}), {index})"
+
+
+def _bins(intervals: Sequence[_Interval | None], index: str) -> str:
+    """SQL for a whole number, of some thousand, that never decreases as ``v`` grows within the
+    interval at the place ``index`` (from 1)."""
+    scales = [_scale(x) if x and x.low < x.high else (0.0, 0.0, 0.0, 0.0) for x in intervals]
+    by, less, first, then = (_by_slot(part, index) for part in zip(*scales))
+    width = f"least(floor((v * {by} - {less}) * {first} * {then}), {BINS - 1})"
+    if not any(x and x.binary for x in intervals):
+        return width
+    power = "(CAST(floor(log2(abs(v))) AS BIGINT) + 1100)"
+    binary = _by_slot([bool(x and x.binary) for x in intervals], index)
+    return f"CASE WHEN NOT {binary} THEN {width} WHEN v > 0 THEN {power} WHEN v < 0 THEN -{power} ELSE 0 END"
+
+
+def _scale(x: _Interval) -> tuple[float, float, float, float]:
+    """What ``v`` is multiplied by, what is taken off, and two factors that make a bin number of it."""
+    half = x.high / 2 - x.low / 2
     if half < TINY:  # scaled up in two factors, as one would overflow
-        factor = BINS / ((interval.high - interval.low) * 2.0**200)
-        place = f"({v} - {interval.low!r}D) * {2.0**200!r}D * {factor!r}D"
-    else:  # halves keep the width finite for a range wider than the largest double
-        place = f"({v} / 2 - {interval.low / 2!r}D) * {BINS / half!r}D"
-    return f"least(floor({place}), {BINS - 1})"
+        return 1.0, x.low, 2.0**200, BINS / ((x.high - x.low) * 2.0**200)
+    return 0.5, x.low / 2, 1.0, BINS / half  # halves keep the width finite for a range wider than the largest double
 
 
 def _within(df: DataFrame, name: str, interval: _Interval) -> str:
@@ -251,26 +278,27 @@ def _ranked_bins(df: DataFrame, intervals: list[_Interval], by_value: bool, skip
     for i, interval in enumerate(intervals):
         by_column.setdefault(interval.column, []).append((i, interval))
 
-    cells, tests = [], []
-    for slot, (name, mine) in enumerate(by_column.items()):
-        value = "CAST(`" + name.replace("`", "``") + "` AS DOUBLE)"
-        branches = ""
-        for i, x in mine:
-            key = f"{i}L" if by_value else f"{i * STRIDE}L + {_bin(value, x)}"
-            tests.append(_within(df, name, x))
-            branches += f" WHEN {tests[-1]} THEN {key}"
-        cells += [f"CASE{branches} END AS k{slot}", f"{value} AS v{slot}"]
-    wide = (df.filter(" OR ".join(f"({t})" for t in tests)) if skip_rows else df).selectExpr(*cells)
-    pairs = ", ".join(f"(k{slot}, v{slot})" for slot in range(len(by_column)))
+    slots = list(by_column.values())
+    most = max(map(len, slots))
+    # Intervals that a column lacks hold no value.
+    place = "".join(
+        f" WHEN v BETWEEN {_by_slot([mine[i][1].low if i < len(mine) else math.inf for mine in slots])}"
+        f" AND {_by_slot([mine[i][1].high if i < len(mine) else -math.inf for mine in slots])}"
+        f" THEN {_by_slot([mine[i][0] if i < len(mine) else -1 for mine in slots])}"
+        for i in range(most)
+    )
+    tests = [_within(df, x.column, x) for x in intervals]
+    if skip_rows and len(tests) <= MAX_TESTS:
+        df = df.filter(" OR ".join(f"({t})" for t in tests))
+    wide, cells = _laid_out(df, list(by_column))
     ranks = ", ".join(f"array({', '.join(f'{r}L' for r in x.ranks)})" for x in intervals)
-    # At most STRIDE (or SMALL_INTERVAL) rows per interval reach the window.
+    # At most some thousand (or SMALL_INTERVAL) rows per interval reach the window.
     return df.sparkSession.sql(
         f"""
-        WITH counts AS (
-          SELECT CAST({'k' if by_value else f'floor(k / {STRIDE})'} AS INT) AS interval,
-            count(*) AS rows, min(v) AS low, max(v) AS high
-          FROM {{wide}} UNPIVOT ((k, v) FOR slot IN ({pairs})) WHERE k IS NOT NULL
-          GROUP BY k{', v' if by_value else ''}),
+        WITH placed_cells AS (SELECT v, CASE{place} END AS interval FROM {cells}),
+        binned AS (
+          SELECT interval, v, {'v' if by_value else _bins(intervals, 'interval + 1')} AS g FROM placed_cells WHERE interval IS NOT NULL),
+        counts AS (SELECT interval, count(*) AS rows, min(v) AS low, max(v) AS high FROM binned GROUP BY interval, g),
         placed AS (SELECT *, sum(rows) OVER (PARTITION BY interval ORDER BY low) - rows AS before FROM counts)
         SELECT interval, low, high, rows, before FROM placed
         WHERE exists(element_at(array({ranks}), interval + 1), r -> r >= before AND r < before + rows)
