@@ -135,3 +135,28 @@ def test_close_fingerprints_of_other_sets_are_no_links(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in range(0, 40, 7)] + ["", "one", "ONE"]
     assert found(spark, texts, width=3, percent=95, within=64) == brute(texts, percent=95)
+
+
+def test_every_close_pair_of_a_chain_is_tested(spark, monkeypatch):
+    """Windows of one text: fingerprints chain within three bits, and no window is like all the others, so links to
+    one of them, or only the edges that connect the chain, are not enough."""
+    words = [f"z{i}" for i in range(520)]
+    texts = [" ".join(words[k : k + 400]) for k in range(0, 120, 2)] + ["other " * 9, ""]
+    expected = brute(texts, percent=80, width=5)
+    assert {c for _, c in expected} == {0, 60, 61}
+    ends = [plain_set(texts[i], 5) for i in (0, 30, 59)]
+    assert all(100 * len(a & b) < 80 * len(a | b) for a, b in zip(ends, ends[1:]))
+    central = minhash._central
+    monkeypatch.setattr(minhash, "_central", lambda members: central(members.where("false")))
+    assert found(spark, texts, width=5, percent=80, within=3) == expected
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    assert found(spark, texts, width=5, percent=80, within=64) == expected
+
+
+def test_classes_and_buckets_share_their_pairs(spark, monkeypatch):
+    """Each set is alone at first, so that blocks find all links: those of one class, and those of several."""
+    monkeypatch.setattr(minhash, "_star_links", lambda stars, *rest: stars.where("false").select("u", "v"))
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 40, 150]))] for _ in range(8)]
+    texts = [edited(rng, b, rng.randrange(0, 1 + len(b) // 30)) + " end" * (k % 2) for b in base for k in range(8)]
+    assert found(spark, texts, width=5, percent=80, within=10) == brute(texts, percent=80, width=5)

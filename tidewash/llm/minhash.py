@@ -146,14 +146,18 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _close_prints(nodes: DataFrame, within: int, percent: int) -> DataFrame:
-    """``u, v`` pairs to test: nodes with the first one of their fingerprint, and the first ones of fingerprints
-    that the vantage-point tree links."""
-    firsts = staged(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("_v")))
-    own = nodes.join(firsts, "fp").select(F.struct("node", "n").alias("_u"), "_v").where("_u.node <> _v.node")
-    links = simhash.links(firsts.select("fp"), within).join(firsts.select(F.col("fp").alias("u"), F.col("_v").alias("_u")), "u")
-    across = links.join(firsts.select(F.col("fp").alias("v"), "_v"), "v").select("_u", "_v")
-    return own.union(across).where(_fits("_u.n", "_v.n", percent)).select(F.col("_u.node").alias("u"), F.col("_v.node").alias("v"))
+def _close_classes(nodes: DataFrame, within: int) -> DataFrame:
+    """``node, n, class``: the class of a node is the least fingerprint that chains of fingerprints reach, each
+    ``within`` bits of the next, by the vantage-point tree. So all pairs that close share a class."""
+    prints = staged(nodes.select("fp").distinct())
+    roots = components(simhash.links(prints, within)).select(F.col("node").alias("fp"), "root")
+    return nodes.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("class"))
+
+
+def _in_classes(classed: DataFrame) -> DataFrame:
+    """``key, node, n, pivot`` of the classes of several nodes, like :func:`_central`: the pivot is the first node."""
+    firsts = classed.groupBy("class").agg(F.count("*").alias("_m"), F.min(F.struct("node", "n")).alias("pivot")).where("_m > 1")
+    return classed.join(firsts, "class").select(F.col("class").alias("key"), "node", "n", "pivot")
 
 
 def _central(members: DataFrame) -> DataFrame:
@@ -209,8 +213,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs, no bucket is held by one task, and none is cut. Two documents exactly at the threshold
     share no band with a chance of ``MISS``.
 
-    With ``within``, sets whose SimHash fingerprints differ in so many bits or fewer are found by the tree
-    of :func:`simhash.links` and tested like the others; the buckets find the links that differ in more.
+    With ``within``, the tree of :func:`simhash.links` puts sets into classes by their SimHash fingerprints,
+    and each class is a bucket too, ahead of the others: all pairs that differ in so many bits or fewer are tested,
+    but for those that links connect already. Blocks of other buckets test pairs of different classes.
 
     Null and empty texts and those without words have no shingles and link with nothing. Rows that
     repeat an identifier keep a row each. Null identifiers never name a component that has others;
@@ -227,13 +232,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = staged(keyed.join(buckets, "key").select("key", "node", "n"))
     members = staged(_central(shared))
     discard(shared)
-    pairs = members.where(_fits("n", "pivot.n", percent) & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("u"), F.col("pivot.node").alias("v"))
+    buckets_of = nodes.select("node", "keys")
     if within is not None:
-        pairs = pairs.union(_close_prints(nodes.select("node", "n", "fp"), within, percent))
+        classed = staged(_close_classes(nodes.select("node", "n", "fp"), within))
+        members = members.unionByName(staged(_in_classes(classed)))
+        buckets_of = classed.join(buckets_of, "node").select("node", F.concat(F.array("class"), "keys").alias("keys"))
+    pairs = members.where(_fits("n", "pivot.n", percent) & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("u"), F.col("pivot.node").alias("v"))
     stars = staged(pairs.distinct())
     asked = members.select("node").union(stars.select("u")).union(stars.select("v"))
-    used = asked.distinct().join(nodes, "node").select("node", "n", "keys", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
+    used = asked.distinct().join(nodes.drop("keys"), "node").join(buckets_of, "node").select("node", "n", "keys", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
     used = staged(used)
+    if within is not None:
+        discard(classed)
     sets = _sets(source.join(used.select("node", "file", "row"), ["file", "row"]), width)
     sets = staged(sets.join(used.select("node", "n", "keys"), "node"))
     discard(used)
